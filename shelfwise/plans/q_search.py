@@ -234,6 +234,9 @@ def q_append_stats(spark, sf):
     e = emb(spark, sf).select("vec_id", "embedding")
     extra = e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.reverse("embedding").alias("embedding"))
     u = search.add_vectors(e, extra)
-    s = search.index_stats(u).crossJoin(u.agg(F.countDistinct("vec_id").alias("distinct_ids")))
-    return s.select(F.col("total_vectors").cast("long"), F.col("dimension").cast("long"), "index_type",
-                    r6("memory_usage_mb").alias("memory_usage_mb"), "distinct_ids")
+    s = u.agg(F.count(F.lit(1)).alias("total_vectors"), F.max(F.size("embedding")).alias("dimension"),
+              F.countDistinct("vec_id").alias("distinct_ids"))
+    return s.select(F.col("total_vectors").cast("long"), F.col("dimension").cast("long"),
+                    F.lit("flat").alias("index_type"),
+                    F.round(F.col("total_vectors") * F.col("dimension") * 4 / (1024.0 * 1024.0), 6)
+                    .alias("memory_usage_mb"), "distinct_ids")
