@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,68 +92,98 @@ def concat_raw(a, b) -> Column:
     return F.concat(as_double(a), as_double(b))
 
 
+def _add_scaled(w):
+    return lambda x, y: x + y * w
+
+
 def _weighted_sum(vectors: list[Column], weights: list) -> Column:
     acc = F.transform(vectors[0], lambda x: x * weights[0])
     for v, w in zip(vectors[1:], weights[1:]):
-        acc = F.zip_with(acc, v, lambda x, y, w=w: x + y * w)
+        acc = F.zip_with(acc, v, _add_scaled(w))
     return acc
 
 
-def fuse(vectors: list, weights: list | None = None, method: str = "weighted_average") -> Column:
-    """V6-V9: fuse vectors after L2-normalising each.
+def _tmp(name: str, i) -> str:
+    return f"__{name}_{i}"
+
+
+def fuse_columns(df: DataFrame, cols: list[str], out: str, weights: list | None = None,
+                 method: str = "weighted_average") -> DataFrame:
+    """V6-V9: add column ``out`` fusing ``cols`` after L2-normalising each.
 
     weighted_average: weighted sum, renormalised (default equal weights);
     concatenate: concatenation; max_pooling: element-wise max (not
     renormalised); attention_weighted: softmax of ``sum_{j!=i} dot(i, j) * w_j``
     as weights, then weighted sum, renormalised.
+
+    Works in stages (one projection per step) so every higher-order function
+    reads plain column references instead of nested copies of its input.
     """
-    if not vectors:
+    if not cols:
         raise ValueError("No embeddings provided for fusion")
     if weights is None:
-        weights = [1.0 / len(vectors)] * len(vectors)
-    if len(weights) != len(vectors):
+        weights = [1.0 / len(cols)] * len(cols)
+    if len(weights) != len(cols):
         raise ValueError("Number of weights must match number of embeddings")
-    normed = [l2_normalize(v) for v in vectors]
-    if method == "weighted_average":
-        return l2_normalize(_weighted_sum(normed, [F.lit(float(w)) for w in weights]))
+    if method not in ("weighted_average", "concatenate", "max_pooling", "attention_weighted"):
+        raise ValueError(f"Unsupported fusion method: {method}")
+    n = [_tmp(out, i) for i in range(len(cols))]
+    for c, t in zip(cols, n):
+        df = df.withColumn(t, l2_normalize(c))
+    ref = [F.col(t) for t in n]
     if method == "concatenate":
-        return F.concat(*normed)
-    if method == "max_pooling":
-        acc = normed[0]
-        for v in normed[1:]:
+        df = df.withColumn(out, F.concat(*ref))
+    elif method == "max_pooling":
+        acc = ref[0]
+        for v in ref[1:]:
             acc = F.zip_with(acc, v, lambda x, y: F.greatest(x, y))
-        return acc
-    if method == "attention_weighted":
-        n = len(normed)
-        scores = []
-        for i in range(n):
-            s = F.lit(0.0)
-            for j in range(n):
-                if i != j:
-                    s = s + dot(normed[i], normed[j]) * F.lit(float(weights[j]))
-            scores.append(s)
-        top = F.greatest(*scores) if n > 1 else scores[0]
-        exps = [F.exp(s - top) for s in scores]
-        total = exps[0]
-        for e in exps[1:]:
-            total = total + e
-        return l2_normalize(_weighted_sum(normed, [e / total for e in exps]))
-    raise ValueError(f"Unsupported fusion method: {method}")
-
-
-def fuse_present(a, b, wa: float, wb: float, method: str = "weighted_average") -> Column:
-    """Fuse two modalities; when one is missing use the other alone.
-
-    A missing second modality leaves the first (already normalised) vector.
-    """
-    va, vb = as_double(a), as_double(b)
-    return (F.when(vb.isNull(), l2_normalize(va)).when(va.isNull(), l2_normalize(vb))
-            .otherwise(fuse([va, vb], [wa, wb], method)))
-
-
-def hybrid(a, b, dim: int, weights=(0.6, 0.4)) -> Column:
-    """Normalise first, pad/cut + normalise second to ``dim``, weighted average."""
-    return fuse([l2_normalize(a), l2_normalize(pad_or_cut(b, dim))], list(weights), "weighted_average")
+        df = df.withColumn(out, acc)
+    else:
+        if method == "attention_weighted":
+            k = len(ref)
+            s_cols = [_tmp(out + "_s", i) for i in range(k)]
+            for i in range(k):
+                s = F.lit(0.0)
+                for j in range(k):
+                    if i != j:
+                        s = s + dot(ref[i], ref[j]) * F.lit(float(weights[j]))
+                df = df.withColumn(s_cols[i], s)
+            top = F.greatest(*[F.col(c) for c in s_cols]) if k > 1 else F.col(s_cols[0])
+            e_cols = [_tmp(out + "_e", i) for i in range(k)]
+            for c, e in zip(s_cols, e_cols):
+                df = df.withColumn(e, F.exp(F.col(c) - top))
+            total = F.col(e_cols[0])
+            for e in e_cols[1:]:
+                total = total + F.col(e)
+            w_cols = [_tmp(out + "_w", i) for i in range(k)]
+            for e, w in zip(e_cols, w_cols):
+                df = df.withColumn(w, F.col(e) / total)
+            wts = [F.col(w) for w in w_cols]
+            df = df.drop(*s_cols, *e_cols)
+        else:
+            wts, w_cols = [F.lit(float(w)) for w in weights], []
+        df = df.withColumn(_tmp(out, "sum"), _weighted_sum(ref, wts)).drop(*w_cols)
+        df = df.withColumn(out, l2_normalize(_tmp(out, "sum"))).drop(_tmp(out, "sum"))
+    return df.drop(*n)
+
+
+def fuse_present_columns(df: DataFrame, a: str, b: str, out: str, wa: float, wb: float,
+                         method: str = "weighted_average") -> DataFrame:
+    """Fuse two modalities; when one is missing use the other alone (normalised)."""
+    df = fuse_columns(df, [a, b], _tmp(out, "f"), [wa, wb], method)
+    df = df.withColumn(_tmp(out, "a"), l2_normalize(a)).withColumn(_tmp(out, "b"), l2_normalize(b))
+    res = (F.when(F.col(b).isNull(), F.col(_tmp(out, "a"))).when(F.col(a).isNull(), F.col(_tmp(out, "b")))
+           .otherwise(F.col(_tmp(out, "f"))))
+    return df.withColumn(out, res).drop(_tmp(out, "f"), _tmp(out, "a"), _tmp(out, "b"))
+
+
+def hybrid_columns(df: DataFrame, a: str, b: str, out: str, dim: int, weights=(0.6, 0.4)) -> DataFrame:
+    """Normalise ``a``; pad/cut ``b`` to ``dim`` and normalise; weighted average."""
+    df = df.withColumn(_tmp(out, "pa"), l2_normalize(a))
+    df = df.withColumn(_tmp(out, "pb"), pad_or_cut(b, dim))
+    df = df.withColumn(_tmp(out, "nb"), l2_normalize(_tmp(out, "pb")))
+    df = fuse_columns(df, [_tmp(out, "pa"), _tmp(out, "nb")], out, list(weights), "weighted_average")
+    return df.drop(_tmp(out, "pa"), _tmp(out, "pb"), _tmp(out, "nb"))
 
 
 # -- V13 ---------------------------------------------------------------------

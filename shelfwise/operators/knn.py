@@ -56,7 +56,8 @@ def _vec_matrix(series: pd.Series) -> np.ndarray:
 
 
 def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
-                key_mode: str, tol_scale: float, tie_decimals: int | None = None):
+                key_mode: str, tol_scale: float, tie_decimals: int | None = None,
+                ids_desc: bool = False):
     """mapInPandas body: running top-``kmax`` of every broadcast query."""
     block = bc.value
     qids, Q, ks = block["ids"], block["vecs"], block["ks"]
@@ -111,7 +112,7 @@ def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
             all_q = np.concatenate([qi, hq])
             all_s = np.concatenate([exact, best_s[hq, hr]])
             all_i = np.concatenate([vid[vj], best_i[hq, hr]])
-            order = np.lexsort((all_i, all_s, all_q))
+            order = np.lexsort((-all_i if ids_desc else all_i, all_s, all_q))
             all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
             first = np.r_[0, np.flatnonzero(np.diff(all_q)) + 1]
             starts = np.repeat(first, np.diff(np.r_[first, len(all_q)]))
@@ -153,7 +154,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
              query_key_col: str | None = None, vec_key_col: str | None = None,
              key_mode: str = "none",
              max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-             tol_scale: float = 1e-9, tie_decimals: int | None = None) -> DataFrame:
+             tol_scale: float = 1e-9, tie_decimals: int | None = None,
+             ids_desc: bool = False) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
@@ -162,7 +164,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     cluster) or ``lsh`` (query and vector keys = bucket per hash table, a
     candidate shares at least one bucket). ``tie_decimals`` ranks on scores
     rounded to that many places, so scores equal up to float noise (common
-    with hashed count vectors) tie and break by ``vec_id``.
+    with hashed count vectors) tie and break by ``vec_id`` (descending with
+    ``ids_desc``, the order of a reversed stable ascending sort).
     """
     metric = metric.lower()
     if metric not in ("l2", "ip"):
@@ -209,7 +212,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         bc = spark.sparkContext.broadcast(payload)
         fn = partial(_local_topk, bc=bc, kmax=int(kmax), metric=metric,
                      exclude_self=exclude_self, key_mode=key_mode, tol_scale=tol_scale,
-                     tie_decimals=tie_decimals)
+                     tie_decimals=tie_decimals, ids_desc=ids_desc)
         parts.append(v.mapInPandas(fn, HIT_SCHEMA))
     if not parts:
         return spark.createDataFrame([], RESULT_SCHEMA)
@@ -217,7 +220,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     for p in parts[1:]:
         hits = hits.unionByName(p)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    w = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").asc())
+    w = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").desc() if ids_desc else F.col("vec_id").asc())
     return (hits.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.col("k"))
             .select("query_id", "rank", "vec_id", "score"))
