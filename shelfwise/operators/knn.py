@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark import StorageLevel
+
 from ..constants import MAX_BROADCAST_BYTES
 
 HIT_SCHEMA = T.StructType([
@@ -48,7 +50,7 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 # Entries of one distance block (queries x vectors); bounds task memory.
-_BLOCK_ENTRIES = 8_000_000
+_BLOCK_ENTRIES = 16_000_000
 
 
 def _vec_matrix(series: pd.Series) -> np.ndarray:
@@ -67,6 +69,34 @@ def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
     best_i = np.full((nq, kmax), -1, dtype=np.int64)
     qn = np.einsum("ij,ij->i", Q, Q)
     sub = max(1, _BLOCK_ENTRIES // max(nq, 1))
+    buf_q: list = []
+    buf_s: list = []
+    buf_i: list = []
+    buffered = 0
+
+    def merge():
+        nonlocal buffered
+        if not buf_q:
+            return
+        hq, hr = np.nonzero(best_i >= 0)
+        all_q = np.concatenate(buf_q + [hq])
+        all_s = np.concatenate(buf_s + [best_s[hq, hr]])
+        all_i = np.concatenate(buf_i + [best_i[hq, hr]])
+        order = np.lexsort((-all_i if ids_desc else all_i, all_s, all_q))
+        all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
+        first = np.r_[0, np.flatnonzero(np.diff(all_q)) + 1]
+        starts = np.repeat(first, np.diff(np.r_[first, len(all_q)]))
+        rank = np.arange(len(all_q)) - starts
+        keep = rank < kmax
+        best_s.fill(np.inf)
+        best_i.fill(-1)
+        best_s[all_q[keep], rank[keep]] = all_s[keep]
+        best_i[all_q[keep], rank[keep]] = all_i[keep]
+        buf_q.clear()
+        buf_s.clear()
+        buf_i.clear()
+        buffered = 0
+
     for pdf in batches:
         if len(pdf) == 0:
             continue
@@ -74,13 +104,12 @@ def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
             part = pdf.iloc[start:start + sub]
             vid = part["vec_id"].to_numpy(np.int64)
             V = _vec_matrix(part["vec"])
+            vn = np.einsum("ij,ij->i", V, V)
             if metric == "l2":
-                vn = np.einsum("ij,ij->i", V, V)
                 approx = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
-                tol = tol_scale * (qn[:, None].max(initial=0) + vn.max(initial=0) + 1.0)
+                tol = tol_scale * (qn.max(initial=0) + vn.max(initial=0) + 1.0)
             else:
                 approx = -(Q @ V.T)
-                vn = np.einsum("ij,ij->i", V, V)
                 tol = tol_scale * (math.sqrt(qn.max(initial=0) * vn.max(initial=0)) + 1.0)
             if exclude_self:
                 approx[qids[:, None] == vid[None, :]] = np.inf
@@ -107,21 +136,13 @@ def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
                 exact = -(Q[qi] * V[vj]).sum(axis=1)
             if tie_decimals is not None:
                 exact = np.round(exact, tie_decimals)
-            have = best_i >= 0
-            hq, hr = np.nonzero(have)
-            all_q = np.concatenate([qi, hq])
-            all_s = np.concatenate([exact, best_s[hq, hr]])
-            all_i = np.concatenate([vid[vj], best_i[hq, hr]])
-            order = np.lexsort((-all_i if ids_desc else all_i, all_s, all_q))
-            all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
-            first = np.r_[0, np.flatnonzero(np.diff(all_q)) + 1]
-            starts = np.repeat(first, np.diff(np.r_[first, len(all_q)]))
-            rank = np.arange(len(all_q)) - starts
-            keep = rank < kmax
-            best_s.fill(np.inf)
-            best_i.fill(-1)
-            best_s[all_q[keep], rank[keep]] = all_s[keep]
-            best_i[all_q[keep], rank[keep]] = all_i[keep]
+            buf_q.append(qi)
+            buf_s.append(exact)
+            buf_i.append(vid[vj])
+            buffered += len(qi)
+            if buffered > 4 * nq * kmax:
+                merge()
+    merge()
     hq, hr = np.nonzero(best_i >= 0)
     if len(hq):
         score = best_s[hq, hr]
@@ -173,11 +194,14 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     spark = queries.sparkSession
     q = _prepare_queries(queries, query_id_col, query_vec_col, k, k_col,
                          query_key_col if key_mode != "none" else None)
+    # sized and collected in separate actions: keep the prepared side (spills to disk)
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
                   F.max("k").alias("kmax"),
                   (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey")).first()
     n, dim, kmax, nkey = stats["n"], stats["dim"], stats["kmax"], stats["nkey"] or 0
     if not n or not kmax or kmax < 1:
+        q.unpersist()
         return spark.createDataFrame([], RESULT_SCHEMA)
     row_bytes = 8 * (dim + nkey) + 32
     per_block = max(1, max_broadcast_bytes // row_bytes)
@@ -214,6 +238,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
                      exclude_self=exclude_self, key_mode=key_mode, tol_scale=tol_scale,
                      tie_decimals=tie_decimals, ids_desc=ids_desc)
         parts.append(v.mapInPandas(fn, HIT_SCHEMA))
+    q.unpersist()
     if not parts:
         return spark.createDataFrame([], RESULT_SCHEMA)
     hits = parts[0]

@@ -41,8 +41,8 @@ def q_latency(spark, sf):
 # -- A7, A8, A9 over the product index --------------------------------------------
 
 def _eval_inputs(spark, sf, k=20):
-    meta = metadata(spark, sf)[0]
-    index = retrieval.embed_products(meta, DIM)
+    from .q_search import _index
+    meta, index = _index(spark, sf)
     hits = search.similar_items(index, k=k, tie_decimals=9)
     attrs = (cleaned(spark, sf).join(meta.select("product_id"), "product_id")
              .select("product_id", F.col("Category").alias("category"), F.col("Product Name").alias("name")))
@@ -131,7 +131,7 @@ _STATS_ROWS = ("SELECT 'index_stats' AS section, 'total_vectors' AS metric, CAST
 @register("comprehensive", f"WITH {_eval_sql()} {_STATS_ROWS} UNION ALL {_RECALL_ROWS}")
 def q_comprehensive(spark, sf):
     meta, flagged, with_truth, _ = _eval_inputs(spark, sf)
-    index = retrieval.embed_products(meta, DIM)
+    index = retrieval.embed_products(meta, DIM)  # stats only need count and size: no search
     stats = MX.metric_rows(search.index_stats(index), "index_stats",
                            ["total_vectors", "dimension", "memory_usage_mb"])
     rec = MX.recall_rows(MX.recall_at_k(flagged, with_truth, KS))

@@ -121,8 +121,10 @@ RETRIEVAL_CTE = (
 
 
 def _index(spark, sf):
+    """Accepted metadata and its vector index, materialised once (eager checkpoint
+    into the shared checkpoint folder) like a built index that many searches read."""
     meta = metadata(spark, sf)[0]
-    return meta, retrieval.embed_products(meta, DIM)
+    return meta, retrieval.embed_products(meta, DIM).checkpoint()
 
 
 def _bench_requests(spark, sf):
