@@ -79,15 +79,24 @@ def restrict_to_probed(index_vectors: DataFrame, probes: DataFrame) -> DataFrame
 
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = IVF_NPROBE, *,
                query_id_col: str = "query_id", query_vec_col: str = "embedding",
-               exclude_self: bool = False, tie_decimals: int | None = None) -> DataFrame:
+               exclude_self: bool = False, tie_decimals: int | None = None,
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` searching only probed clusters."""
     probes = probe_lists(queries, index, nprobe, query_id_col, query_vec_col)
     q = (queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
-         .join(probes, "query_id"))
-    vecs = restrict_to_probed(index.vectors, probes)
-    return knn_join(q, vecs, k=k, metric=index.metric, query_vec_col="qvec", query_key_col="probes",
+         .join(probes, "query_id").withColumn("home", F.element_at("probes", 1)))
+
+    def probed_only(block) -> DataFrame:
+        # the clusters this block of queries probes (at most nlist ids)
+        ids = sorted({int(c) for keys in block["qkey"] for c in keys})
+        return index.vectors.where(F.col("cluster_id").isin(ids))
+
+    # queries sharing a home cluster go to the same broadcast block, so each
+    # block reads only its probed clusters' partitions
+    return knn_join(q, index.vectors, k=k, metric=index.metric, query_vec_col="qvec", query_key_col="probes",
                     vec_key_col="cluster_id", key_mode="probe", exclude_self=exclude_self,
-                    tie_decimals=tie_decimals)
+                    tie_decimals=tie_decimals, block_col="home", vectors_for_block=probed_only,
+                    max_broadcast_bytes=max_broadcast_bytes)
 
 
 # -- N4 -----------------------------------------------------------------------

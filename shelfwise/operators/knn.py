@@ -157,7 +157,7 @@ def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
 
 
 def _prepare_queries(queries: DataFrame, query_id_col: str, query_vec_col: str,
-                     k, k_col: str | None, key_col: str | None) -> DataFrame:
+                     k, k_col: str | None, key_col: str | None, block_col: str | None = None) -> DataFrame:
     cols = [
         F.col(query_id_col).cast("long").alias("query_id"),
         F.col(query_vec_col).cast("array<double>").alias("qvec"),
@@ -165,6 +165,7 @@ def _prepare_queries(queries: DataFrame, query_id_col: str, query_vec_col: str,
     ]
     if key_col:
         cols.append(F.col(key_col).cast("array<long>").alias("qkey"))
+    cols.append((F.col(block_col) if block_col else F.xxhash64(F.col(query_id_col).cast("long"))).cast("long").alias("blk"))
     return queries.select(*cols).where(F.col("qvec").isNotNull())
 
 
@@ -176,7 +177,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
              key_mode: str = "none",
              max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
              tol_scale: float = 1e-9, tie_decimals: int | None = None,
-             ids_desc: bool = False) -> DataFrame:
+             ids_desc: bool = False, block_col: str | None = None,
+             vectors_for_block=None) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
@@ -187,18 +189,25 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     rounded to that many places, so scores equal up to float noise (common
     with hashed count vectors) tie and break by ``vec_id`` (descending with
     ``ids_desc``, the order of a reversed stable ascending sort).
+
+    When the queries need several broadcast blocks, ``block_col`` (a long
+    query column) groups queries with nearby values into the same block, and
+    ``vectors_for_block(block_pandas) -> DataFrame`` may narrow the vectors a
+    block scans (IVF: only the clusters that block probes, which partition
+    pruning then skips reading).
     """
     metric = metric.lower()
     if metric not in ("l2", "ip"):
         raise ValueError(f"unsupported metric: {metric}")
     spark = queries.sparkSession
     q = _prepare_queries(queries, query_id_col, query_vec_col, k, k_col,
-                         query_key_col if key_mode != "none" else None)
+                         query_key_col if key_mode != "none" else None, block_col)
     # sized and collected in separate actions: keep the prepared side (spills to disk)
     q = q.persist(StorageLevel.MEMORY_AND_DISK)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
                   F.max("k").alias("kmax"),
-                  (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey")).first()
+                  (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey"),
+                  F.min("blk").alias("bmin"), F.max("blk").alias("bmax")).first()
     n, dim, kmax, nkey = stats["n"], stats["dim"], stats["kmax"], stats["nkey"] or 0
     if not n or not kmax or kmax < 1:
         q.unpersist()
@@ -210,20 +219,27 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         # hash blocks; twice the count so a block stays under the bound
         n_blocks *= 2
 
-    vcols = [F.col(vec_id_col).cast("long").alias("vec_id"),
-             F.col(vec_col).alias("vec")]
-    if key_mode == "probe":
-        vcols.append(F.col(vec_key_col).cast("long").alias("vkey"))
-    elif key_mode == "lsh":
-        vcols.append(F.col(vec_key_col).cast("array<long>").alias("vkey"))
-    v = (vectors.select(*vcols)
-         .where(F.col("vec").isNotNull() & (F.size("vec") == dim)))
+    def prepare_vectors(vdf: DataFrame) -> DataFrame:
+        vcols = [F.col(vec_id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")]
+        if key_mode == "probe":
+            vcols.append(F.col(vec_key_col).cast("long").alias("vkey"))
+        elif key_mode == "lsh":
+            vcols.append(F.col(vec_key_col).cast("array<long>").alias("vkey"))
+        return vdf.select(*vcols).where(F.col("vec").isNotNull() & (F.size("vec") == dim))
+
+    v = prepare_vectors(vectors)
+    if block_col and n_blocks > 1:
+        # contiguous ranges of the block key, so a block's queries share their probes
+        lo, hi = stats["bmin"], stats["bmax"]
+        width = max(1, (hi - lo + 1 + n_blocks - 1) // n_blocks)
+        block_of = F.floor((F.col("blk") - F.lit(lo)) / F.lit(width))
+    else:
+        block_of = F.pmod(F.col("blk"), F.lit(n_blocks))
 
     parts = []
     for b in range(n_blocks):
-        block_df = q if n_blocks == 1 else q.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        pdf = block_df.toPandas()
+        block_df = q if n_blocks == 1 else q.where(block_of == b)
+        pdf = block_df.drop("blk").toPandas()
         if len(pdf) == 0:
             continue
         payload = {
@@ -237,7 +253,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         fn = partial(_local_topk, bc=bc, kmax=int(kmax), metric=metric,
                      exclude_self=exclude_self, key_mode=key_mode, tol_scale=tol_scale,
                      tie_decimals=tie_decimals, ids_desc=ids_desc)
-        parts.append(v.mapInPandas(fn, HIT_SCHEMA))
+        vb = v if vectors_for_block is None else prepare_vectors(vectors_for_block(pdf))
+        parts.append(vb.mapInPandas(fn, HIT_SCHEMA))
     q.unpersist()
     if not parts:
         return spark.createDataFrame([], RESULT_SCHEMA)

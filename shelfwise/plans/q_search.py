@@ -158,7 +158,7 @@ def q_rerank(spark, sf):
 
 # -- N11: batch retrieval with per-request k, rerank flag and error rows -----
 
-@register("batch_retrieve",
+BATCH_RETRIEVE_SQL = (
           f"WITH {META_CTE},\nreq AS ({REQUESTS_SQL}),\n"
           "queries AS (SELECT query_id AS qid, text_query, k, rerank FROM req "
           "WHERE NOT (text_query IS NULL OR text_query = '' OR k IS NULL OR k < 1 OR k > 50)),\n"
@@ -179,6 +179,9 @@ def q_rerank(spark, sf):
           "SELECT query_id, NULL, NULL, NULL, 'Error processing query: ' || CASE WHEN text_query IS NULL "
           "OR text_query = '' THEN 'no text or image query' ELSE 'k must be in 1..50' END FROM req "
           "WHERE text_query IS NULL OR text_query = '' OR k IS NULL OR k < 1 OR k > 50")
+
+
+@register("batch_retrieve", BATCH_RETRIEVE_SQL)
 def q_batch_retrieve(spark, sf):
     meta, index = _index(spark, sf)
     out = retrieval.batch_retrieve(requests(spark, sf), index, meta, dim=DIM)
@@ -242,3 +245,22 @@ def q_append_stats(spark, sf):
                     F.lit("flat").alias("index_type"),
                     F.round(F.col("total_vectors") * F.col("dimension") * 4 / (1024.0 * 1024.0), 6)
                     .alias("memory_usage_mb"), "distinct_ids")
+
+
+# -- the batch-search endpoint as a stream of request files ------------------------
+
+@register("stream_retrieve", BATCH_RETRIEVE_SQL)
+def q_stream_retrieve(spark, sf):
+    """Requests written as JSON files, served by a Structured Streaming query."""
+    from ..sources import io
+    from ..streaming.requests import read_stream_output, start_request_stream
+    meta, index = _index(spark, sf)
+    req_dir = io.write_json(requests(spark, sf), io.shared_folder(spark, "requests"))
+    out_dir = io.shared_folder(spark, "responses")
+    q = start_request_stream(spark, req_dir, index, meta, out_dir, dim=DIM)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    out = read_stream_output(spark, out_dir)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id",
+                      r6("score").alias("score"), "message")

@@ -98,6 +98,17 @@ def test_ivf_all_probes_is_exact_and_needs_enough_rows(spark):
         ann.train_ivf(few, nlist=10)
 
 
+def test_ivf_blocked_by_home_cluster_is_exact_with_all_probes(spark):
+    v, X = _vecs(spark, n=60, d=8, dup=False)
+    idx = ann.train_ivf(v, nlist=6)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = ann.ivf_search(q, idx, k=3, nprobe=6, max_broadcast_bytes=1500).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.vec_id)
+    assert res == _brute(X, X, range(60), 3, "l2")
+
+
 def test_ivf_restricts_to_probed_clusters(spark):
     v, _ = _vecs(spark, n=80, d=8, dup=False)
     idx = ann.train_ivf(v, nlist=8)
