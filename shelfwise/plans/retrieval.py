@@ -15,9 +15,27 @@ from ..operators.knn import knn_join
 from ..operators.search import attach, rerank_by_overlap, with_no_result_rows
 
 
-def embed_products(meta: DataFrame, dim: int = 64, text_col: str = "combined_text") -> DataFrame:
-    """Product vectors for the index (V1 default encoder)."""
-    return meta.select(F.col("product_id").alias("vec_id"), hash_embed(text_col, dim).alias("embedding"))
+def embed_products(meta: DataFrame, dim: int = 64, text_col: str = "combined_text",
+                   encoder=None, id_col: str = "product_id") -> DataFrame:
+    """Product vectors for the index.
+
+    Default encoder: hashed bag of words (JVM buckets + Arrow histogram).
+    ``encoder``: a caller's batch function ``list[str] -> array (n, dim)`` (a
+    model), run over Arrow batches with ``mapInPandas`` so the model loads
+    once per Python worker and sees whole batches.
+    """
+    if encoder is None:
+        return meta.select(F.col(id_col).alias("vec_id"), hash_embed(text_col, dim).alias("embedding"))
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            vecs = np.asarray(encoder(pdf["t"].fillna("").tolist()), dtype=np.float32)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("int64"), "embedding": list(vecs)})
+
+    return (meta.select(F.col(id_col).cast("long").alias("vec_id"), F.col(text_col).alias("t"))
+            .mapInPandas(run, "vec_id long, embedding array<float>"))
 
 
 def retrieve(requests: DataFrame, index: DataFrame, metadata: DataFrame, k: int = 5,

@@ -126,3 +126,13 @@ def test_lsh_search_returns_exact_scores(spark):
     q = v.withColumnRenamed("vec_id", "query_id")
     for r in ann.lsh_search(q, idx, k=3).collect():
         assert abs(r.score - ((X[r.query_id] - X[r.vec_id]) ** 2).sum()) < 1e-9
+
+
+def test_encoder_plug_point(spark):
+    import numpy as np
+
+    from shelfwise.plans.retrieval import embed_products
+    meta = spark.createDataFrame([(1, "ab"), (2, "abcd")], "product_id long, combined_text string")
+    enc = lambda texts: np.array([[len(t), 1.0] for t in texts])
+    got = {r.vec_id: r.embedding for r in embed_products(meta, encoder=enc).collect()}
+    assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}
