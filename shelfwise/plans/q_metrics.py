@@ -33,7 +33,7 @@ def lit(s: str) -> str:
           "FROM events GROUP BY ROLLUP (event_type)")
 def q_latency(spark, sf):
     ev = read_table(spark, sf, "events", ["event_type", "value"])
-    s = MX.latency_summary(ev, "value", ["event_type"])
+    s = MX.latency_summary(ev, "value", ["event_type"], with_total=True)
     return s.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), "n",
                     *[MX.round_col(c) for c in s.columns if c.endswith("_ms")])
 
