@@ -43,8 +43,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder, setting a local one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only local runs (tests, bench) get a temporary folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is
+    (a cluster without it is an error, never a machine-local folder). Only
+    local-mode runs (tests, bench) get a temporary folder when it is unset.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -54,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors share "
+                         "(checkpoints and round-trip tables are written there)")
     folder = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
