@@ -178,7 +178,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
              max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
              tol_scale: float = 1e-9, tie_decimals: int | None = None,
              ids_desc: bool = False, block_col: str | None = None,
-             vectors_for_block=None) -> DataFrame:
+             vectors_for_block=None, max_scan_tasks: int | None = None) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
@@ -195,6 +195,12 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     ``vectors_for_block(block_pandas) -> DataFrame`` may narrow the vectors a
     block scans (IVF: only the clusters that block probes, which partition
     pruning then skips reading).
+
+    Every scan task emits at most k rows per query, so the merge volume is
+    k x (scan tasks) per query. A very large vector table (hundreds of
+    thousands of splits) is therefore coalesced -- without a shuffle -- to
+    ``max_scan_tasks`` (default 4 x cluster cores); each task still streams its
+    files batch by batch, so memory stays bounded.
     """
     metric = metric.lower()
     if metric not in ("l2", "ip"):
@@ -225,7 +231,9 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
             vcols.append(F.col(vec_key_col).cast("long").alias("vkey"))
         elif key_mode == "lsh":
             vcols.append(F.col(vec_key_col).cast("array<long>").alias("vkey"))
-        return vdf.select(*vcols).where(F.col("vec").isNotNull() & (F.size("vec") == dim))
+        out = vdf.select(*vcols).where(F.col("vec").isNotNull() & (F.size("vec") == dim))
+        cap = max_scan_tasks or 4 * spark.sparkContext.defaultParallelism
+        return out.coalesce(cap) if out.rdd.getNumPartitions() > cap else out
 
     v = prepare_vectors(vectors)
     if block_col and n_blocks > 1:

@@ -136,3 +136,14 @@ def test_encoder_plug_point(spark):
     enc = lambda texts: np.array([[len(t), 1.0] for t in texts])
     got = {r.vec_id: r.embedding for r in embed_products(meta, encoder=enc).collect()}
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_scan_coalesced_to_bounded_tasks_stays_exact(spark):
+    v, X = _vecs(spark, n=80, d=8, dup=False)
+    many = v.repartition(40)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = knn_join(q, many, k=3, max_scan_tasks=3).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.vec_id)
+    assert res == _brute(X, X, range(80), 3, "l2")
