@@ -61,6 +61,22 @@ def train_ivf(vectors: DataFrame, nlist: int = IVF_NLIST, metric: str = "l2", se
     return IvfIndex(assigned, centroids, nlist, metric)
 
 
+def ivf_add(index: IvfIndex | None, vectors: DataFrame, nlist: int = IVF_NLIST, metric: str = "l2",
+            train_if_needed: bool = True, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
+    """N6 for IVF: train on the first add (if allowed), else assign new vectors to
+    their nearest existing centroid (exact kNN against the centroid table)."""
+    if index is None:
+        if not train_if_needed:
+            raise ValueError("IVF index needs training but train_if_needed=False")
+        return train_ivf(vectors, nlist, metric, id_col=id_col, vec_col=vec_col)
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
+    near = knn_join(v.withColumnRenamed("vec_id", "query_id"), index.centroids, k=1, metric="l2",
+                    vec_id_col="cluster_id", vec_col="centroid")
+    added = v.join(near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("cluster_id")), "vec_id")
+    return IvfIndex(index.vectors.unionByName(added.select("vec_id", "embedding", "cluster_id")),
+                    index.centroids, index.nlist, index.metric)
+
+
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int = IVF_NPROBE,
                 query_id_col: str = "query_id", query_vec_col: str = "embedding") -> DataFrame:
     """``(query_id, probes array<long>)``: the ``nprobe`` nearest centroids by L2."""

@@ -147,3 +147,18 @@ def test_scan_coalesced_to_bounded_tasks_stays_exact(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
     assert res == _brute(X, X, range(80), 3, "l2")
+
+
+def test_ivf_add_assigns_new_vectors(spark):
+    v, X = _vecs(spark, n=70, d=8, dup=False)
+    with pytest.raises(ValueError, match="train_if_needed"):
+        ann.ivf_add(None, v.where("vec_id < 50"), nlist=5, train_if_needed=False)
+    idx = ann.ivf_add(None, v.where("vec_id < 50"), nlist=5)
+    idx = ann.ivf_add(idx, v.where("vec_id >= 50"))
+    assert idx.vectors.count() == 70 and idx.vectors.where("cluster_id IS NULL").count() == 0
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = ann.ivf_search(q, idx, k=2, nprobe=5).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.vec_id)
+    assert res == _brute(X, X, range(70), 2, "l2")
