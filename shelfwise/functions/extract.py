@@ -186,12 +186,11 @@ def extracted_long(df: DataFrame, id_col: str, text_col: str, table: PatternTabl
 
 
 def field_suggestions(df: DataFrame, id_col: str, text_col: str, table: PatternTable = DEFAULT_TABLE) -> DataFrame:
-    """F16: ``(id, field, description, value, keywords)`` with the first 3 declared keywords."""
+    """F16: one suggestion per pattern whose field was extracted:
+    ``(id, field, description, value, keywords)`` with the first 3 declared keywords."""
     spark = df.sparkSession
-    meta = (table.to_df(spark).groupBy("field_name")
-            .agg(F.min_by(F.struct("description", F.slice("keywords", 1, 3).alias("kw3")), "ord").alias("m"))
-            .select(F.col("field_name").alias("field"), F.col("m.description").alias("description"),
-                    F.col("m.kw3").alias("keywords")))
+    meta = table.to_df(spark).select(F.col("field_name").alias("field"), "description",
+                                     F.slice("keywords", 1, 3).alias("keywords"))
     # the pattern table is bounded configuration: broadcast it
     return extracted_long(df, id_col, text_col, table).join(F.broadcast(meta), "field")
 

@@ -63,6 +63,8 @@ def test_custom_pattern_and_diagnostics(spark):
     df = spark.createDataFrame([(1, "Warranty: 2 years | Color: red | Hue: crimson")], "id int, text string")
     m = df.select(X.extract_all_fields("text", t).alias("m")).first().m
     assert m["warranty"] == "2 years" and m["color"] == "crimson"  # a later duplicate field wins
+    sug = X.field_suggestions(df, "id", "text", t).where("field = 'color'").collect()
+    assert sorted(r.description for r in sug) == ["Product color", "Second color pattern"]
     d = X.pattern_diagnostics(t, spark).first()
     assert d.total_patterns == 14 and d.duplicate_fields == ["color"]
     assert d.patterns_by_priority == {1: 4, 2: 4, 3: 6}
