@@ -71,15 +71,30 @@ def q_process_job(spark, sf):
     return meta.select(*[F.col(c.strip()) for c in META_COLS.split(",")])
 
 
-@register("build_job",
+BUILD_SQL = (
           f"WITH {META_CTE}, {hash_sql('D', 'meta', 'product_id', 'combined_text')}, "
           f"grid AS (SELECT product_id AS id, b FROM meta, range({DIM}) t(b)), "
           f"cells AS (SELECT g.id, g.b, coalesce(x.c / n.nrm, 0.0) AS v FROM grid g "
           f"LEFT JOIN D_b x ON x.id = g.id AND x.b = g.b LEFT JOIN D_n n ON n.id = g.id) "
           f"SELECT id AS vec_id, list(round(v, 6) ORDER BY b) AS embedding FROM cells GROUP BY id")
+
+
+@register("build_job", BUILD_SQL)
 def q_build_job(spark, sf):
     out = io.shared_folder(spark, "job")
     paths = jobs.process_data(spark, _write_product_csv(spark, sf), os.path.join(out, "data"), columns=CSV_COLUMNS)
     path = jobs.build_index(spark, paths["metadata"], os.path.join(out, "index"), dim=DIM)
     vectors, _, _, _ = io.load_index(spark, path)
     return vectors.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@register("build_job_ivf", BUILD_SQL)
+def q_build_job_ivf(spark, sf):
+    """S10 with an IVF index: KMeans clusters, vectors saved partitionBy(cluster_id), centroids."""
+    out = io.shared_folder(spark, "job-ivf")
+    paths = jobs.process_data(spark, _write_product_csv(spark, sf), os.path.join(out, "data"), columns=CSV_COLUMNS)
+    path = jobs.build_index(spark, paths["metadata"], os.path.join(out, "index"), dim=DIM, index_type="ivf", nlist=8)
+    vectors, centroids, _, man = io.load_index(spark, path)
+    if centroids is None or man.get("partition_col") != "cluster_id" or man.get("nlist") != 8:
+        raise RuntimeError("IVF index must reload with its centroids and cluster partitions")
+    return vectors.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
