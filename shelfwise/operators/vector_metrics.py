@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import CATEGORY_LOSS_ALPHA, CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import as_double, norm, similarity

@@ -11,7 +11,7 @@ from ..operators import metrics as MX
 from ..operators import search, truth
 from ..operators.generate import generate_answers
 from ..sources.tables import read_table
-from .q_clean import META_CTE, WORD_RE, cleaned, metadata, sql_strip
+from .q_clean import META_CTE, WORD_RE, cleaned, sql_strip
 from .q_search import DIM, hash_sql, hash_dist_sql
 from .registry import register
 from . import retrieval

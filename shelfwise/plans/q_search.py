@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import token_set
 from ..functions.vectors import hash_embed
 from ..operators import search
 from ..operators.knn import knn_join

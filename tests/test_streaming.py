@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from shelfwise.sources import io
 from shelfwise.streaming.requests import read_stream_output, start_request_stream
