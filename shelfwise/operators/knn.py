@@ -181,7 +181,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
              max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
              tol_scale: float = 1e-9, tie_decimals: int | None = None,
              ids_desc: bool = False, block_col: str | None = None,
-             vectors_for_block=None, max_scan_tasks: int | None = None) -> DataFrame:
+             vectors_for_block=None, max_scan_tasks: int | None = None,
+             materialize_over: int = 8) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
@@ -204,6 +205,11 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     thousands of splits) is therefore coalesced -- without a shuffle -- to
     ``max_scan_tasks`` (default 4 x cluster cores); each task still streams its
     files batch by batch, so memory stays bounded.
+
+    With more than ``materialize_over`` query blocks, each block's hits are
+    written to the shared checkpoint folder as its own job and the merge reads
+    them back: the plan stays small, and a lost executor costs one block, not
+    the whole search.
     """
     metric = metric.lower()
     if metric not in ("l2", "ip"):
@@ -289,9 +295,16 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         q.unpersist()
     if not parts:
         return spark.createDataFrame([], RESULT_SCHEMA)
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    if len(parts) > materialize_over:
+        from ..sources.io import shared_folder
+        base = shared_folder(spark, "knn-hits")
+        for i, p in enumerate(parts):
+            p.write.mode("overwrite").parquet(f"{base}/block={i}")
+        hits = spark.read.parquet(base).select(*HIT_SCHEMA.fieldNames())
+    else:
+        hits = parts[0]
+        for p in parts[1:]:
+            hits = hits.unionByName(p)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").desc() if ids_desc else F.col("vec_id").asc())
     return (hits.withColumn("rank", F.row_number().over(w))

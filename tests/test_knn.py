@@ -162,3 +162,13 @@ def test_ivf_add_assigns_new_vectors(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
     assert res == _brute(X, X, range(70), 2, "l2")
+
+
+def test_many_blocks_materialised_stay_exact(spark):
+    v, X = _vecs(spark, n=60, d=8, dup=False)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = knn_join(q, v, k=3, max_broadcast_bytes=800, materialize_over=2).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.vec_id)
+    assert res == _brute(X, X, range(60), 3, "l2")
