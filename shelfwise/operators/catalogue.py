@@ -6,11 +6,19 @@ and the price is below that; or the query says ``headphones`` and so does the
 name (else ``toys`` and the category). Results keep the first product of each
 name (catalogue order = ``product_id``) and the first ``max_results`` names.
 
-Plan: the query table is broadcast behind a size check and matched in the
-product scan (a conditional broadcast join -- the substring test has no
-equi-key); per (query, name) the first product is a partial aggregate, and the
-top-``max_results`` per query uses a literal rank limit so Spark trims each
-partition before the shuffle. No query's match list is ever gathered whole.
+Plan, without any query x product cross join:
+
+* the final list is the first ``max_results`` names of a union, so it equals
+  the first names over the union of each part's own first names;
+* substring part: products explode their character grams (lengths
+  1..``gram``, plain codegen'd ``substring`` after ``explode(sequence)``), kept
+  only where some query needs the gram (semi-join) and checkpointed once. A
+  query no longer than ``gram`` *is* a gram: its answer is the per-gram first
+  names. A longer query joins on its rarest ``gram``-gram (frequencies from
+  the same index) and each candidate is verified with an exact ``contains``;
+* rule parts (price phrases, category words, the empty query) do not depend on
+  the query text beyond a flag: their first names are computed once (at most
+  ``max_results`` rows per rule) and attached to flagged queries as literals.
 """
 
 from __future__ import annotations
@@ -18,41 +26,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CATALOGUE_MAX_RESULTS, MAX_BROADCAST_BYTES
+from ..constants import CATALOGUE_MAX_RESULTS
 
 # FIXED VALUES: the demo search's price and category phrases, in checking order.
 PRICE_RULES = [("under $100", 100.0), ("under $50", 50.0)]
 CATEGORY_RULES = [("headphones", "name"), ("toys", "category")]
 
 
-def _match(q: Column, name: Column, desc: Column, cat: Column, price: Column) -> Column:
-    ql = F.lower(q)
-    text = ql.isNotNull() & (F.lower(name).contains(ql) | F.lower(desc).contains(ql) | F.lower(cat).contains(ql))
-    (p1, lim1), (p2, lim2) = PRICE_RULES
-    # "if A and B ... elif C and D": the second rule applies whenever the first fails
-    price_hit = (ql.contains(p1) & (price < lim1)) | (ql.contains(p2) & (price < lim2))
-    (w1, f1), (w2, f2) = CATEGORY_RULES
-    fields = {"name": name, "category": cat}
-    cat_hit = ((ql.contains(w1) & F.lower(fields[f1]).contains(w1))
-               | (ql.contains(w2) & F.lower(fields[f2]).contains(w2)))
-    return F.coalesce(text, F.lit(False)) | F.coalesce(price_hit, F.lit(False)) | F.coalesce(cat_hit, F.lit(False))
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _first_names(df: DataFrame, key: list[str], k: int) -> DataFrame:
+    """First ``k`` names per key, each name represented by its smallest product id."""
+    firsts = df.groupBy(*key, "name").agg(F.min("product_id").alias("product_id"))
+    w = Window.partitionBy(*key).orderBy("product_id")
+    return firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int = CATALOGUE_MAX_RESULTS,
-                     max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                     gram: int = 3) -> DataFrame:
     """``(query_id, rank, product_id, name, price, category, description, url)``.
 
     ``products``: (product_id, name, price, category, description, url);
     ``queries``: (query_id, query).
     """
-    q = queries.select("query_id", "query")
-    size = q.agg(F.sum(F.length("query") + 16).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if (size["b"] or 0) > max_broadcast_bytes:
-        raise ValueError("query table too large to broadcast; split it into batches of queries")
+    k = max_results
     p = products.select("product_id", "name", "price", "category", "description", "url")
-    matched = p.join(F.broadcast(q), _match(F.col("query"), F.col("name"), F.col("description"),
-                                             F.col("category"), F.col("price")))
-    first = matched.groupBy("query_id", "name").agg(F.min("product_id").alias("product_id"))
-    w = Window.partitionBy("query_id").orderBy("product_id")
-    top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results)
+    low = [F.lower(F.col(c)) for c in ("name", "description", "category")]
+    q = queries.select("query_id", F.lower("query").alias("ql")).where(F.col("ql").isNotNull())
+
+    # -- rule parts: first names per rule, attached to flagged queries ------------
+    (p100, lim100), (p50, lim50) = PRICE_RULES
+    (w1, f1), (w2, f2) = CATEGORY_RULES
+    field = {"name": low[0], "category": low[2]}
+    rule_flags = F.array(
+        F.when(F.col("price") < lim100, F.lit("p100")), F.when(F.col("price") < lim50, F.lit("p50")),
+        F.when(field[f1].contains(w1), F.lit("c1")), F.when(field[f2].contains(w2), F.lit("c2")),
+        F.lit("all"))
+    tagged = p.select("product_id", "name", F.explode(F.filter(rule_flags, lambda x: x.isNotNull())).alias("rule"))
+    rule_rows = _first_names(tagged, ["rule"], k).collect()          # at most 5 rules x k rows
+    per_rule: dict[str, list] = {}
+    for r in rule_rows:
+        per_rule.setdefault(r["rule"], []).append((r["product_id"], r["name"]))
+
+    def lit_set(rule: str) -> Column:
+        items = per_rule.get(rule, [])
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("product_id"), F.lit(n).alias("name"))
+                         for i, n in items]) if items else F.array().cast("array<struct<product_id:bigint,name:string>>")
+
+    ql = F.col("ql")
+    empty = lit_set("all").cast("array<struct<product_id:bigint,name:string>>")
+    none = F.array().cast("array<struct<product_id:bigint,name:string>>")
+    rule_cands = F.concat(
+        F.when(ql.contains(p100), lit_set("p100")).when(ql.contains(p50), lit_set("p50")).otherwise(none),
+        F.when(ql.contains(w1), lit_set("c1")).otherwise(none),
+        F.when(ql.contains(w2), lit_set("c2")).otherwise(none),
+        F.when(ql == "", empty).otherwise(none))
+    from_rules = (q.select("query_id", F.explode(rule_cands).alias("c"))
+                  .select("query_id", F.col("c.product_id").alias("product_id"), F.col("c.name").alias("name")))
+
+    # -- substring part: character-gram index, restricted to grams queries need ------------
+    short = q.where((F.length("ql") >= 1) & (F.length("ql") <= gram))
+    long_q = q.where(F.length("ql") > gram)
+    qg = long_q.select("query_id", "ql", F.explode(F.array_distinct(_grams(ql, gram))).alias("g"))
+    needed = short.select(F.col("ql").alias("g")).unionByName(qg.select("g")).distinct()
+    fields = p.select("product_id", "name", F.explode(F.array(*low)).alias("t")).where(F.col("t").isNotNull())
+    pos = fields.select("product_id", "name", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))
+    grams_at = F.array(*[F.when(F.col("i") + (n - 1) <= F.length("t"), F.substring("t", F.col("i"), F.lit(n)))
+                         for n in range(1, gram + 1)])
+    index = (pos.select("product_id", "name", F.explode(grams_at).alias("g"))
+             .where(F.col("g").isNotNull())
+             .join(needed, "g", "left_semi"))
+    index = index.checkpoint()  # read three times below
+
+    short_names = _first_names(index.join(short.select(F.col("ql").alias("g")).distinct(), "g"), ["g"], k)
+    from_short = short.join(short_names, short["ql"] == short_names["g"]).select("query_id", "product_id", "name")
+
+    freq = index.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    rarest = (qg.join(freq, "g").groupBy("query_id", "ql")
+              .agg(F.min_by("g", F.struct("f", "g")).alias("g")))
+    cands = rarest.join(index.select("g", "product_id"), "g").join(p, "product_id")
+    texts_match = (F.lower("name").contains(F.col("ql")) | F.lower("description").contains(F.col("ql"))
+                   | F.lower("category").contains(F.col("ql")))
+    from_long = cands.where(F.coalesce(texts_match, F.lit(False))).select("query_id", "product_id", "name")
+
+    # -- union of parts -> first names per query ------------------------------------------
+    allc = from_rules.unionByName(from_short).unionByName(from_long)
+    top = _first_names(allc, ["query_id"], k).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id")))
     return top.select("query_id", "rank", "product_id").join(p, "product_id")
