@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +38,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +64,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfwise`` importable in Python workers, whatever the driver's cwd.
+
+    UDFs and ``mapInPandas`` bodies are pickled by reference to this package.
+    The package is zipped and added with ``addPyFile`` (Spark ships it to every
+    executor), and for local mode the package root also goes on the workers'
+    ``PYTHONPATH``. Done once per application.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    env = sc.environment.get("PYTHONPATH", "")
+    if root not in env.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join([p for p in (root, env) if p])
+    # driver-side file handed to Spark's file server; executors fetch it from there
+    fd, path = tempfile.mkstemp(prefix="shelfwise-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

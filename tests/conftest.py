@@ -13,7 +13,7 @@ SF001 = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from shelfwise.session import ensure_checkpoint_dir
+    from shelfwise.session import ensure_checkpoint_dir, ship_package
 
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
@@ -24,6 +24,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
