@@ -49,9 +49,6 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType(), False),
 ])
 
-# Query sides up to this many rows are collected in a single action.
-_SMALL_QUERY_ROWS = 4096
-
 # Entries of one distance block (queries x vectors); bounds task memory.
 _BLOCK_ENTRIES = 16_000_000
 
@@ -217,37 +214,23 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     spark = queries.sparkSession
     q = _prepare_queries(queries, query_id_col, query_vec_col, k, k_col,
                          query_key_col if key_mode != "none" else None, block_col)
-    # small query sides (one request, a page of requests) are collected in one
-    # action; larger ones are sized first and split into broadcast blocks
-    head = q.limit(_SMALL_QUERY_ROWS + 1).toPandas()
-    small = len(head) <= _SMALL_QUERY_ROWS
-    if small:
-        n = len(head)
-        if n == 0:
-            return spark.createDataFrame([], RESULT_SCHEMA)
-        dim = int(head["qvec"].map(len).max())
-        kmax = int(head["k"].max())
-        nkey = int(head["qkey"].map(len).max()) if key_mode != "none" else 0
-        small = n * (8 * (dim + nkey) + 32) <= max_broadcast_bytes
-    if small:
-        n_blocks = 1
-        stats = None
-    else:
-        # sized and collected in separate actions: keep the prepared side (spills to disk)
-        q = q.persist(StorageLevel.MEMORY_AND_DISK)
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
-                      F.max("k").alias("kmax"),
-                      (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey"),
-                      F.min("blk").alias("bmin"), F.max("blk").alias("bmax")).first()
-        n, dim, kmax, nkey = stats["n"], stats["dim"], stats["kmax"], stats["nkey"] or 0
-        row_bytes = 8 * (dim + nkey) + 32
-        per_block = max(1, max_broadcast_bytes // row_bytes)
-        # twice the block count so a hash/range block stays under the bound
-        n_blocks = 2 * max(1, math.ceil(n / per_block))
-    if not kmax or kmax < 1:
-        if not small:
-            q.unpersist()
+    # sized and collected in separate actions: keep the prepared side (spills to disk)
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
+                  F.max("k").alias("kmax"),
+                  (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey"),
+                  F.min("blk").alias("bmin"), F.max("blk").alias("bmax")).first()
+    n, dim, kmax, nkey = stats["n"], stats["dim"], stats["kmax"], stats["nkey"] or 0
+    if not n or not kmax or kmax < 1:
+        q.unpersist()
         return spark.createDataFrame([], RESULT_SCHEMA)
+    row_bytes = 8 * (dim + nkey) + 32
+    per_block = max(1, max_broadcast_bytes // row_bytes)
+    n_blocks = max(1, math.ceil(n / per_block))
+    small = n_blocks == 1
+    if not small:
+        # twice the block count so a hash/range block stays under the bound
+        n_blocks *= 2
 
     def prepare_vectors(vdf: DataFrame) -> DataFrame:
         vcols = [F.col(vec_id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")]
@@ -272,10 +255,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
 
     parts = []
     for b in range(n_blocks):
-        if small:
-            pdf = head.drop(columns=["blk"])
-        else:
-            pdf = q.where(block_of == b).drop("blk").toPandas()
+        pdf = (q if small else q.where(block_of == b)).drop("blk").toPandas()
         if len(pdf) == 0:
             continue
         payload = {
@@ -291,8 +271,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
                      tie_decimals=tie_decimals, ids_desc=ids_desc)
         vb = v if vectors_for_block is None else prepare_vectors(vectors_for_block(pdf))
         parts.append(vb.mapInPandas(fn, HIT_SCHEMA))
-    if not small:
-        q.unpersist()
+    q.unpersist()
     if not parts:
         return spark.createDataFrame([], RESULT_SCHEMA)
     if len(parts) > materialize_over:
