@@ -42,9 +42,10 @@ def q_latency(spark, sf):
 
 def _eval_inputs(spark, sf, k=20):
     from .q_search import _index
-    meta, index = _index(spark, sf)
+    c = cleaned(spark, sf)                       # one all-null-column pass, shared below
+    meta, index = _index(spark, sf, c)
     hits = search.similar_items(index, k=k, tie_decimals=9)
-    attrs = (cleaned(spark, sf).join(meta.select("product_id"), "product_id")
+    attrs = (c.join(meta.select("product_id"), "product_id")
              .select("product_id", F.col("Category").alias("category"), F.col("Product Name").alias("name")))
     a = attrs.select(F.col("product_id").alias("query_id"), F.col("category").alias("qc"), token_set("name").alias("qt"))
     b = attrs.select(F.col("product_id").alias("vec_id"), F.col("category").alias("cc"), token_set("name").alias("ct"))

@@ -119,10 +119,11 @@ RETRIEVAL_CTE = (
 )
 
 
-def _index(spark, sf):
+def _index(spark, sf, cleaned_products=None):
     """Accepted metadata and its vector index, materialised once (eager checkpoint
     into the shared checkpoint folder) like a built index that many searches read."""
-    meta = metadata(spark, sf)[0]
+    from ..operators.clean import create_metadata
+    meta = create_metadata(cleaned_products)[0] if cleaned_products is not None else metadata(spark, sf)[0]
     return meta, retrieval.embed_products(meta, DIM).checkpoint()
 
 
