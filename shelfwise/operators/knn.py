@@ -224,6 +224,10 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     if not n or not kmax or kmax < 1:
         q.unpersist()
         return spark.createDataFrame([], RESULT_SCHEMA)
+    probe = (vectors.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).limit(1).collect())
+    if probe and probe[0]["d"] != dim:
+        q.unpersist()
+        raise ValueError(f"query dimension {dim} doesn't match index dimension {probe[0]['d']}")
     row_bytes = 8 * (dim + nkey) + 32
     per_block = max(1, max_broadcast_bytes // row_bytes)
     n_blocks = max(1, math.ceil(n / per_block))

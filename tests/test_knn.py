@@ -172,3 +172,10 @@ def test_many_blocks_materialised_stay_exact(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
     assert res == _brute(X, X, range(60), 3, "l2")
+
+
+def test_dimension_mismatch_raises(spark):
+    v, _ = _vecs(spark, n=5, d=8, dup=False)
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="dimension 2 doesn't match index dimension 8"):
+        knn_join(q, v, k=2)
