@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_lists
+from . import chat, pieces, token_files, url_lists
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,24 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_captures(captures(spark, sf_dir), list_entries(spark, sf_dir))
 
 
+# ------------------------------------------- tokenizers: files and word pieces
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file (never copied into the repository)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 # ------------------------------------------------------------- chat formatting
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
