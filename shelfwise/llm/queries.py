@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pieces, token_files, url_lists
+from . import chat, jaccard, pieces, token_files, url_lists
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_captures(captures(spark, sf_dir), list_entries(spark, sf_dir))
 
 
+# --------------------------------------------------------- n-gram Jaccard join
+
+@register("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "class_key")
+
+
 # ------------------------------------------- tokenizers: files and word pieces
 
 def vocabulary(name: str) -> str:
