@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, pieces, token_files, url_lists
+from . import chat, jaccard, pieces, secrets, token_files, url_lists
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_links", "class_key")
 
 
+# ---------------------------------------------------------------- secret scans
+
+@register("op5_secret_scans")
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------- tokenizers: files and word pieces
 
 def vocabulary(name: str) -> str:
