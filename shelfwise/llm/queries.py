@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, pieces, secrets, token_files, url_lists
+from . import chat, decontam, jaccard, pieces, secrets, token_files, url_lists
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "class_id", "n_links", "class_key")
 
 
+# ----------------------------------------------------- benchmark decontamination
+
+@register("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # ---------------------------------------------------------------- secret scans
 
 @register("op5_secret_scans")
