@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_CHARS = 4_000_000
-TABLE_ENTRIES = 400_000
+BATCH_CHARS = 1_500_000
+TABLE_ENTRIES = 200_000
 
 
 def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:

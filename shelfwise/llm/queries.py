@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, pieces, secrets, token_files, url_lists
+from . import chat, decontam, jaccard, pieces, secrets, token_files, toxicity, url_lists
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# -------------------------------------------------------------------- toxicity
+
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # ------------------------------------------------------------------ URL lists
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,19 @@ class Words:
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts]
                           + (self.ends - self.starts).astype(np.uint64))
 
+    @classmethod
+    def concat(cls, parts: list[Words]) -> Words:
+        """One table of several, without their sums of powers: little memory."""
+        out = cls.__new__(cls)
+        byte = np.cumsum([0, *(len(w.bytes) for w in parts)])
+        word = np.cumsum([0, *(len(w.hashes) for w in parts)])
+        out.bytes = np.concatenate([np.zeros(0, np.uint8), *(w.bytes for w in parts)])
+        out.hashes = np.concatenate([np.zeros(0, np.uint64), *(w.hashes for w in parts)])
+        out.starts = np.concatenate([np.zeros(0, np.int64), *(w.starts + b for w, b in zip(parts, byte, strict=False))])
+        out.ends = np.concatenate([np.zeros(0, np.int64), *(w.ends + b for w, b in zip(parts, byte, strict=False))])
+        out.offsets = np.concatenate([[0], *(w.offsets[1:] + n for w, n in zip(parts, word, strict=False))])
+        return out
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
