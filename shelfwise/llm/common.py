@@ -43,7 +43,7 @@ def put_file(base: str, name: str, data: bytes) -> None:
     whose rows Spark keeps is ever referred to."""
     fs_, root = _filesystem(base)
     fs_.create_dir(root, recursive=True)
-    with fs_.open_output_stream(f"{root}/{name}") as out:
+    with fs_.open_output_stream(f"{root}/{name}", compression=None) as out:
         out.write(data)
 
 
@@ -57,4 +57,4 @@ def put_stream(base: str, name: str):
     """Output stream for ``base/name`` (same naming rule as :func:`put_file`)."""
     fs_, root = _filesystem(base)
     fs_.create_dir(root, recursive=True)
-    return fs_.open_output_stream(f"{root}/{name}")
+    return fs_.open_output_stream(f"{root}/{name}", compression=None)
