@@ -55,7 +55,7 @@ def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, max_has
     best = None
     for rows in range(1, max_hashes + 1):
         hit = threshold ** rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= max_hashes and bands <= 63:
             best = bands, rows
     if best is None:

@@ -43,7 +43,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-MARGIN = 1.5          # nats a character
+MARGIN = 1.0          # nats a character
 PRIOR = 0.5           # of each pair
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 PLACEHOLDER = "[secret]"
