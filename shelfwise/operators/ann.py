@@ -1,33 +1,34 @@
-"""Approximate search: inverted file (N3), random-projection LSH (N4), comparison.
-
-IVF: ``pyspark.ml`` KMeans (seeded) gives ``nlist`` centroids; every vector gets
-the id of its nearest centroid (L2, for either metric). A query probes its
-``nprobe`` nearest centroids -- an exact kNN against the small centroid table --
-and is compared only with vectors of those clusters. The scan of the vector
-table is the same broadcast-query scan as exact search with a cluster mask,
-so a very large cluster is spread over the scan's tasks instead of being
-grouped into one; when the index is stored ``partitionBy(cluster_id)``,
-``restrict_to_probed`` prunes unprobed partitions at the file listing.
-
-LSH: ``BucketedRandomProjectionLSH`` hashes (``num_tables`` tables of bucket
-``floor(v . r / w)``); a candidate shares a bucket with the query in at least
-one table; candidates are re-scored exactly. The bucket width defaults to a
-value derived from the data (the typical vector norm over sqrt(dim)).
+"""Approximate search: inverted file (N3), sign-projection LSH (N4), comparison.
+
+IVF: a centroid table (seeded KMeans of ``pyspark.ml``, or given by the caller);
+every vector gets the id of its nearest centroid (L2, for either metric). A query
+probes its ``nprobe`` nearest centroids and is compared only with the vectors of
+those clusters: query and vectors meet by equality on (cluster, block), so only
+probed pairs are computed and a large cluster is many blocks. On an index stored
+``partitionBy(cluster_id)``, ``restrict_to_probed`` prunes the files of clusters no
+query probes.
+
+LSH: ``num_tables`` hash tables; a vector's bucket in a table is the signs of
+``bits`` projections on vectors of +1 and -1 drawn from an md5 of (table, bit,
+component), on components scaled to integers, so buckets are the same on every
+machine. Candidates meet by equality on (table, bucket) and are scored exactly.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import IVF_NLIST, IVF_NPROBE, MAX_BROADCAST_BYTES
-from .knn import knn_join
+from ..constants import IVF_NLIST, IVF_NPROBE
+from ..sources.io import materialise
+from .knn import BLOCK_ROWS, compared_pairs, knn_join
 
 
 class IvfIndex:
@@ -45,114 +46,136 @@ def train_ivf(vectors: DataFrame, nlist: int = IVF_NLIST, metric: str = "l2", se
     """N3 training; needs at least ``nlist`` vectors like the reference."""
     n = vectors.count()
     if n < nlist:
-        raise ValueError(f"Need at least {nlist} vectors to train IVF index")
+        raise ValueError(f"an IVF index of {nlist} clusters takes at least {nlist} vectors, not {n}")
     feats = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"),
                            array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cluster_id").fit(feats)
-    spark = vectors.sparkSession
     cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    dim = len(cents[0][1]) if cents else 0
-    if nlist * dim * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError("centroid table exceeds the broadcast bound; lower nlist")
-    centroids = spark.createDataFrame(cents, T.StructType([
+    centroids = vectors.sparkSession.createDataFrame(cents, T.StructType([
         T.StructField("cluster_id", T.LongType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))]))
     assigned = model.transform(feats).select("vec_id", "embedding", F.col("cluster_id").cast("long"))
     return IvfIndex(assigned, centroids, nlist, metric)
 
 
+def _assign(vectors: DataFrame, centroids: DataFrame, tie_decimals: int | None = None) -> DataFrame:
+    """Vectors with the id of their nearest centroid."""
+    near = knn_join(vectors.withColumnRenamed("vec_id", "query_id"), centroids, k=1, metric="l2",
+                    vec_id_col="cluster_id", vec_col="centroid", tie_decimals=tie_decimals)
+    return vectors.join(near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("cluster_id")), "vec_id")
+
+
+def ivf_from_centroids(vectors: DataFrame, centroids: DataFrame, metric: str = "l2",
+                       tie_decimals: int | None = None) -> IvfIndex:
+    """An index over the caller's centroids ``(cluster_id, centroid)``."""
+    rows = _assign(vectors.select("vec_id", "embedding"), centroids, tie_decimals)
+    return IvfIndex(materialise(rows, "ivf-vectors"), centroids, centroids.count(), metric)
+
+
 def ivf_add(index: IvfIndex | None, vectors: DataFrame, nlist: int = IVF_NLIST, metric: str = "l2",
             train_if_needed: bool = True, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
     """N6 for IVF: train on the first add (if allowed), else assign new vectors to
-    their nearest existing centroid (exact kNN against the centroid table)."""
+    their nearest existing centroid. Vectors of another dimension raise."""
     if index is None:
         if not train_if_needed:
-            raise ValueError("IVF index needs training but train_if_needed=False")
+            raise ValueError("this IVF index is untrained and train_if_needed is False")
         return train_ivf(vectors, nlist, metric, id_col=id_col, vec_col=vec_col)
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
-    near = knn_join(v.withColumnRenamed("vec_id", "query_id"), index.centroids, k=1, metric="l2",
-                    vec_id_col="cluster_id", vec_col="centroid")
-    added = v.join(near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("cluster_id")), "vec_id")
-    return IvfIndex(index.vectors.unionByName(added.select("vec_id", "embedding", "cluster_id")),
-                    index.centroids, index.nlist, index.metric)
+    added = _assign(v, index.centroids).select("vec_id", "embedding", "cluster_id")
+    return IvfIndex(index.vectors.unionByName(added), index.centroids, index.nlist, index.metric)
 
 
 def probe_lists(queries: DataFrame, index: IvfIndex, nprobe: int = IVF_NPROBE,
-                query_id_col: str = "query_id", query_vec_col: str = "embedding") -> DataFrame:
+                query_id_col: str = "query_id", query_vec_col: str = "embedding",
+                tie_decimals: int | None = None) -> DataFrame:
     """``(query_id, probes array<long>)``: the ``nprobe`` nearest centroids by L2."""
     near = knn_join(queries, index.centroids, k=min(nprobe, index.nlist), metric="l2",
                     query_id_col=query_id_col, query_vec_col=query_vec_col,
-                    vec_id_col="cluster_id", vec_col="centroid")
+                    vec_id_col="cluster_id", vec_col="centroid", tie_decimals=tie_decimals)
     return near.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("probes"))
 
 
-def restrict_to_probed(index_vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """Keep only clusters some query probes (a list bounded by nlist; prunes partitions)."""
+def restrict_to_probed(index: IvfIndex, probes: DataFrame) -> IvfIndex:
+    """Only the clusters some query probes. Their ids, ``nlist`` at most, become a
+    filter on ``cluster_id``, which prunes the partitions of a stored index."""
     ids = [r[0] for r in probes.select(F.explode("probes")).distinct().collect()]
-    return index_vectors.where(F.col("cluster_id").isin(ids))
+    return IvfIndex(index.vectors.where(F.col("cluster_id").isin(ids)), index.centroids, index.nlist, index.metric)
 
 
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = IVF_NPROBE, *,
                query_id_col: str = "query_id", query_vec_col: str = "embedding",
-               exclude_self: bool = False, tie_decimals: int | None = None,
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` searching only probed clusters."""
-    probes = probe_lists(queries, index, nprobe, query_id_col, query_vec_col)
-    q = (queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
-         .join(probes, "query_id").withColumn("home", F.element_at("probes", 1)))
-
-    def probed_only(block) -> DataFrame:
-        # the clusters this block of queries probes (at most nlist ids)
-        ids = sorted({int(c) for keys in block["qkey"] for c in keys})
-        return index.vectors.where(F.col("cluster_id").isin(ids))
-
-    # queries sharing a home cluster go to the same broadcast block, so each
-    # block reads only its probed clusters' partitions
-    return knn_join(q, index.vectors, k=k, metric=index.metric, query_vec_col="qvec", query_key_col="probes",
-                    vec_key_col="cluster_id", key_mode="probe", exclude_self=exclude_self,
-                    tie_decimals=tie_decimals, block_col="home", vectors_for_block=probed_only,
-                    max_broadcast_bytes=max_broadcast_bytes)
+               exclude_self: bool = False, tie_decimals: int | None = None, prune: bool = False,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` searching only probed clusters.
+    ``prune`` reads only the probed partitions of a stored index."""
+    probes = materialise(probe_lists(queries, index, nprobe, query_id_col, query_vec_col, tie_decimals), "probes")
+    if prune:
+        index = restrict_to_probed(index, probes)
+    q = (queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qvec"))
+         .join(probes, "query_id"))
+    return knn_join(q, index.vectors, k=k, metric=index.metric, query_vec_col="qvec", query_keys_col="probes",
+                    vec_keys_col="cluster_id", exclude_self=exclude_self, tie_decimals=tie_decimals, block_rows=block_rows)
 
 
 # -- N4 -----------------------------------------------------------------------
 
+LSH_TABLES, LSH_BITS = 8, 8
+LSH_SCALE = 1 << 20
+
+
+def sign_planes(dim: int, num_tables: int, bits: int) -> np.ndarray:
+    """(tables * bits, dim) of +1 and -1: the first hex digit of an md5 is 8 or more, or less."""
+    def sign(t, b, c):
+        return 1 if hashlib.md5(f"{t}:{b}:{c}".encode()).hexdigest()[0] >= "8" else -1
+    return np.array([[sign(t, b, c) for c in range(dim)] for t in range(num_tables) for b in range(bits)], np.int64)
+
+
 class LshIndex:
-    def __init__(self, vectors: DataFrame, model, num_tables: int):
+    def __init__(self, vectors: DataFrame, dim: int, num_tables: int, bits: int):
         self.vectors = vectors      # (vec_id, embedding, buckets array<long>)
-        self.model = model
+        self.dim = dim
         self.num_tables = num_tables
+        self.bits = bits
+
 
+def with_buckets(df: DataFrame, vec_col: str, dim: int, num_tables: int, bits: int) -> DataFrame:
+    """``df`` and ``buckets``: one number per table, ``table * 2^bits + signs``."""
+    planes = sign_planes(dim, num_tables, bits)
+    weights = 1 << np.arange(bits)[::-1]
 
-def _buckets(model, df: DataFrame, vec_col: str) -> DataFrame:
-    feats = df.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    out = model.transform(feats)
-    return out.withColumn("buckets", F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long"))) \
-        .drop("features", "hashes")
+    @F.pandas_udf("array<bigint>")
+    def buckets(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        whole = np.floor(np.stack(vectors.to_numpy()).astype(np.float64) * LSH_SCALE).astype(np.int64)
+        signs = (whole @ planes.T >= 0).reshape(len(whole), num_tables, bits)
+        return pd.Series(list((signs * weights).sum(axis=2) + (np.arange(num_tables) << bits)))
+    return df.withColumn("buckets", buckets(F.col(vec_col)))
 
 
-def train_lsh(vectors: DataFrame, num_tables: int = 8, bucket_length: float | None = None, seed: int = 11,
+def train_lsh(vectors: DataFrame, num_tables: int = LSH_TABLES, bits: int = LSH_BITS,
               id_col: str = "vec_id", vec_col: str = "embedding") -> LshIndex:
-    """N4 hashing; ``bucket_length`` defaults to 2 * rms norm / sqrt(dim)."""
+    """N4 hashing; nothing is learnt but the dimension."""
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
-    if bucket_length is None:
-        st = v.agg(F.avg(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)).alias("ms"),
-                   F.max(F.size("embedding")).alias("dim")).first()
-        bucket_length = 2.0 * math.sqrt(st["ms"] or 1.0) / math.sqrt(st["dim"] or 1)
-    brp = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = brp.fit(v.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))))
-    return LshIndex(_buckets(model, v, "embedding"), model, num_tables)
+    dim = v.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return LshIndex(with_buckets(v, "embedding", dim, num_tables, bits), dim, num_tables, bits)
 
 
 def lsh_search(queries: DataFrame, index: LshIndex, k: int = 10, metric: str = "l2", *,
                query_id_col: str = "query_id", query_vec_col: str = "embedding",
                exclude_self: bool = False, tie_decimals: int | None = None) -> DataFrame:
-    """Exact re-score of candidates sharing a bucket in any table."""
+    """Exact scores of the candidates that share a bucket in some table."""
     q = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("qvec"))
-    qb = _buckets(index.model, q, "qvec")
-    return knn_join(qb, index.vectors, k=k, metric=metric, query_vec_col="qvec", query_key_col="buckets",
-                    vec_key_col="buckets", key_mode="lsh", exclude_self=exclude_self, tie_decimals=tie_decimals)
+    qb = with_buckets(q, "qvec", index.dim, index.num_tables, index.bits)
+    return knn_join(qb, index.vectors, k=k, metric=metric, query_vec_col="qvec", query_keys_col="buckets",
+                    vec_keys_col="buckets", exclude_self=exclude_self, tie_decimals=tie_decimals)
+
+
+def lsh_compared_pairs(queries: DataFrame, index: LshIndex, query_vec_col: str = "embedding") -> int:
+    """How many pairs an LSH search of these queries computes."""
+    qb = with_buckets(queries, query_vec_col, index.dim, index.num_tables, index.bits)
+    return compared_pairs(qb, index.vectors, "buckets", "buckets")
 
 
 # -- A17 ----------------------------------------------------------------------
@@ -166,31 +189,35 @@ def overlap_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 
 
 def compare_indexes(queries: DataFrame, vectors: DataFrame, configs: list[dict], k: int = 10,
-                    exclude_self: bool = False) -> DataFrame:
-    """Per configuration ``<type>_<metric>``: overlap@k with exact search.
+                    exclude_self: bool = False, tie_decimals: int | None = None) -> DataFrame:
+    """Per configuration ``<type>_<metric>``: overlap@k with exact search, which
+    runs once per metric.
 
     ``configs``: dicts with ``index_type`` in flat/ivf/hnsw (hnsw is served by
-    LSH here), ``metric``, and ``nlist``/``nprobe`` or ``num_tables``.
+    LSH here), ``metric``, and ``nlist``/``nprobe`` (or ``centroids``, a table) or
+    ``num_tables``/``bits``.
     """
     out = None
     exact_by_metric = {}
     for cfg in configs:
         metric = cfg.get("metric", "l2")
         if metric not in exact_by_metric:
-            exact_by_metric[metric] = knn_join(queries, vectors, k=k, metric=metric, exclude_self=exclude_self)
+            exact_by_metric[metric] = materialise(
+                knn_join(queries, vectors, k=k, metric=metric, exclude_self=exclude_self, tie_decimals=tie_decimals), "exact")
         exact = exact_by_metric[metric]
         kind = cfg["index_type"]
         if kind == "flat":
             got = exact
         elif kind == "ivf":
-            idx = train_ivf(vectors, cfg.get("nlist", IVF_NLIST), metric)
-            got = ivf_search(queries, idx, k, cfg.get("nprobe", IVF_NPROBE), exclude_self=exclude_self)
+            idx = (ivf_from_centroids(vectors, cfg["centroids"], metric, tie_decimals) if "centroids" in cfg
+                   else train_ivf(vectors, cfg.get("nlist", IVF_NLIST), metric))
+            got = ivf_search(queries, idx, k, cfg.get("nprobe", IVF_NPROBE), exclude_self=exclude_self, tie_decimals=tie_decimals)
         elif kind == "hnsw":
             # the graph index is approximated by LSH, always L2 like the reference's
-            idx = train_lsh(vectors, cfg.get("num_tables", 8))
-            got = lsh_search(queries, idx, k, "l2", exclude_self=exclude_self)
+            idx = train_lsh(vectors, cfg.get("num_tables", LSH_TABLES), cfg.get("bits", LSH_BITS))
+            got = lsh_search(queries, idx, k, "l2", exclude_self=exclude_self, tie_decimals=tie_decimals)
         else:
-            raise ValueError(f"Unsupported index type: {kind}")
+            raise ValueError(f"no such index type: {kind}")
         row = overlap_at_k(got, exact, k).select(
             F.lit(f"{kind}_{metric}").alias("config_name"), F.lit(k).alias("k"), "overlap")
         out = row if out is None else out.unionByName(row)

@@ -1,17 +1,15 @@
-"""Exact and masked k-nearest-neighbour joins.
+"""Exact and keyed k-nearest-neighbour joins, on the executors.
 
-Plan (one per block of queries):
+    queries --hash blocks--> one row per (query block, vector block) to visit
+    vectors --hash blocks--> one row per vector block
+    join on (key, vector block) --> mapInArrow: distances by matrix product,
+        running top-k per query and task --> row_number() over the query
 
-    queries --(size-checked, collected once)--> broadcast block
-    vectors --scan, column-pruned--> mapInPandas(local top-K per query)
-            --> shuffle on query_id (K rows per query per vector partition)
-            --> row_number() over (query_id order by score, vec_id) <= k
-
-No query x vector pair is ever materialised as a row: distances are computed
-per Arrow batch as a numpy matrix product and only the running top-K of each
-task leaves it. When the query side exceeds the broadcast bound it is split by
-hash into blocks that each fit, and every block is a separate scan of the
-vector table (exact search is O(Q x V) work; the IVF mask is the scalable path).
+Both sides are cut into blocks of about ``block_rows`` rows, so a task holds two
+blocks and its running best, whatever the sizes of the tables or of one key. No
+side passes through the driver and no query x vector pair becomes a row. Exact
+search is O(Q x V) work by definition; with keys (clusters, hash buckets) only
+pairs that share a key are ever compared.
 
 Distances: L2 is the **squared** Euclidean distance (flat L2 index semantics),
 ascending; inner product is descending. Ties break by ``vec_id``. Candidate
@@ -23,18 +21,14 @@ result equals a brute-force computation in float64.
 from __future__ import annotations
 
 import math
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark import StorageLevel
-
-from ..constants import MAX_BROADCAST_BYTES
-
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), False),
     T.StructField("vec_id", T.LongType(), False),
@@ -49,247 +43,177 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("score", T.DoubleType(), False),
 ])
 
-# Entries of one distance block (queries x vectors); bounds task memory.
-_BLOCK_ENTRIES = 16_000_000
-
-
-def _vec_matrix(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(np.float64, copy=False)
-
-
-def _local_topk(batches, bc, kmax: int, metric: str, exclude_self: bool,
-                key_mode: str, tol_scale: float, tie_decimals: int | None = None,
-                ids_desc: bool = False):
-    """mapInPandas body: running top-``kmax`` of every broadcast query."""
-    block = bc.value
-    qids, Q, ks = block["ids"], block["vecs"], block["ks"]
-    qkeys = block.get("keys")
-    nq = len(qids)
-    best_s = np.full((nq, kmax), np.inf)
-    best_i = np.full((nq, kmax), -1, dtype=np.int64)
-    qn = np.einsum("ij,ij->i", Q, Q)
-    sub = max(1, _BLOCK_ENTRIES // max(nq, 1))
-    buf_q: list = []
-    buf_s: list = []
-    buf_i: list = []
-    buffered = 0
-
-    def merge():
-        nonlocal buffered
-        if not buf_q:
-            return
-        hq, hr = np.nonzero(best_i >= 0)
-        all_q = np.concatenate(buf_q + [hq])
-        all_s = np.concatenate(buf_s + [best_s[hq, hr]])
-        all_i = np.concatenate(buf_i + [best_i[hq, hr]])
-        order = np.lexsort((-all_i if ids_desc else all_i, all_s, all_q))
-        all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
-        first = np.r_[0, np.flatnonzero(np.diff(all_q)) + 1]
-        starts = np.repeat(first, np.diff(np.r_[first, len(all_q)]))
-        rank = np.arange(len(all_q)) - starts
-        keep = rank < kmax
-        best_s.fill(np.inf)
-        best_i.fill(-1)
-        best_s[all_q[keep], rank[keep]] = all_s[keep]
-        best_i[all_q[keep], rank[keep]] = all_i[keep]
-        buf_q.clear()
-        buf_s.clear()
-        buf_i.clear()
-        buffered = 0
-
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        for start in range(0, len(pdf), sub):
-            part = pdf.iloc[start:start + sub]
-            vid = part["vec_id"].to_numpy(np.int64)
-            V = _vec_matrix(part["vec"])
-            vn = np.einsum("ij,ij->i", V, V)
-            if metric == "l2":
-                approx = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
-                tol = tol_scale * (qn.max(initial=0) + vn.max(initial=0) + 1.0)
-            else:
-                approx = -(Q @ V.T)
-                tol = tol_scale * (math.sqrt(qn.max(initial=0) * vn.max(initial=0)) + 1.0)
-            if exclude_self:
-                approx[qids[:, None] == vid[None, :]] = np.inf
-            if key_mode == "probe":
-                vk = part["vkey"].to_numpy(np.int64)
-                allowed = (qkeys[:, :, None] == vk[None, None, :]).any(axis=1)
-                approx[~allowed] = np.inf
-            elif key_mode == "lsh":
-                vk = np.stack(part["vkey"].to_numpy()).astype(np.int64)
-                allowed = (qkeys[:, None, :] == vk[None, :, :]).any(axis=2)
-                approx[~allowed] = np.inf
-            if tie_decimals is not None:
-                tol = max(tol, 2.0 * 10.0 ** (-tie_decimals))
-            kk = min(kmax, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            cut = np.minimum(kth, best_s[:, -1]) + tol
-            qi, vj = np.nonzero((approx <= cut[:, None]) & np.isfinite(approx))
-            if len(qi) == 0:
-                continue
-            if metric == "l2":
-                d = Q[qi] - V[vj]
-                exact = (d * d).sum(axis=1)
-            else:
-                exact = -(Q[qi] * V[vj]).sum(axis=1)
-            if tie_decimals is not None:
-                exact = np.round(exact, tie_decimals)
-            buf_q.append(qi)
-            buf_s.append(exact)
-            buf_i.append(vid[vj])
-            buffered += len(qi)
-            if buffered > 4 * nq * kmax:
-                merge()
-    merge()
-    hq, hr = np.nonzero(best_i >= 0)
-    if len(hq):
-        score = best_s[hq, hr]
-        if metric != "l2":
-            score = -score
-        yield pd.DataFrame({
-            "query_id": qids[hq].astype(np.int64),
-            "vec_id": best_i[hq, hr],
-            "score": score.astype(np.float64),
-            "k": ks[hq].astype(np.int32),
-        })
-
-
-def _prepare_queries(queries: DataFrame, query_id_col: str, query_vec_col: str,
-                     k, k_col: str | None, key_col: str | None, block_col: str | None = None) -> DataFrame:
-    cols = [
-        F.col(query_id_col).cast("long").alias("query_id"),
-        F.col(query_vec_col).cast("array<double>").alias("qvec"),
-        (F.col(k_col) if k_col else F.lit(k)).cast("int").alias("k"),
-    ]
-    if key_col:
-        cols.append(F.col(key_col).cast("array<long>").alias("qkey"))
-    cols.append((F.col(block_col) if block_col else F.xxhash64(F.col(query_id_col).cast("long"))).cast("long").alias("blk"))
-    return queries.select(*cols).where(F.col("qvec").isNotNull())
+BLOCK_ROWS = 1024
+# Entries of running results a task keeps before it hands them on.
+_HELD_ENTRIES = 2_000_000
+
+
+def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _visit(Q, V, qids, vids, kmax, metric, exclude_self, tol_scale, tie_decimals):
+    """(query row, score to minimise, vec_id) of all that may be among a query's best."""
+    qn, vn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", V, V)
+    if metric == "l2":
+        approx = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
+        tol = tol_scale * (qn.max(initial=0) + vn.max(initial=0) + 1.0)
+    else:
+        approx = -(Q @ V.T)
+        tol = tol_scale * (math.sqrt(qn.max(initial=0) * vn.max(initial=0)) + 1.0)
+    if tie_decimals is not None:
+        tol = max(tol, 2.0 * 10.0 ** (-tie_decimals))
+    if exclude_self:
+        approx[qids[:, None] == vids[None, :]] = np.inf
+    kk = min(kmax, approx.shape[1])
+    cut = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + tol
+    qi, vj = np.nonzero((approx <= cut[:, None]) & np.isfinite(approx))
+    if metric == "l2":
+        d = Q[qi] - V[vj]
+        exact = (d * d).sum(axis=1)
+    else:
+        exact = -(Q[qi] * V[vj]).sum(axis=1)
+    return qi, exact if tie_decimals is None else np.round(exact, tie_decimals), vids[vj]
+
+
+def _best(qi, score, ids, kmax, ids_desc):
+    """The ``kmax`` first of every query row, by score, then id."""
+    order = np.lexsort((-ids if ids_desc else ids, score, qi))
+    qi, score, ids = qi[order], score[order], ids[order]
+    first = np.flatnonzero(np.diff(qi, prepend=-1))
+    rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.append(first, len(qi))))
+    keep = rank < kmax
+    return qi[keep], score[keep], ids[keep]
+
+
+def _search(batches: Iterator[pa.RecordBatch], kmax: int, metric: str, exclude_self: bool, tol_scale: float,
+            tie_decimals: int | None, ids_desc: bool) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple, list] = {}
+    entries = 0
+
+    def hand_on():
+        for qids, ks, (qi, score, ids) in held.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[qi]), pa.array(ids), pa.array(score if metric == "l2" else -score), pa.array(ks[qi])],
+                ["query_id", "vec_id", "score", "k"])
+        held.clear()
+
+    at = V = vids = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = (batch.column("key")[i].as_py(), batch.column("vb")[i].as_py())
+            if block != at:
+                rows = batch.column("vectors")[i].values
+                ids, vecs = rows.flatten()
+                at, vids, V = block, ids.to_numpy(), _matrix(vecs, len(rows))
+            rows = batch.column("queries")[i].values
+            ids, ks, vecs = rows.flatten()
+            qids, ks = ids.to_numpy(), ks.to_numpy()
+            found = _visit(_matrix(vecs, len(rows)), V, qids, vids, kmax, metric, exclude_self, tol_scale, tie_decimals)
+            name = (block[0], batch.column("qb")[i].as_py())
+            if name in held:
+                before = held[name][2]
+                entries -= len(before[0])
+                found = tuple(np.concatenate(x) for x in zip(before, found, strict=True))
+            held[name] = [qids, ks, _best(*found, kmax, ids_desc)]
+            entries += len(held[name][2][0])
+            if entries > _HELD_ENTRIES:
+                yield from hand_on()
+                entries = 0
+    yield from hand_on()
+
+
+def _sizes(rows: DataFrame, vec: str):
+    size = F.size(vec)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(vec).alias("with_vector"), F.min(size).alias("low"),
+                    F.max(size).alias("high")).first()
+
+
+def _dimension(stats, what: str) -> int:
+    if stats["with_vector"] < stats["n"]:
+        raise ValueError(f"{stats['n'] - stats['with_vector']} {what} have no vector")
+    if stats["low"] != stats["high"]:
+        raise ValueError(f"{what} have dimensions {stats['low']} to {stats['high']}")
+    return stats["high"]
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2", *,
              query_id_col: str = "query_id", query_vec_col: str = "embedding",
              vec_id_col: str = "vec_id", vec_col: str = "embedding",
              k_col: str | None = None, exclude_self: bool = False,
-             query_key_col: str | None = None, vec_key_col: str | None = None,
-             key_mode: str = "none",
-             max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+             query_keys_col: str | None = None, vec_keys_col: str | None = None,
              tol_scale: float = 1e-9, tie_decimals: int | None = None,
-             ids_desc: bool = False, block_col: str | None = None,
-             vectors_for_block=None, max_scan_tasks: int | None = None,
-             materialize_over: int = 8) -> DataFrame:
+             ids_desc: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
-    vector whose id equals the query id before ranking. ``key_mode`` restricts
-    candidates: ``probe`` (query keys = probed cluster ids, vector key = its
-    cluster) or ``lsh`` (query and vector keys = bucket per hash table, a
-    candidate shares at least one bucket). ``tie_decimals`` ranks on scores
-    rounded to that many places, so scores equal up to float noise (common
+    vector whose id equals the query id before ranking. With ``query_keys_col`` and
+    ``vec_keys_col`` (array<bigint> columns, or bigint for the vectors) a query is
+    compared only with vectors that share one of its keys. ``tie_decimals`` ranks on
+    scores rounded to that many places, so scores equal up to float noise (common
     with hashed count vectors) tie and break by ``vec_id`` (descending with
     ``ids_desc``, the order of a reversed stable ascending sort).
 
-    When the queries need several broadcast blocks, ``block_col`` (a long
-    query column) groups queries with nearby values into the same block, and
-    ``vectors_for_block(block_pandas) -> DataFrame`` may narrow the vectors a
-    block scans (IVF: only the clusters that block probes, which partition
-    pruning then skips reading).
-
-    Every scan task emits at most k rows per query, so the merge volume is
-    k x (scan tasks) per query. A very large vector table (hundreds of
-    thousands of splits) is therefore coalesced -- without a shuffle -- to
-    ``max_scan_tasks`` (default 4 x cluster cores); each task still streams its
-    files batch by batch, so memory stays bounded.
-
-    With more than ``materialize_over`` query blocks, each block's hits are
-    written to the shared checkpoint folder as its own job and the merge reads
-    them back: the plan stays small, and a lost executor costs one block, not
-    the whole search.
+    A row without a vector, vectors of several dimensions and a query of another
+    dimension than the index raise ``ValueError``; nothing is left out silently.
     """
     metric = metric.lower()
     if metric not in ("l2", "ip"):
         raise ValueError(f"unsupported metric: {metric}")
     spark = queries.sparkSession
-    q = _prepare_queries(queries, query_id_col, query_vec_col, k, k_col,
-                         query_key_col if key_mode != "none" else None, block_col)
-    # sized and collected in separate actions: keep the prepared side (spills to disk)
-    q = q.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
-                  F.max("k").alias("kmax"),
-                  (F.max(F.size("qkey")) if key_mode != "none" else F.lit(0)).alias("nkey"),
-                  F.min("blk").alias("bmin"), F.max("blk").alias("bmax")).first()
-    n, dim, kmax, nkey = stats["n"], stats["dim"], stats["kmax"], stats["nkey"] or 0
-    if not n or not kmax or kmax < 1:
-        q.unpersist()
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    probe = (vectors.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).limit(1).collect())
-    if probe and probe[0]["d"] != dim:
-        q.unpersist()
-        raise ValueError(f"query dimension {dim} doesn't match index dimension {probe[0]['d']}")
-    row_bytes = 8 * (dim + nkey) + 32
-    per_block = max(1, max_broadcast_bytes // row_bytes)
-    n_blocks = max(1, math.ceil(n / per_block))
-    small = n_blocks == 1
-    if not small:
-        # twice the block count so a hash/range block stays under the bound
-        n_blocks *= 2
-
-    def prepare_vectors(vdf: DataFrame) -> DataFrame:
-        vcols = [F.col(vec_id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")]
-        if key_mode == "probe":
-            vcols.append(F.col(vec_key_col).cast("long").alias("vkey"))
-        elif key_mode == "lsh":
-            vcols.append(F.col(vec_key_col).cast("array<long>").alias("vkey"))
-        out = vdf.select(*vcols).where(F.col("vec").isNotNull() & (F.size("vec") == dim))
-        cap = max_scan_tasks or 4 * spark.sparkContext.defaultParallelism
-        return out.coalesce(cap) if out.rdd.getNumPartitions() > cap else out
-
-    v = prepare_vectors(vectors)
-    if small:
-        block_of = F.lit(0)
-    elif block_col and n_blocks > 1:
-        # contiguous ranges of the block key, so a block's queries share their probes
-        lo, hi = stats["bmin"], stats["bmax"]
-        width = max(1, (hi - lo + 1 + n_blocks - 1) // n_blocks)
-        block_of = F.floor((F.col("blk") - F.lit(lo)) / F.lit(width))
-    else:
-        block_of = F.pmod(F.col("blk"), F.lit(n_blocks))
-
-    parts = []
-    for b in range(n_blocks):
-        pdf = (q if small else q.where(block_of == b)).drop("blk").toPandas()
-        if len(pdf) == 0:
-            continue
-        payload = {
-            "ids": pdf["query_id"].to_numpy(np.int64),
-            "vecs": _vec_matrix(pdf["qvec"]),
-            "ks": pdf["k"].to_numpy(np.int32),
-        }
-        if key_mode != "none":
-            payload["keys"] = np.stack(pdf["qkey"].to_numpy()).astype(np.int64)
-        bc = spark.sparkContext.broadcast(payload)
-        fn = partial(_local_topk, bc=bc, kmax=int(kmax), metric=metric,
-                     exclude_self=exclude_self, key_mode=key_mode, tol_scale=tol_scale,
-                     tie_decimals=tie_decimals, ids_desc=ids_desc)
-        vb = v if vectors_for_block is None else prepare_vectors(vectors_for_block(pdf))
-        parts.append(vb.mapInPandas(fn, HIT_SCHEMA))
-    q.unpersist()
-    if not parts:
+    keyed = query_keys_col is not None
+
+    def keys(df, name):
+        kind = dict(df.dtypes)[name]
+        return F.col(name).cast("array<bigint>") if kind.startswith("array") else F.array(F.col(name).cast("bigint"))
+
+    q = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("vec"),
+                       (F.col(k_col) if k_col else F.lit(k)).cast("int").alias("k"),
+                       (keys(queries, query_keys_col) if keyed else F.array(F.lit(0).cast("bigint"))).alias("keys"))
+    v = vectors.select(F.col(vec_id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"),
+                       (keys(vectors, vec_keys_col) if keyed else F.array(F.lit(0).cast("bigint"))).alias("keys"))
+    qs, vs = _sizes(q, "vec"), _sizes(v, "vec")
+    kmax = q.agg(F.max("k")).first()[0] if k_col else k
+    if not qs["n"] or not vs["n"] or not kmax or kmax < 1:
         return spark.createDataFrame([], RESULT_SCHEMA)
-    if len(parts) > materialize_over:
-        from ..sources.io import shared_folder
-        base = shared_folder(spark, "knn-hits")
-        for i, p in enumerate(parts):
-            p.write.mode("overwrite").parquet(f"{base}/block={i}")
-        hits = spark.read.parquet(base).select(*HIT_SCHEMA.fieldNames())
+    dim, own = _dimension(vs, "vectors"), _dimension(qs, "queries")
+    if dim != own:
+        raise ValueError(f"query dimension {own} doesn't match index dimension {dim}")
+
+    q = q.withColumn("key", F.explode("keys")).drop("keys")
+    v = v.withColumn("key", F.explode("keys")).drop("keys")
+    if keyed:
+        blocks = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        v_blocks = blocks(v, "nv")
+        q, v = q.join(blocks(q, "nq"), "key").join(v_blocks, "key"), v.join(v_blocks, "key")
     else:
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
+        nq, nv = (math.ceil(s["n"] / block_rows) for s in (qs, vs))
+        q, v = q.withColumn("nq", F.lit(nq)).withColumn("nv", F.lit(nv)), v.withColumn("nv", F.lit(nv))
+    q_rows = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).groupBy("key", "qb", "nv")
+              .agg(F.collect_list(F.struct("query_id", "k", "vec")).alias("queries"))
+              .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nv"))
+    v_rows = (v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).groupBy("key", "vb")
+              .agg(F.collect_list(F.struct("vec_id", "vec")).alias("vectors")))
+    if not keyed:
+        # a task per core or more, and no more tasks than needed: each hands on k rows a query
+        tasks = min(nv, 4 * spark.sparkContext.defaultParallelism)
+        q_rows, v_rows = q_rows.repartition(tasks, "key", "vb"), v_rows.repartition(tasks, "key", "vb")
+    hits = q_rows.join(v_rows, ["key", "vb"]).select("key", "vb", "qb", "queries", "vectors").mapInArrow(
+        lambda it: _search(it, int(kmax), metric, exclude_self, tol_scale, tie_decimals, ids_desc), HIT_SCHEMA)
+    if keyed:
+        hits = hits.dropDuplicates(["query_id", "vec_id"])  # a pair may share several keys
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").desc() if ids_desc else F.col("vec_id").asc())
     return (hits.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= F.col("k"))
             .select("query_id", "rank", "vec_id", "score"))
+
+
+def compared_pairs(queries: DataFrame, vectors: DataFrame, query_keys_col: str, vec_keys_col: str) -> int:
+    """How many pairs a keyed search compares: per key, queries times vectors."""
+    def per_key(df, name, out):
+        kind = dict(df.dtypes)[name]
+        keys = F.explode(name) if kind.startswith("array") else F.col(name)
+        return df.select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias(out))
+    both = per_key(queries, query_keys_col, "a").join(per_key(vectors, vec_keys_col, "b"), "key")
+    return both.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0

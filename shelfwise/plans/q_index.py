@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ann
 from ..sources.tables import read_table
-from .q_search import KNN_L2_SQL
+from .q_search import EMB_IP, EMB_L2, KNN_L2_SQL
 from .registry import register
 
 
@@ -18,15 +18,78 @@ def _queries(e):
     return e.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _hits(hits, e):
+    return (hits.join(e.select("vec_id", "label"), "vec_id")
+            .select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "label",
+                    F.round("score", 6).alias("dist")))
+
+
+def label_centroids(e):
+    """A centroid table that SQL can state too: the mean vector of each label."""
+    cells = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(
+        F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
+    return cells.groupBy(F.col("label").cast("long").alias("cluster_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+CENTROID_CTE = """cells AS (SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 9) AS m
+                FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i) GROUP BY ALL),
+cents AS (SELECT CAST(label AS BIGINT) AS cluster_id, list(m ORDER BY i) AS c FROM cells GROUP BY label),
+near AS (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY vec_id
+           ORDER BY round(pow(list_distance(CAST(embedding AS DOUBLE[]), c), 2), 9), cluster_id) AS r FROM embeddings, cents)"""
+
+BUCKET_CTE = """planes AS (SELECT t, b, list(CASE WHEN substr(md5(t || ':' || b || ':' || (c - 1)), 1, 1) >= '8' THEN 1 ELSE -1 END
+                           ORDER BY c) AS s
+           FROM range({tables}) x(t), range({bits}) y(b), range(1, (SELECT max(len(embedding)) FROM embeddings) + 1) z(c)
+           GROUP BY t, b),
+whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT)) AS w FROM embeddings),
+signs AS (SELECT vec_id, t, b, CAST(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * s[i])) AS BIGINT) >= 0 AS up
+          FROM whole, planes),
+buckets AS (SELECT vec_id, t, CAST(sum(CASE WHEN up THEN 1 << ({bits} - 1 - CAST(b AS INTEGER)) ELSE 0 END) AS BIGINT) AS k
+            FROM signs GROUP BY ALL),
+cand AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS v FROM buckets a JOIN buckets b ON a.t = b.t AND a.k = b.k)"""
+
+
+def top_sql(pairs: str, dist: str, k: int, order: str = "") -> str:
+    return (f"SELECT query_id, rank, vec_id, label, dist FROM (SELECT p.q AS query_id, b.vec_id, b.label, {dist} AS dist, "
+            f"row_number() OVER (PARTITION BY p.q ORDER BY {dist} {order}, b.vec_id) AS rank "
+            f"FROM ({pairs}) p JOIN embeddings a ON a.vec_id = p.q JOIN embeddings b ON b.vec_id = p.v) WHERE rank <= {k}")
+
+
+def probe_pairs(nprobe: int, own: str = "") -> str:
+    return (f"SELECT n.vec_id AS q, h.vec_id AS v FROM near n JOIN near h ON n.cluster_id = h.cluster_id AND h.r = 1 "
+            f"WHERE n.r <= {nprobe} {own}")
+
+
+def overlap_sql(name: str, exact: str, approx: str, k: int) -> str:
+    return (f"SELECT '{name}' AS config_name, {k} AS k, round(avg(CASE WHEN a.vec_id IS NULL THEN 0 ELSE 1 END), 6) AS overlap "
+            f"FROM {exact} e LEFT JOIN {approx} a ON e.query_id = a.query_id AND e.vec_id = a.vec_id")
+
+
 # N3 with every cluster probed equals exact search: same oracle as knn_l2.
 @register("ivf_all_probes", KNN_L2_SQL)
 def q_ivf_all(spark, sf):
     e = _emb(spark, sf)
     idx = ann.train_ivf(e.select("vec_id", "embedding"), nlist=10)
-    hits = ann.ivf_search(_queries(e), idx, k=5, nprobe=10, exclude_self=True, tie_decimals=9)
-    return (hits.join(e.select("vec_id", "label"), "vec_id")
-            .select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "label",
-                    F.round("score", 6).alias("dist")))
+    return _hits(ann.ivf_search(_queries(e), idx, k=5, nprobe=10, exclude_self=True, tie_decimals=9), e)
+
+
+# N3 that probes two clusters of ten, over centroids that SQL can state.
+@register("ivf_probe2", f"WITH {CENTROID_CTE} SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, "
+          f"round(dist, 6) AS dist FROM ({top_sql(probe_pairs(2, 'AND n.vec_id <> h.vec_id'), EMB_L2, 5)})")
+def q_ivf_probe2(spark, sf):
+    e = _emb(spark, sf)
+    idx = ann.ivf_from_centroids(e.select("vec_id", "embedding"), label_centroids(e), tie_decimals=9)
+    return _hits(ann.ivf_search(_queries(e), idx, k=5, nprobe=2, exclude_self=True, tie_decimals=9), e)
+
+
+@register("lsh_search", f"WITH {BUCKET_CTE.format(tables=ann.LSH_TABLES, bits=ann.LSH_BITS)} "
+          f"SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, round(dist, 6) AS dist "
+          f"FROM ({top_sql('SELECT * FROM cand WHERE q <> v', EMB_L2, 5)})")
+def q_lsh_search(spark, sf):
+    e = _emb(spark, sf)
+    idx = ann.train_lsh(e.select("vec_id", "embedding"))
+    return _hits(ann.lsh_search(_queries(e), idx, k=5, exclude_self=True, tie_decimals=9), e)
 
 
 @register("ivf_recall")
@@ -36,19 +99,38 @@ def q_ivf_recall(spark, sf):
                                exclude_self=True).select("config_name", "k", F.round("overlap", 6).alias("overlap"))
 
 
-@register("lsh_recall")
+_LSH_RECALL_SQL = (
+    f"WITH {BUCKET_CTE.format(tables=ann.LSH_TABLES, bits=ann.LSH_BITS)}, "
+    f"l2 AS ({top_sql('SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id', EMB_L2, 5)}), "
+    f"lsh AS ({top_sql('SELECT * FROM cand WHERE q <> v', EMB_L2, 5)}) {overlap_sql('hnsw_l2', 'l2', 'lsh', 5)}")
+
+
+@register("lsh_recall", _LSH_RECALL_SQL)
 def q_lsh_recall(spark, sf):
     e = _emb(spark, sf).select("vec_id", "embedding")
-    return ann.compare_indexes(_queries(e), e, [{"index_type": "hnsw", "num_tables": 8}], k=5,
-                               exclude_self=True).select("config_name", "k", F.round("overlap", 6).alias("overlap"))
+    return ann.compare_indexes(_queries(e), e, [{"index_type": "hnsw", "num_tables": ann.LSH_TABLES}], k=5, exclude_self=True,
+                               tie_decimals=9).select("config_name", "k", F.round("overlap", 6).alias("overlap"))
+
 
+ALL_PAIRS = "SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a, embeddings b"
 
-@register("compare_index")
+_COMPARE_SQL = f"""WITH {CENTROID_CTE}, {BUCKET_CTE.format(tables=6, bits=6)},
+l2 AS ({top_sql(ALL_PAIRS, EMB_L2, 10)}), ip AS ({top_sql(ALL_PAIRS, EMB_IP, 10, 'DESC')}),
+ivf2 AS ({top_sql(probe_pairs(2), EMB_L2, 10)}), ivf4 AS ({top_sql(probe_pairs(4), EMB_IP, 10, 'DESC')}),
+lsh AS ({top_sql('SELECT * FROM cand', EMB_L2, 10)})
+{overlap_sql('flat_l2', 'l2', 'l2', 10)} UNION ALL {overlap_sql('flat_ip', 'ip', 'ip', 10)}
+UNION ALL {overlap_sql('ivf_l2', 'l2', 'ivf2', 10)} UNION ALL {overlap_sql('ivf_ip', 'ip', 'ivf4', 10)}
+UNION ALL {overlap_sql('hnsw_l2', 'l2', 'lsh', 10)}"""
+
+
+@register("compare_index", _COMPARE_SQL)
 def q_compare_index(spark, sf):
-    e = _emb(spark, sf).select("vec_id", "embedding")
+    e = _emb(spark, sf)
+    centroids = label_centroids(e)
+    e = e.select("vec_id", "embedding")
     configs = [{"index_type": "flat", "metric": "l2"}, {"index_type": "flat", "metric": "ip"},
-               {"index_type": "ivf", "metric": "l2", "nlist": 10, "nprobe": 2},
-               {"index_type": "ivf", "metric": "ip", "nlist": 10, "nprobe": 4},
-               {"index_type": "hnsw", "metric": "l2", "num_tables": 6}]
-    return ann.compare_indexes(_queries(e), e, configs, k=10).select(
+               {"index_type": "ivf", "metric": "l2", "centroids": centroids, "nprobe": 2},
+               {"index_type": "ivf", "metric": "ip", "centroids": centroids, "nprobe": 4},
+               {"index_type": "hnsw", "metric": "l2", "num_tables": 6, "bits": 6}]
+    return ann.compare_indexes(_queries(e), e, configs, k=10, tie_decimals=9).select(
         "config_name", "k", F.round("overlap", 6).alias("overlap"))

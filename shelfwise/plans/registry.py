@@ -7,6 +7,7 @@ counts are BIGINT on both sides so value hashes compare.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,5 @@ PRODUCTS_CTE = f"products AS (\n{product_sql('part')}\n)"
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from . import q_clean, q_search  # noqa: F401
-    for mod in ("q_extract", "q_vectors", "q_prompts", "q_metrics", "q_index", "q_io"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    for mod in ("q_clean", "q_search", "q_extract", "q_vectors", "q_prompts", "q_metrics", "q_index", "q_io"):
+        importlib.import_module(f"{__package__}.{mod}")

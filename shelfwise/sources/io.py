@@ -89,3 +89,11 @@ def load_eval_set(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return (df.select(F.coalesce("record", F.lit(0)).alias("record"), F.posexplode(z).alias("pos", "x"))
             .select("record", F.col("pos").cast("long").alias("pos"),
                     F.col("x.query").alias("query"), F.col("x.reference").alias("reference")))
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so several readers
+    share one computation and lost executors never repeat it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

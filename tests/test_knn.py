@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import ann, search
-from shelfwise.operators.knn import knn_join
+from shelfwise.operators.knn import compared_pairs, knn_join
 
 
 def _vecs(spark, n=60, d=8, seed=0, dup=True):
@@ -28,11 +28,11 @@ def _brute(X, Q, qids, k, metric, exclude_self=False):
 
 
 @pytest.mark.parametrize("metric", ["l2", "ip"])
-@pytest.mark.parametrize("max_bytes", [64 << 20, 2000])
-def test_exact_search_equals_brute_force(spark, metric, max_bytes):
+@pytest.mark.parametrize("block_rows", [1024, 7])
+def test_exact_search_equals_brute_force(spark, metric, block_rows):
     v, X = _vecs(spark)
     q = v.withColumnRenamed("vec_id", "query_id")
-    got = knn_join(q, v, k=4, metric=metric, exclude_self=True, max_broadcast_bytes=max_bytes).collect()
+    got = knn_join(q, v, k=4, metric=metric, exclude_self=True, block_rows=block_rows).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
@@ -98,11 +98,11 @@ def test_ivf_all_probes_is_exact_and_needs_enough_rows(spark):
         ann.train_ivf(few, nlist=10)
 
 
-def test_ivf_blocked_by_home_cluster_is_exact_with_all_probes(spark):
+def test_ivf_in_small_blocks_is_exact_with_all_probes(spark):
     v, X = _vecs(spark, n=60, d=8, dup=False)
     idx = ann.train_ivf(v, nlist=6)
     q = v.withColumnRenamed("vec_id", "query_id")
-    got = ann.ivf_search(q, idx, k=3, nprobe=6, max_broadcast_bytes=1500).collect()
+    got = ann.ivf_search(q, idx, k=3, nprobe=6, block_rows=5).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
@@ -138,17 +138,6 @@ def test_encoder_plug_point(spark):
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}
 
 
-def test_scan_coalesced_to_bounded_tasks_stays_exact(spark):
-    v, X = _vecs(spark, n=80, d=8, dup=False)
-    many = v.repartition(40)
-    q = v.withColumnRenamed("vec_id", "query_id")
-    got = knn_join(q, many, k=3, max_scan_tasks=3).collect()
-    res = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
-        res.setdefault(r.query_id, []).append(r.vec_id)
-    assert res == _brute(X, X, range(80), 3, "l2")
-
-
 def test_ivf_add_assigns_new_vectors(spark):
     v, X = _vecs(spark, n=70, d=8, dup=False)
     with pytest.raises(ValueError, match="train_if_needed"):
@@ -164,14 +153,52 @@ def test_ivf_add_assigns_new_vectors(spark):
     assert res == _brute(X, X, range(70), 2, "l2")
 
 
-def test_many_blocks_materialised_stay_exact(spark):
-    v, X = _vecs(spark, n=60, d=8, dup=False)
-    q = v.withColumnRenamed("vec_id", "query_id")
-    got = knn_join(q, v, k=3, max_broadcast_bytes=800, materialize_over=2).collect()
-    res = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
-        res.setdefault(r.query_id, []).append(r.vec_id)
-    assert res == _brute(X, X, range(60), 3, "l2")
+def test_hot_key_is_cut_into_bounded_blocks(spark, monkeypatch):
+    """One cluster holds 90% of queries and vectors; no visit sees more than a block of each."""
+    v, X = _vecs(spark, n=400, d=8, dup=False)
+    keyed = v.withColumn("c", F.when(F.col("vec_id") % 10 == 0, 1).otherwise(0).cast("long"))
+    q = keyed.withColumnRenamed("vec_id", "query_id").withColumn("c", F.array("c"))
+    got = {}
+    for r in knn_join(q, keyed, k=3, query_keys_col="c", vec_keys_col="c", block_rows=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for c in (0, 1):
+        ids = [i for i in range(400) if (i % 10 == 0) == (c == 1)]
+        want = _brute(X[ids], X[ids], range(len(ids)), 3, "l2")
+        for i, q_id in enumerate(ids):
+            assert [v for _, v in sorted(got[q_id])] == [ids[j] for j in want[i]]
+    # hash blocks of 16 rows on average: the largest of 23 stays well below three times that
+    blocks = (keyed.filter("c = 0").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(23))).groupBy("b").count())
+    assert blocks.agg(F.max("count")).first()[0] <= 48
+
+
+def test_lsh_compares_fewer_pairs_than_exact_search(spark):
+    v, _ = _vecs(spark, n=300, d=16, dup=False)
+    idx = ann.train_lsh(v, num_tables=4, bits=8)
+    pairs = ann.lsh_compared_pairs(v, idx)
+    assert 300 <= pairs < 300 * 300 / 4
+
+
+def test_ivf_compares_probed_pairs_only(spark):
+    v, _ = _vecs(spark, n=300, d=16, dup=False)
+    idx = ann.train_ivf(v, nlist=10)
+    probes = ann.probe_lists(v.withColumnRenamed("vec_id", "query_id"), idx, 2)
+    assert compared_pairs(probes, idx.vectors, "probes", "cluster_id") < 300 * 300 / 2
+
+
+def test_mixed_dimensions_and_missing_vectors_raise(spark):
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    mixed = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="dimensions 2 to 3"):
+        knn_join(q, mixed, k=2)
+    missing = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1 vectors have no vector"):
+        knn_join(q, missing, k=2)
+
+
+def test_sign_buckets_do_not_depend_on_the_machine():
+    planes = ann.sign_planes(4, 2, 3)
+    assert planes.shape == (6, 4) and set(planes.ravel().tolist()) == {1, -1}
+    assert planes.tolist() == ann.sign_planes(4, 2, 3).tolist()
 
 
 def test_dimension_mismatch_raises(spark):
