@@ -91,8 +91,7 @@ FIELD_QUERY_INDICATORS = [
 ]
 
 # Request limits.
-K_MIN, K_MAX, K_DEFAULT = 1, 50, 5
-BATCH_MAX = 100
+K_MIN, K_MAX = 1, 50
 
 # Token cost estimate: price per 1000 whitespace words.
 COST_PER_1K_TOKENS = 0.0015
@@ -121,10 +120,3 @@ BLEU_SMOOTH_K = 5
 
 # Catalogue demo search.
 CATALOGUE_MAX_RESULTS = 5
-
-# ---------------------------------------------------------------------------
-# Our own defaults (not reference values)
-# ---------------------------------------------------------------------------
-
-# Upper bound, in bytes, of any side we broadcast to every task.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024

@@ -7,8 +7,6 @@ only the per-row histogram runs in an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,12 +36,13 @@ def token_buckets(text, dim: int) -> Column:
 def _histogram_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def hist(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            counts = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            norm = math.sqrt(float(counts @ counts))
-            out.append(counts / norm if norm > 0 else counts)
-        return pd.Series(out)
+        if not len(buckets):
+            return pd.Series([], dtype=object)
+        lists = [np.zeros(0, np.int64) if b is None else np.asarray(b, np.int64) for b in buckets]
+        row = np.repeat(np.arange(len(lists)), [len(b) for b in lists])
+        counts = np.bincount(row * dim + np.concatenate(lists), minlength=len(lists) * dim).reshape(-1, dim).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        return pd.Series(list(counts / np.where(norms > 0, norms, 1.0)[:, None]))
     return hist
 
 
@@ -189,9 +188,9 @@ def hybrid_columns(df: DataFrame, a: str, b: str, out: str, dim: int, weights=(0
 # -- V13 ---------------------------------------------------------------------
 
 def similarity(a, b, metric: str = "cosine") -> Column:
-    """Cosine, euclidean as 1 / (1 + distance), or dot."""
+    """Cosine (null where a vector is zero), euclidean as 1 / (1 + distance), or dot."""
     if metric == "cosine":
-        return dot(a, b) / (norm(a) * norm(b))
+        return F.try_divide(dot(a, b), norm(a) * norm(b))
     if metric == "euclidean":
         d = F.sqrt(F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)),
                                F.lit(0.0), lambda s, x: s + x))
@@ -199,8 +198,3 @@ def similarity(a, b, metric: str = "cosine") -> Column:
     if metric == "dot":
         return dot(a, b)
     raise ValueError(f"Unsupported similarity metric: {metric}")
-
-
-def squared_l2(a, b) -> Column:
-    return F.aggregate(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda s, x: s + x)

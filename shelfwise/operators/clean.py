@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (BAD_IMAGE_MARKER, BATCH_MAX, DROP_COLUMNS, FILL_COLUMNS, K_MAX, K_MIN,
+from ..constants import (BAD_IMAGE_MARKER, DROP_COLUMNS, FILL_COLUMNS, K_MAX, K_MIN,
                          MIN_TRAIN_TEXT_CHARS, NOT_AVAILABLE, TEXT_FIELDS, TEXT_SEPARATOR,
                          TRAIN_RATIO)
 from ..functions.text import strip
+from ..sources.io import materialise
 
 
 def _q(name: str) -> Column:
@@ -75,11 +76,6 @@ def url_is_valid(c) -> Column:
     return F.coalesce(col.rlike(URL_PATTERN), F.lit(False))
 
 
-def url_host(c) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(url_is_valid(col), F.parse_url(col, F.lit("HOST")))
-
-
 def with_metadata(df: DataFrame) -> DataFrame:
     """C5 projection plus ``reject_reason`` (null for accepted rows)."""
     reason = (
@@ -164,13 +160,15 @@ def training_rows(meta: DataFrame) -> DataFrame:
 def global_position(df: DataFrame, key: str, n_parts: int | None = None) -> DataFrame:
     """Exact 0-based position of each row in ``key`` order, without one-task windows.
 
-    Range-partition by key, count rows per partition (a tiny table: one row
-    per partition), turn the counts into offsets, and add the in-partition
-    row number. Two light jobs; no partition ever holds more than its share.
+    Range-partition by key, write the ranges once (with their number), count rows
+    per range (a tiny table: one row per range), turn the counts into offsets, and
+    add the row number inside the range. Both branches read the written table, so
+    positions never hang on a shuffle being run, or reused, the same way twice. No
+    task holds more than its range.
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, F.col(key)).withColumn("_pid", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(n_parts, F.col(key)).withColumn("_pid", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
@@ -197,22 +195,18 @@ def hash_split(df: DataFrame, key: str, ratio: float = TRAIN_RATIO) -> DataFrame
 # -- C15 ---------------------------------------------------------------------
 
 def validate_requests(requests: DataFrame, text_col: str = "text_query",
-                      image_col: str | None = "image_query", k_col: str = "k",
-                      enforce_batch_cap: bool = False) -> DataFrame:
+                      image_col: str | None = "image_query", k_col: str = "k") -> DataFrame:
     """Adds ``reject_reason`` (null = valid).
 
-    A request needs a text or an image, and ``1 <= k <= 50``. The batch cap of
-    100 requests is an option (off by default: at scale a table is the batch).
+    A request needs a text or an image (a non-empty string, or a vector), and
+    ``1 <= k <= 50``. A table is the batch, so the number of requests is no reason.
     """
-    has_image = (F.col(image_col).isNotNull() & (F.col(image_col) != "")) if (
-        image_col and image_col in requests.columns) else F.lit(False)
+    has_image = F.lit(False)
+    if image_col and image_col in requests.columns:
+        vector = dict(requests.dtypes)[image_col].startswith("array")
+        has_image = F.col(image_col).isNotNull() & ((F.size(image_col) > 0) if vector else (F.col(image_col) != ""))
     has_text = F.col(text_col).isNotNull() & (F.col(text_col) != "")
     k = F.col(k_col)
     reason = (F.when(~has_text & ~has_image, F.lit("no text or image query"))
               .when(k.isNull() | (k < K_MIN) | (k > K_MAX), F.lit(f"k must be in {K_MIN}..{K_MAX}")))
-    out = requests.withColumn("reject_reason", reason)
-    if enforce_batch_cap:
-        n = requests.count()
-        if n > BATCH_MAX:
-            out = out.withColumn("reject_reason", F.lit(f"batch larger than {BATCH_MAX}"))
-    return out
+    return requests.withColumn("reject_reason", reason)

@@ -4,8 +4,9 @@
   second-moment matrix, partially aggregated per task; min/max come from the
   exact 1-NN join (inner product) -- no pair is ever a row.
 * A10 ranks each text's true image with the exact kNN join (top-5).
-* A11 splits every category into hash blocks of bounded size and joins block
-  pairs of the same category, so a hot category spreads over many tasks.
+* A11 splits every category into hash blocks of bounded size; pairs of block
+  numbers are generated from the counts and each side joins on its own block, so a
+  hot category spreads over as many tasks as it has block pairs.
 * A12/A13 work inside training batches, whose size is bounded by definition.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..constants import CATEGORY_LOSS_ALPHA, CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import as_double, norm, similarity
 from .knn import knn_join
+from .metrics import null_safe_join
 
 
 # -- A2 -----------------------------------------------------------------------
@@ -35,7 +37,7 @@ def _moments(batches, dim: int):
         V = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         s += V.sum(axis=0)
         S += V.T @ V
-    yield pd.DataFrame({"vsum": [s.tolist()], "gram": [S.ravel().tolist()]})
+    yield pd.DataFrame({"sums": [s.tolist() + S.ravel().tolist()]})
 
 
 def _sum_arrays(df: DataFrame, col: str) -> DataFrame:
@@ -53,13 +55,19 @@ def embedding_quality(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
                  F.sum(F.col("nrm") * F.col("nrm")).alias("sq"),
                  F.sum(F.pow("nrm", 4)).alias("q4")).first()
     n, dim = base["n"], base["dim"]
-    schema = "vsum array<double>, gram array<double>"
-    parts = v.select("v").mapInPandas(partial(_moments, dim=dim), schema)
-    s_sq = _sum_arrays(parts, "vsum").agg(F.sum(F.col("x") * F.col("x"))).first()[0]
-    fro = _sum_arrays(parts, "gram").agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+    spark = vectors.sparkSession
+    schema = ("num_embeddings long, embedding_dim int, norm_mean double, norm_std double, norm_min double, norm_max double, "
+              "sim_mean double, sim_std double, sim_min double, sim_max double, diversity_score double")
+    if n < 2:  # no pair: the statistics over pairs are null
+        return spark.createDataFrame([(n, dim, *(base[f"norm_{x}"] for x in ("mean", "std", "min", "max")), *[None] * 5)], schema)
+    # one pass: the sum vector and the moment matrix, as one array per task
+    parts = v.select("v").mapInPandas(partial(_moments, dim=dim), "sums array<double>")
+    sq = (_sum_arrays(parts, "sums").agg(
+        F.sum(F.when(F.col("i") < dim, F.col("x") * F.col("x"))).alias("s"),
+        F.sum(F.when(F.col("i") >= dim, F.col("x") * F.col("x"))).alias("f")).first())
     pairs = n * (n - 1)
-    mean = (s_sq - base["sq"]) / pairs
-    second = (fro - base["q4"]) / pairs
+    mean = (sq["s"] - base["sq"]) / pairs
+    second = (sq["f"] - base["q4"]) / pairs
     std = math.sqrt(max(second - mean * mean, 0.0))
     q = v.select(F.col("vec_id").alias("query_id"), "v")
     hi = knn_join(q, v, k=1, metric="ip", query_vec_col="v", vec_col="v", exclude_self=True) \
@@ -67,12 +75,9 @@ def embedding_quality(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     neg = v.select(F.col("vec_id").alias("query_id"), F.transform("v", lambda x: -x).alias("v"))
     lo = -knn_join(neg, v, k=1, metric="ip", query_vec_col="v", vec_col="v", exclude_self=True) \
         .agg(F.max("score")).first()[0]
-    spark = vectors.sparkSession
     row = [(n, dim, base["norm_mean"], base["norm_std"], base["norm_min"], base["norm_max"],
             mean, std, lo, hi, 1.0 - mean)]
-    return spark.createDataFrame(row, "num_embeddings long, embedding_dim int, norm_mean double, "
-                                      "norm_std double, norm_min double, norm_max double, sim_mean double, "
-                                      "sim_std double, sim_min double, sim_max double, diversity_score double")
+    return spark.createDataFrame(row, schema)
 
 
 # -- A3 -----------------------------------------------------------------------
@@ -130,7 +135,8 @@ def category_dispersion(vectors: DataFrame, cat_col: str, vec_col: str = "embedd
     """
     per = category_dispersion_by_group(vectors, cat_col, vec_col, id_col, block_rows)
     return per.agg(
-        (F.sum(F.when(F.col("n") > 1, F.col("mean_dist")).otherwise(0.0)) / F.count(F.lit(1))).alias("category_loss"),
+        F.try_divide(F.sum(F.when(F.col("n") > 1, F.col("mean_dist")).otherwise(0.0)),
+                     F.count(F.lit(1)).cast("double")).alias("category_loss"),
         F.count(F.lit(1)).alias("n_categories"))
 
 
@@ -140,17 +146,19 @@ def category_dispersion_by_group(vectors: DataFrame, cat_col: str, vec_col: str
                        as_double(vec_col).alias("v"))
     counts = v.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows)).cast("long"))
-    blocked = (v.join(counts.withColumn("nb", nb), "category")
+    blocked = (null_safe_join(v, counts.withColumn("nb", nb).drop("n"), ["category"])
                .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))))
     blocks = blocked.groupBy("category", "blk").agg(F.collect_list("v").alias("vs"))
+    visits = (counts.withColumn("nb", nb).withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+              .withColumn("bb", F.explode(F.sequence(F.col("ba"), F.col("nb") - 1))).select("category", "ba", "bb"))
     a = blocks.select("category", F.col("blk").alias("ba"), F.col("vs").alias("va"))
     b = blocks.select("category", F.col("blk").alias("bb"), F.col("vs").alias("vb"))
-    pairs = (a.join(b, "category").where(F.col("ba") <= F.col("bb"))
+    pairs = (null_safe_join(null_safe_join(visits, a, ["category", "ba"]), b, ["category", "bb"])
              .withColumn("same", F.col("ba") == F.col("bb")))
     sums = pairs.select("category", "va", "vb", "same").mapInPandas(
         _block_pair_sums, "category " + v.schema["category"].dataType.simpleString() + ", s double")
     tot = sums.groupBy("category").agg(F.sum("s").alias("s"))
-    return (counts.join(tot, "category", "left")
+    return (null_safe_join(counts, tot, ["category"], "left")
             .select("category", "n", (F.coalesce(F.col("s"), F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("mean_dist")))
 
 

@@ -69,7 +69,9 @@ META_COLS = ("product_id, image_url, product_url, variants_products_link, shippi
 
 
 def cleaned(spark, sf):
-    return clean.clean_products(products(spark, sf))
+    """Cleaned products over the known columns; only ``clean_products`` pays for
+    finding out which columns hold nothing."""
+    return clean.fill_not_available(products(spark, sf).select(*[F.col(f"`{c}`") for c in _KEPT]))
 
 
 def metadata(spark, sf):
@@ -80,7 +82,7 @@ def metadata(spark, sf):
 
 @register("clean_products", f"WITH {CLEANED_CTE} SELECT * FROM cleaned")
 def q_clean_products(spark, sf):
-    return cleaned(spark, sf)
+    return clean.clean_products(products(spark, sf))
 
 
 # -- C4, C5 --------------------------------------------------------------------

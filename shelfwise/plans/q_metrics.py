@@ -10,6 +10,7 @@ from ..functions.text import token_set
 from ..operators import metrics as MX
 from ..operators import search, truth
 from ..operators.generate import generate_answers
+from ..sources.io import materialise
 from ..sources.tables import read_table
 from .q_clean import META_CTE, WORD_RE, cleaned, sql_strip
 from .q_search import DIM, hash_sql, hash_dist_sql
@@ -26,7 +27,7 @@ def lit(s: str) -> str:
 # -- A6 ------------------------------------------------------------------------
 
 @register("latency_stats",
-          "SELECT coalesce(event_type, 'all') AS event_type, count(value) AS n, round(avg(value), 6) AS mean_latency_ms, "
+          "SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'all' ELSE event_type END AS event_type, count(value) AS n, round(avg(value), 6) AS mean_latency_ms, "
           "round(quantile_cont(value, 0.5), 6) AS median_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, "
           "round(quantile_cont(value, 0.99), 6) AS p99_latency_ms, round(min(value), 6) AS min_latency_ms, "
           "round(max(value), 6) AS max_latency_ms, round(stddev_pop(value), 6) AS std_latency_ms "
@@ -34,7 +35,7 @@ def lit(s: str) -> str:
 def q_latency(spark, sf):
     ev = read_table(spark, sf, "events", ["event_type", "value"])
     s = MX.latency_summary(ev, "value", ["event_type"], with_total=True)
-    return s.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), "n",
+    return s.select(F.when(F.col("is_total"), "all").otherwise(F.col("event_type")).alias("event_type"), "n",
                     *[MX.round_col(c) for c in s.columns if c.endswith("_ms")])
 
 
@@ -42,17 +43,17 @@ def q_latency(spark, sf):
 
 def _eval_inputs(spark, sf, k=20):
     from .q_search import _index
-    c = cleaned(spark, sf)                       # one all-null-column pass, shared below
+    c = cleaned(spark, sf)
     meta, index = _index(spark, sf, c)
     hits = search.similar_items(index, k=k, tie_decimals=9)
     attrs = (c.join(meta.select("product_id"), "product_id")
              .select("product_id", F.col("Category").alias("category"), F.col("Product Name").alias("name")))
     a = attrs.select(F.col("product_id").alias("query_id"), F.col("category").alias("qc"), token_set("name").alias("qt"))
     b = attrs.select(F.col("product_id").alias("vec_id"), F.col("category").alias("cc"), token_set("name").alias("ct"))
-    flagged = (hits.join(a, "query_id").join(b, "vec_id")
+    flagged = materialise(hits.join(a, "query_id").join(b, "vec_id")
                .withColumn("is_truth", truth.is_truth(F.col("qc"), F.col("qt"), F.col("cc"), F.col("ct"),
                                                       F.col("query_id"), F.col("vec_id")))
-               .select("query_id", "rank", "vec_id", "is_truth"))
+               .select("query_id", "rank", "vec_id", "is_truth"), "flagged-hits")
     prod = attrs.select("product_id", F.col("category").alias("Category"), F.col("name").alias("Product Name"))
     with_truth = truth.has_truth(prod).select(F.col("pid").alias("query_id"))
     return meta, flagged, with_truth, prod
@@ -112,7 +113,7 @@ def q_recall(spark, sf):
 
 def _prf(spark, sf):
     meta, flagged, _, prod = _eval_inputs(spark, sf)
-    sizes = truth.truth_pairs(prod).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = truth.truth_sizes(prod)
     q = meta.select(F.col("product_id").alias("query_id"))
     return MX.metric_rows(MX.precision_recall_f1(flagged, q, sizes, 5), "retrieval_accuracy")
 

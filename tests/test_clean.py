@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.constants import NOT_AVAILABLE
@@ -64,8 +65,22 @@ def test_validate_requests(spark):
     assert r[1] is None and r[2] == "no text or image query" and r[3].startswith("k must")
     assert r[4].startswith("k must") and r[5] == "no text or image query"
     big = spark.range(101).selectExpr("id AS query_id", "'q' AS text_query", "5 AS k")
-    capped = clean.validate_requests(big, image_col=None, enforce_batch_cap=True)
-    assert capped.where("reject_reason IS NOT NULL").count() == 101
+    assert clean.validate_requests(big, image_col=None).where("reject_reason IS NOT NULL").count() == 0
+    vec = spark.createDataFrame([(1, None, [0.5], 5), (2, None, [], 5), (3, None, None, 5), (4, "q", None, 5)],
+                                "query_id int, text_query string, image_vec array<double>, k int")
+    r = {x.query_id: x.reject_reason for x in clean.validate_requests(vec, image_col="image_vec").collect()}
+    assert r[1] is None and r[4] is None and r[2] == r[3] == "no text or image query"
+
+
+def test_positions_do_not_hang_on_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(200_000).select(F.xxhash64("id").alias("k")).repartition(7)
+        got = clean.global_position(df, "k")
+        assert got.agg(F.countDistinct("position"), F.max("position")).first()[:] == (200_000, 199_999)
+        assert got.withColumn("n", F.lag("k").over(Window.orderBy("position"))).where("n > k").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_quality_report(spark):
