@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import IVF_NLIST, IVF_NPROBE
-from ..sources.io import materialise
+from ..sources.io import load_index, materialise
 from .knn import BLOCK_ROWS, compared_pairs, knn_join
 
 
@@ -72,6 +72,15 @@ def ivf_from_centroids(vectors: DataFrame, centroids: DataFrame, metric: str = "
     return IvfIndex(materialise(rows, "ivf-vectors"), centroids, centroids.count(), metric)
 
 
+def load_ivf(spark, path: str) -> IvfIndex:
+    """A saved IVF index, ready to be searched and added to."""
+    vectors, centroids, _, manifest = load_index(spark, path)
+    if not manifest["is_trained"] or centroids is None:
+        raise ValueError(f"{path} holds no trained IVF index")
+    return IvfIndex(vectors.select("vec_id", "embedding", "cluster_id"), centroids, manifest["n_centroids"],
+                    manifest.get("metric", "l2"))
+
+
 def ivf_add(index: IvfIndex | None, vectors: DataFrame, nlist: int = IVF_NLIST, metric: str = "l2",
             train_if_needed: bool = True, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfIndex:
     """N6 for IVF: train on the first add (if allowed), else assign new vectors to

@@ -52,7 +52,7 @@ def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _visit(Q, V, qids, vids, kmax, metric, exclude_self, tol_scale, tie_decimals):
+def _visit(Q, V, q_own, v_own, vids, kmax, metric, exclude_self, tol_scale, tie_decimals):
     """(query row, score to minimise, vec_id) of all that may be among a query's best."""
     qn, vn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", V, V)
     if metric == "l2":
@@ -64,7 +64,7 @@ def _visit(Q, V, qids, vids, kmax, metric, exclude_self, tol_scale, tie_decimals
     if tie_decimals is not None:
         tol = max(tol, 2.0 * 10.0 ** (-tie_decimals))
     if exclude_self:
-        approx[qids[:, None] == vids[None, :]] = np.inf
+        approx[q_own[:, None] == v_own[None, :]] = np.inf
     kk = min(kmax, approx.shape[1])
     cut = np.partition(approx, kk - 1, axis=1)[:, kk - 1] + tol
     qi, vj = np.nonzero((approx <= cut[:, None]) & np.isfinite(approx))
@@ -98,18 +98,18 @@ def _search(batches: Iterator[pa.RecordBatch], kmax: int, metric: str, exclude_s
                 ["query_id", "vec_id", "score", "k"])
         held.clear()
 
-    at = V = vids = None
+    at = V = vids = v_own = None
     for batch in batches:
         for i in range(batch.num_rows):
             block = (batch.column("key")[i].as_py(), batch.column("vb")[i].as_py())
             if block != at:
                 rows = batch.column("vectors")[i].values
-                ids, vecs = rows.flatten()
-                at, vids, V = block, ids.to_numpy(), _matrix(vecs, len(rows))
+                ids, own, vecs = rows.flatten()
+                at, vids, v_own, V = block, ids.to_numpy(), own.to_numpy(), _matrix(vecs, len(rows))
             rows = batch.column("queries")[i].values
-            ids, ks, vecs = rows.flatten()
+            ids, ks, own, vecs = rows.flatten()
             qids, ks = ids.to_numpy(), ks.to_numpy()
-            found = _visit(_matrix(vecs, len(rows)), V, qids, vids, kmax, metric, exclude_self, tol_scale, tie_decimals)
+            found = _visit(_matrix(vecs, len(rows)), V, own.to_numpy(), v_own, vids, kmax, metric, exclude_self, tol_scale, tie_decimals)
             name = (block[0], batch.column("qb")[i].as_py())
             if name in held:
                 before = held[name][2]
@@ -142,12 +142,14 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
              vec_id_col: str = "vec_id", vec_col: str = "embedding",
              k_col: str | None = None, exclude_self: bool = False,
              query_keys_col: str | None = None, vec_keys_col: str | None = None,
+             query_own_col: str | None = None, vec_own_col: str | None = None,
              tol_scale: float = 1e-9, tie_decimals: int | None = None,
              ids_desc: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-``k`` vectors per query: ``(query_id, rank, vec_id, score)``.
 
     ``k_col`` gives a per-query k (request tables). ``exclude_self`` drops the
-    vector whose id equals the query id before ranking. With ``query_keys_col`` and
+    vector whose id equals the query id before ranking, or whose ``vec_own_col``
+    equals the query's ``query_own_col`` (bigint, say a hash of an URL). With ``query_keys_col`` and
     ``vec_keys_col`` (array<bigint> columns, or bigint for the vectors) a query is
     compared only with vectors that share one of its keys. ``tie_decimals`` ranks on
     scores rounded to that many places, so scores equal up to float noise (common
@@ -169,8 +171,10 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
 
     q = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).cast("array<double>").alias("vec"),
                        (F.col(k_col) if k_col else F.lit(k)).cast("int").alias("k"),
+                       F.col(query_own_col or query_id_col).cast("long").alias("own"),
                        (keys(queries, query_keys_col) if keyed else F.array(F.lit(0).cast("bigint"))).alias("keys"))
     v = vectors.select(F.col(vec_id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"),
+                       F.col(vec_own_col or vec_id_col).cast("long").alias("own"),
                        (keys(vectors, vec_keys_col) if keyed else F.array(F.lit(0).cast("bigint"))).alias("keys"))
     qs, vs = _sizes(q, "vec"), _sizes(v, "vec")
     kmax = q.agg(F.max("k")).first()[0] if k_col else k
@@ -190,10 +194,10 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         nq, nv = (math.ceil(s["n"] / block_rows) for s in (qs, vs))
         q, v = q.withColumn("nq", F.lit(nq)).withColumn("nv", F.lit(nv)), v.withColumn("nv", F.lit(nv))
     q_rows = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).groupBy("key", "qb", "nv")
-              .agg(F.collect_list(F.struct("query_id", "k", "vec")).alias("queries"))
+              .agg(F.collect_list(F.struct("query_id", "k", "own", "vec")).alias("queries"))
               .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nv"))
     v_rows = (v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).groupBy("key", "vb")
-              .agg(F.collect_list(F.struct("vec_id", "vec")).alias("vectors")))
+              .agg(F.collect_list(F.struct("vec_id", "own", "vec")).alias("vectors")))
     if not keyed:
         # a task per core or more, and no more tasks than needed: each hands on k rows a query
         tasks = min(nv, 4 * spark.sparkContext.defaultParallelism)

@@ -29,8 +29,14 @@ def check_add(vectors: DataFrame, metadata: DataFrame, dim: int, id_col: str = "
         raise ValueError(f"Embedding dimension doesn't match index dimension {dim}")
 
 
-def add_vectors(index: DataFrame, vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Append rows (cast to float32 arrays like the index)."""
+def add_vectors(index: DataFrame, vectors: DataFrame, vec_col: str = "embedding", metadata: DataFrame | None = None,
+                id_col: str = "vec_id") -> DataFrame:
+    """Append rows (cast to float32 arrays like the index) after the checks of
+    an add: the index's dimension and, with ``metadata``, a record for every vector."""
+    dim = index.agg(F.max(F.size(vec_col))).first()[0]
+    if dim is None:
+        dim = vectors.agg(F.max(F.size(vec_col))).first()[0] or 0
+    check_add(vectors, vectors if metadata is None else metadata, dim, id_col, vec_col)
     return index.unionByName(vectors.withColumn(vec_col, F.col(vec_col).cast("array<float>")))
 
 
@@ -88,8 +94,14 @@ def rerank_by_overlap(hits: DataFrame, query_text_col: str = "text_query",
 # -- N9 -----------------------------------------------------------------------
 
 def similar_items(vectors: DataFrame, k: int = 5, metric: str = "l2", id_col: str = "vec_id",
-                  vec_col: str = "embedding", **kw) -> DataFrame:
-    """K nearest other items of every item (self excluded before ranking)."""
-    q = vectors.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qvec"))
-    return knn_join(q, vectors, k=k, metric=metric, query_vec_col="qvec", vec_id_col=id_col,
-                    vec_col=vec_col, exclude_self=True, **kw)
+                  vec_col: str = "embedding", url_col: str | None = None, **kw) -> DataFrame:
+    """K nearest other items of every item. An item itself is left out before
+    ranking: by id, or with ``url_col`` every item of the same URL (items without a
+    URL by id)."""
+    own = F.col(id_col).cast("long")
+    if url_col:
+        own = F.when(F.col(url_col).isNull(), own).otherwise(F.xxhash64(url_col))
+    v = vectors.withColumn("_own", own)
+    q = v.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qvec"), "_own")
+    return knn_join(q, v, k=k, metric=metric, query_vec_col="qvec", vec_id_col=id_col, vec_col=vec_col, exclude_self=True,
+                    query_own_col="_own", vec_own_col="_own", **kw)

@@ -10,12 +10,14 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..operators import ann, search
 from ..sources import io
 from ..sources.products import PRODUCT_COLUMNS, PRODUCT_EXPRS
 from ..sources.tables import read_table
 from . import jobs
 from .q_clean import META_COLS, META_CTE
-from .q_search import DIM, hash_sql
+from .q_index import CENTROID_CTE, label_centroids, probe_pairs
+from .q_search import DIM, EMB_L2, hash_sql
 from .registry import products, register
 
 CSV_COLUMNS = ["product_id"] + PRODUCT_COLUMNS + ["Upc Ean Code", "Brand Name"]
@@ -39,9 +41,7 @@ def q_index_io(spark, sf):
     e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
     path = io.save_index(e, io.shared_folder(spark, "index"), {"dimension": DIM, "index_type": "flat"},
                          partition_col="label")
-    vectors, _, _, man = io.load_index(spark, path)
-    if not man["is_trained"]:
-        raise RuntimeError("loaded index must count as trained")
+    vectors, _, _, _ = io.load_index(spark, path)
     return vectors.select("vec_id", "embedding", F.col("label").cast("int"))
 
 
@@ -67,7 +67,7 @@ def q_eval_io(spark, sf):
 def q_process_job(spark, sf):
     out = io.shared_folder(spark, "process")
     paths = jobs.process_data(spark, _write_product_csv(spark, sf), out, columns=CSV_COLUMNS)
-    meta = spark.read.json(paths["metadata"])
+    meta = spark.read.schema(jobs.METADATA_SCHEMA).json(paths["metadata"])
     return meta.select(*[F.col(c.strip()) for c in META_COLS.split(",")])
 
 
@@ -94,7 +94,39 @@ def q_build_job_ivf(spark, sf):
     out = io.shared_folder(spark, "job-ivf")
     paths = jobs.process_data(spark, _write_product_csv(spark, sf), os.path.join(out, "data"), columns=CSV_COLUMNS)
     path = jobs.build_index(spark, paths["metadata"], os.path.join(out, "index"), dim=DIM, index_type="ivf", nlist=8)
-    vectors, centroids, _, man = io.load_index(spark, path)
-    if centroids is None or man.get("partition_col") != "cluster_id" or man.get("nlist") != 8:
+    vectors, _, _, man = io.load_index(spark, path)
+    if not man["is_trained"] or man.get("partition_col") != "cluster_id" or man.get("nlist") != 8:
         raise RuntimeError("IVF index must reload with its centroids and cluster partitions")
     return vectors.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+_CENTROIDS = CENTROID_CTE.split("near AS")[0]
+
+
+@register("load_and_search",
+          f"WITH base AS (SELECT * FROM embeddings), {_CENTROIDS} "
+          "grown AS (SELECT vec_id, embedding, label FROM base UNION ALL "
+          "SELECT vec_id + 1000000000, list_reverse(embedding), label FROM base), "
+          "near AS (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY vec_id "
+          "ORDER BY round(pow(list_distance(CAST(embedding AS DOUBLE[]), c), 2), 9), cluster_id) AS r FROM grown, cents), "
+          f"d AS (SELECT p.q AS query_id, b.vec_id, {EMB_L2} AS dist FROM ({probe_pairs(2)} AND n.vec_id < 1000000000) p "
+          "JOIN grown a ON a.vec_id = p.q JOIN grown b ON b.vec_id = p.v) "
+          "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(dist, 6) AS dist FROM (SELECT *, row_number() "
+          "OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d) WHERE rank <= 5")
+def q_load_and_search(spark, sf):
+    """Build and save an IVF index, load it, add vectors with the checks of an add,
+    save and load again, and search only the partitions that are probed."""
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    index = ann.ivf_from_centroids(e.select("vec_id", "embedding"), label_centroids(e), tie_decimals=9)
+
+    def stored(idx):
+        path = io.save_index(idx.vectors, io.shared_folder(spark, "ivf"), {"index_type": "ivf", "metric": "l2"},
+                             centroids=idx.centroids, partition_col="cluster_id")
+        return ann.load_ivf(spark, path)
+    loaded = stored(index)
+    extra = e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.reverse("embedding").alias("embedding"))
+    search.check_add(extra, extra.select("vec_id"), DIM)
+    grown = stored(ann.ivf_add(loaded, extra))
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = ann.ivf_search(q, grown, k=5, nprobe=2, tie_decimals=9, prune=True)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("dist"))

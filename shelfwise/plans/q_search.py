@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_QUERY_TEXT, NO_RESULTS_MESSAGE
 from ..functions.vectors import hash_embed
 from ..operators import search
 from ..operators.knn import knn_join
@@ -189,6 +190,64 @@ def q_batch_retrieve(spark, sf):
                       r6("score").alias("score"), "message")
 
 
+# -- N10, N11, C15: text, image and mixed requests; an empty index ----------------
+
+def mixed_requests(spark, sf):
+    """Requests of all kinds: text, image vector (the embedding of the item's number),
+    both, and neither."""
+    b = read_table(spark, sf, "benchmark", ["item_id", "text"])
+    v = read_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return (b.join(v, b["item_id"] == v["vec_id"], "left").select(
+        F.col("item_id").alias("query_id"),
+        F.when(F.col("item_id") % 4 != 1, F.when(F.col("item_id") % 4 != 3, F.col("text"))).alias("text_query"),
+        F.when(F.col("item_id") % 4 != 0, F.when(F.col("item_id") % 4 != 3, F.col("embedding"))).alias("image_vec"),
+        F.lit(4).alias("k")))
+
+
+MIXED_SQL = (
+    f"WITH {META_CTE},\nqueries AS (SELECT item_id AS qid, CASE WHEN item_id % 4 IN (0, 2) THEN text END AS text_query, "
+    "CASE WHEN item_id % 4 IN (1, 2) THEN embedding END AS image FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),\n"
+    f"{hash_sql('Q', 'queries', 'qid', 'text_query')},\n{hash_sql('P', 'meta', 'product_id', 'combined_text')},\n"
+    f"cells AS (SELECT q.qid, g.b, coalesce(x.c / n.nrm, 0.0) AS t, CAST(q.image[g.b + 1] AS DOUBLE) AS i, q.text_query, q.image "
+    f"FROM queries q CROSS JOIN range({DIM}) g(b) LEFT JOIN Q_b x ON x.id = q.qid AND x.b = g.b LEFT JOIN Q_n n ON n.id = q.qid),\n"
+    "qv AS (SELECT qid, b, CASE WHEN text_query IS NULL THEN i WHEN image IS NULL THEN t ELSE (t + i) / 2 END AS v FROM cells "
+    "WHERE text_query IS NOT NULL OR image IS NOT NULL),\n"
+    "qn AS (SELECT qid, sum(v * v) AS qq FROM qv GROUP BY qid),\n"
+    "dots AS (SELECT qv.qid, p.id AS pid, sum(qv.v * p.c / n.nrm) AS dp FROM qv JOIN P_b p USING (b) JOIN P_n n ON n.id = p.id GROUP BY ALL),\n"
+    "pairs AS (SELECT qn.qid, m.product_id AS pid, round(qq + CASE WHEN n.nrm IS NULL THEN 0 ELSE 1 END - 2 * coalesce(dp, 0), 9) AS dist "
+    "FROM qn CROSS JOIN meta m LEFT JOIN P_n n ON n.id = m.product_id LEFT JOIN dots d ON d.qid = qn.qid AND d.pid = m.product_id),\n"
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank FROM pairs)\n"
+    "SELECT qid AS query_id, CAST(rank AS INTEGER) AS rank, pid AS product_id, round(dist, 6) AS score, "
+    "CAST(NULL AS VARCHAR) AS message FROM ranked WHERE rank <= 4 UNION ALL "
+    "SELECT qid, NULL, NULL, NULL, 'Error processing query: no text or image query' FROM queries "
+    "WHERE text_query IS NULL AND image IS NULL")
+
+
+@register("retrieve_multimodal", MIXED_SQL)
+def q_retrieve_multimodal(spark, sf):
+    meta, index = _index(spark, sf)
+    out = retrieval.batch_retrieve(mixed_requests(spark, sf), index, meta, dim=DIM, image_vec_col="image_vec")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", r6("score").alias("score"), "message")
+
+
+@register("retrieve_empty_index",
+          f"WITH req AS ({REQUESTS_SQL}) SELECT query_id, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS BIGINT) AS product_id, "
+          "CAST(NULL AS DOUBLE) AS score, CASE WHEN text_query IS NULL OR text_query = '' "
+          "THEN 'Error processing query: no text or image query' WHEN k IS NULL OR k < 1 OR k > 50 "
+          f"THEN 'Error processing query: k must be in 1..50' ELSE '{NO_RESULTS_MESSAGE.replace(chr(39), chr(39) * 2)}' END AS message FROM req")
+def q_retrieve_empty(spark, sf):
+    meta, index = _index(spark, sf)
+    out = retrieval.batch_retrieve(requests(spark, sf), search.clear(index), meta, dim=DIM)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", r6("score").alias("score"), "message")
+
+
+@register("question_text",
+          f"SELECT item_id AS query_id, CASE WHEN item_id % 4 IN (0, 2) AND text <> '' THEN text ELSE '{DEFAULT_QUERY_TEXT}' END AS question "
+          "FROM benchmark")
+def q_question_text(spark, sf):
+    return mixed_requests(spark, sf).select("query_id", retrieval.question_text().alias("question"))
+
+
 # -- N9: similar products -------------------------------------------------------
 
 @register("similar_products",
@@ -197,15 +256,16 @@ def q_batch_retrieve(spark, sf):
           "WHERE a.id <> b.id GROUP BY ALL),\n"
           f"pairs AS (SELECT q.product_id AS qid, m.product_id AS pid, "
           f"{hash_dist_sql('qn', 'pn', 'q.product_id', 'm.product_id', 'd')} AS dist "
-          "FROM meta q JOIN meta m ON q.product_id <> m.product_id "
+          "FROM meta q JOIN meta m ON q.product_url <> m.product_url "
           "LEFT JOIN P_n qn ON qn.id = q.product_id LEFT JOIN P_n pn ON pn.id = m.product_id "
           "LEFT JOIN dots d ON d.qid = q.product_id AND d.pid = m.product_id),\n"
           "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) AS rank FROM pairs)\n"
           "SELECT qid AS query_id, CAST(rank AS BIGINT) AS rank, pid AS product_id, round(dist, 6) AS dist "
           "FROM ranked WHERE rank <= 5")
 def q_similar_products(spark, sf):
-    _, index = _index(spark, sf)
-    hits = search.similar_items(index, k=5, tie_decimals=9)
+    meta, index = _index(spark, sf)
+    index = index.join(meta.select(F.col("product_id").alias("vec_id"), "product_url"), "vec_id")
+    hits = search.similar_items(index, k=5, tie_decimals=9, url_col="product_url")
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"),
                        F.col("vec_id").alias("product_id"), r6("score").alias("dist"))
 

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+FILES_PER_PARTITION = 8
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)
@@ -50,7 +53,15 @@ def write_json(df: DataFrame, path: str, force: bool = False) -> str:
 
 def save_index(vectors: DataFrame, path: str, manifest: dict, centroids: DataFrame | None = None,
                partition_col: str | None = None, metadata: DataFrame | None = None, force: bool = True) -> str:
-    """Vector table (partitioned by cluster for IVF), centroids, metadata, manifest."""
+    """Vector table (partitioned by cluster for IVF), centroids, metadata, manifest.
+
+    A partitioned table is first dealt out by cluster and salt, so a cluster has
+    FILES_PER_PARTITION files at most and a hot one is written by several tasks. The
+    manifest keeps the number of vectors, their dimension and the number of centroids.
+    """
+    if partition_col:
+        salt = F.pmod(F.xxhash64("vec_id"), F.lit(FILES_PER_PARTITION))
+        vectors = vectors.repartition(F.col(partition_col), salt)
     write_table(vectors, os.path.join(path, "vectors"), force=force,
                 partition_by=[partition_col] if partition_col else None)
     if centroids is not None:
@@ -58,7 +69,10 @@ def save_index(vectors: DataFrame, path: str, manifest: dict, centroids: DataFra
     if metadata is not None:
         write_table(metadata, os.path.join(path, "metadata"), force=force)
     spark = vectors.sparkSession
-    man = dict(manifest, partition_col=partition_col, has_centroids=centroids is not None,
+    saved = spark.read.parquet(os.path.join(path, "vectors")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    man = dict(manifest, total_vectors=saved["n"], vector_dimension=saved["dim"],
+               n_centroids=centroids.count() if centroids is not None else 0, partition_col=partition_col, has_centroids=centroids is not None,
                has_metadata=metadata is not None)
     spark.createDataFrame([(json.dumps(man),)], "manifest string").coalesce(1) \
         .write.mode(_mode(force)).text(os.path.join(path, "manifest"))
@@ -66,12 +80,26 @@ def save_index(vectors: DataFrame, path: str, manifest: dict, centroids: DataFra
 
 
 def load_index(spark: SparkSession, path: str):
-    """(vectors, centroids or None, metadata or None, manifest dict); a loaded index is trained."""
+    """(vectors, centroids or None, metadata or None, manifest dict).
+
+    What is read must agree with the manifest: number and dimension of the vectors,
+    number of centroids; otherwise ``ValueError``. An index that needs no training, or
+    has its centroids, is trained.
+    """
     man = json.loads(spark.read.text(os.path.join(path, "manifest")).first()[0])
-    man["is_trained"] = True
     vectors = spark.read.parquet(os.path.join(path, "vectors"))
     centroids = spark.read.parquet(os.path.join(path, "centroids")) if man.get("has_centroids") else None
     meta = spark.read.parquet(os.path.join(path, "metadata")) if man.get("has_metadata") else None
+    found = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"),
+                        F.max(F.size("embedding")).alias("high")).first()
+    if found["n"] != man["total_vectors"]:
+        raise ValueError(f"the index has {found['n']} vectors where its manifest has {man['total_vectors']}")
+    if found["n"] and {found["low"], found["high"]} != {man["vector_dimension"]}:
+        raise ValueError(f"vectors of dimension {found['low']} to {found['high']}, manifest {man['vector_dimension']}")
+    n_centroids = centroids.count() if centroids is not None else 0
+    if n_centroids != man["n_centroids"]:
+        raise ValueError(f"the index has {n_centroids} centroids where its manifest has {man['n_centroids']}")
+    man["is_trained"] = man.get("index_type") != "ivf" or n_centroids > 0
     return vectors, centroids, meta, man
 
 

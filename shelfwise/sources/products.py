@@ -86,13 +86,14 @@ def product_csv_schema(columns: list[str] | None = None) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in (columns or PRODUCT_COLUMNS)])
 
 
-def load_product_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def load_product_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
+                     multi_line: bool = True) -> DataFrame:
     """Read a product CSV with header; pandas-style null tokens become null.
 
-    Quoted multi-line fields are allowed (``multiLine``), so a file is read by
-    one task per file; split large inputs into many files.
+    With ``multi_line`` quoted fields may hold line feeds, and a file is read by one
+    task; without it large files are split.
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
+    df = (spark.read.option("header", True).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"')
           .schema(product_csv_schema(columns)).csv(path))
     return df.select(*[

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.operators import ann
 from shelfwise.plans import jobs
 from shelfwise.sources import io
 from shelfwise.sources.products import load_product_csv
@@ -35,7 +36,21 @@ def test_index_save_load_and_eval_set(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(6)], "vec_id long, embedding array<float>, cluster_id int")
     path = io.save_index(v, io.shared_folder(spark, "idx"), {"dimension": 2, "index_type": "ivf"}, partition_col="cluster_id")
     vectors, cents, meta, man = io.load_index(spark, path)
-    assert man["is_trained"] and man["dimension"] == 2 and cents is None and meta is None
+    assert not man["is_trained"] and man["dimension"] == 2 and cents is None and meta is None
+    assert (man["total_vectors"], man["vector_dimension"]) == (6, 2)
+    with pytest.raises(ValueError, match="no trained IVF"):
+        ann.load_ivf(spark, path)
+    vectors.limit(1).write.mode("append").parquet(os.path.join(path, "vectors", "cluster_id=0"))
+    with pytest.raises(ValueError, match="7 vectors where its manifest has 6"):
+        io.load_index(spark, path)
+    path = io.save_index(v, io.shared_folder(spark, "idx"), {"dimension": 2, "index_type": "ivf"}, partition_col="cluster_id",
+                         centroids=spark.createDataFrame([(0, [0.0, 1.0]), (1, [5.0, 1.0])], "cluster_id long, centroid array<double>"))
+    index = ann.load_ivf(spark, path)
+    hits = ann.ivf_search(v.where("vec_id = 2").withColumnRenamed("vec_id", "query_id"), index, k=9, nprobe=1, prune=True)
+    assert [r.vec_id for r in hits.orderBy("rank").collect()] == [2, 0, 4]
+    plan = ann.restrict_to_probed(index, spark.createDataFrame([([0],)], "probes array<bigint>")).vectors
+    assert "PartitionFilters: [isnotnull(cluster_id" in plan._jdf.queryExecution().executedPlan().toString()
+    vectors = io.load_index(spark, path)[0]
     assert vectors.where("cluster_id = 1").count() == 3
     assert os.path.isdir(os.path.join(path, "vectors", "cluster_id=0"))
     ev = io.shared_folder(spark, "ev")
