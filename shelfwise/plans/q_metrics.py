@@ -216,6 +216,26 @@ def q_rouge(spark, sf):
     return ex.select("pair_id", F.round(rouge_l_column("reference", "question"), 6).alias("rouge_l"))
 
 
+def _lcs_sql(src: str, id_expr: str, ref: str, gen: str) -> str:
+    """rl(id, rouge): ROUGE-L F1 without stems, by the textbook table, a row a step."""
+    toks = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return (
+        f"lt AS (SELECT {id_expr} AS id, {toks(ref)} AS f, {toks(gen)} AS g FROM {src}),\n"
+        "lcs AS (SELECT id, 0 AS i, list_transform(range(0, len(f) + 1), lambda j: CAST(0 AS BIGINT)) AS dp, f, g FROM lt "
+        "UNION ALL SELECT id, i + 1, list_transform(range(0, len(f) + 1), lambda j: list_max(list_transform(range(0, j + 1), "
+        "lambda k: CASE WHEN k > 0 AND f[k] = g[i + 1] THEN dp[k] + 1 ELSE dp[k + 1] END))), f, g FROM lcs WHERE i < len(g)),\n"
+        "rl AS (SELECT id, CASE WHEN len(f) = 0 OR len(g) = 0 OR dp[len(f) + 1] = 0 THEN 0.0 "
+        "ELSE 2 * (dp[len(f) + 1] / len(g)) * (dp[len(f) + 1] / len(f)) / (dp[len(f) + 1] / len(g) + dp[len(f) + 1] / len(f)) END AS rouge "
+        "FROM lcs WHERE i = len(g))")
+
+
+@register("rouge_l_plain", f"WITH RECURSIVE {EXCH_SQL}, {_lcs_sql('ex', 'pair_id', 'reference', 'question')} "
+          "SELECT id AS pair_id, round(rouge, 6) AS rouge_l FROM rl")
+def q_rouge_plain(spark, sf):
+    ex = _exchanges(spark, sf)
+    return ex.select("pair_id", F.round(rouge_l_column("reference", "question", stem=False), 6).alias("rouge_l"))
+
+
 def _generated(spark, sf):
     ex = _exchanges(spark, sf)
     return generate_answers(ex, prompt_col="question", out_col="generated")
@@ -243,11 +263,43 @@ def q_response_quality(spark, sf):
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
-@register("end_to_end")
-def q_end_to_end(spark, sf):
+_QUALITY_CTE = (f"{EXCH_SQL}, g AS (SELECT pair_id, reference, {_FB} AS generated FROM ex), "
+                f"{_bleu_sql('g', 'pair_id', 'reference', 'generated')}, "
+                f"{_lcs_sql('g', 'pair_id', 'reference', 'generated')}")
+_QUALITY = (("bleu_mean", "avg(bleu)", "bl"), ("bleu_std", "stddev_pop(bleu)", "bl"),
+            ("rouge_mean", "avg(rouge)", "rl"), ("rouge_std", "stddev_pop(rouge)", "rl"))
+
+
+@register("response_quality_plain", f"WITH RECURSIVE {_QUALITY_CTE} SELECT "
+          + ", ".join(f"(SELECT round({agg}, 6) FROM {t}) AS {name}" for name, agg, t in _QUALITY))
+def q_response_quality_plain(spark, sf):
+    g = _generated(spark, sf)
+    q = MX.response_quality(MX.response_scores(g, "pair_id", "reference", "generated", stem=False))
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
+
+
+def _end_to_end(spark, sf, stem: bool):
     ev = read_table(spark, sf, "events", ["value"])
     lat = MX.metric_rows(MX.latency_summary(ev, "value").drop("n"), "latency")
     g = _generated(spark, sf)
-    qual = MX.metric_rows(MX.response_quality(MX.response_scores(g, "pair_id", "reference", "generated")),
+    qual = MX.metric_rows(MX.response_quality(MX.response_scores(g, "pair_id", "reference", "generated", stem)),
                           "response_quality")
     return _r6(lat.unionByName(qual).unionByName(_prf(spark, sf)))
+
+
+@register("end_to_end")
+def q_end_to_end(spark, sf):
+    return _end_to_end(spark, sf, stem=True)
+
+
+_LATENCY = (("mean_latency_ms", "avg(value)"), ("median_latency_ms", "quantile_cont(value, 0.5)"),
+            ("p95_latency_ms", "quantile_cont(value, 0.95)"), ("p99_latency_ms", "quantile_cont(value, 0.99)"),
+            ("min_latency_ms", "min(value)"), ("max_latency_ms", "max(value)"), ("std_latency_ms", "stddev_pop(value)"))
+
+
+@register("end_to_end_plain", f"WITH RECURSIVE {_eval_sql()}, {_QUALITY_CTE} "
+          + " UNION ALL ".join([f"SELECT 'latency' AS section, '{n}' AS metric, round({agg}, 6) AS value FROM events" for n, agg in _LATENCY]
+                               + [f"SELECT 'response_quality', '{n}', round({agg}, 6) FROM {t}" for n, agg, t in _QUALITY])
+          + f" UNION ALL {_PRF_ROWS}")
+def q_end_to_end_plain(spark, sf):
+    return _end_to_end(spark, sf, stem=False)
