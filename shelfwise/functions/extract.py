@@ -9,7 +9,6 @@ group 1, stripped. A text with a match whose group is blank yields ``''``
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,19 +66,20 @@ _FLAGS = "(?iu)"
 
 
 class PatternTable:
-    """Ordered pattern list; ``add_custom_pattern`` validates on the driver."""
+    """Ordered pattern list; ``add_custom_pattern`` makes a new table."""
 
     def __init__(self, patterns=DEFAULT_PATTERNS):
         self.patterns: list[FieldPattern] = list(patterns)
 
     def add_custom_pattern(self, keywords, pattern_str: str, field_name: str, description: str,
                            priority: int = 2) -> "PatternTable":
-        try:
-            re.compile(pattern_str, re.IGNORECASE)
-        except re.error as e:
-            raise ValueError(f"Invalid regex pattern: {e}") from e
-        self.patterns.append(FieldPattern(field_name, pattern_str, priority, description, tuple(keywords)))
-        return self
+        """A new table with one more pattern. The pattern is tried by the engine that
+        will run it (Java's, with group 1), so what passes here runs in a job."""
+        try:  # the empty alternative matches, so the engine looks up group 1 too
+            SparkSession.active().range(1).select(F.regexp_extract(F.lit(""), f"{_FLAGS}(?:{pattern_str})|", 1)).collect()
+        except Exception as e:
+            raise ValueError(f"not a pattern with a group for this engine: {pattern_str}") from e
+        return PatternTable([*self.patterns, FieldPattern(field_name, pattern_str, priority, description, tuple(keywords))])
 
     def by_priority(self) -> list[tuple[int, FieldPattern]]:
         """(declared position, pattern) sorted by priority; stable within a priority."""

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"([\p{L}\p{N}_]+)"
 
 
+# White space as Python's str has it, in terms that Java and RE2 both know.
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c) -> Column:
-    """Strip leading/trailing whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing white space, Unicode's too (``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(c), rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def tokens(c) -> Column:
@@ -35,7 +39,7 @@ def overlap(a, b) -> Column:
 
 def whitespace_words(c) -> Column:
     """Words split on runs of whitespace, empties dropped (``str.split()``)."""
-    return F.filter(F.split(strip(F.coalesce(_c(c), F.lit(""))), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(strip(F.coalesce(_c(c), F.lit(""))), rf"{SPACE}+"), lambda x: x != "")
 
 
 def word_count(c) -> Column:

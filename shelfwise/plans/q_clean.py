@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import FILL_COLUMNS, NOT_AVAILABLE
-from ..functions.text import overlap, token_set
+from ..functions.text import SPACE, overlap, token_set
 from ..operators import clean, truth
 from ..sources.tables import read_table
 from .registry import PRODUCTS_CTE, products, register
@@ -33,7 +33,7 @@ CLEANED_CTE = f"{PRODUCTS_CTE},\ncleaned AS ({_cleaned_select()})"
 
 
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '\\A{SPACE}+|{SPACE}+\\z', '', 'g')"
 
 
 _NA = f"'{NOT_AVAILABLE}'"

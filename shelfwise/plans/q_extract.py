@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELD_QUERY_INDICATORS, FUZZY_THRESHOLD, NOT_AVAILABLE
 from ..functions import extract as X
+from ..functions.text import SPACE
 from ..operators import clean
 from .q_clean import CLEANED_CTE, COMBINED_SQL, cleaned, sql_strip
 from .registry import register
@@ -41,7 +42,8 @@ def _detail_sql(q) -> str:
             f"CASE WHEN {q('Product Specification')} <> {_NA} THEN {q('Product Specification')} END, "
             f"CASE WHEN {q('Technical Details')} <> {_NA} THEN {q('Technical Details')} END, "
             f"CASE WHEN {q('Shipping Weight')} <> {_NA} THEN 'Shipping Weight: ' || {q('Shipping Weight')} END, "
-            f"CASE WHEN {q('Product Dimensions')} <> {_NA} THEN 'Product Dimensions: ' || {q('Product Dimensions')} END)")
+            f"CASE WHEN {q('Product Dimensions')} <> {_NA} THEN 'Product Dimensions: ' || {q('Product Dimensions')} END, "
+            f"'Brand: ' || split_part({q('Product Name')}, ' ', 1))")
 
 
 def _duck(n):
@@ -62,7 +64,8 @@ def extraction_input(spark, sf):
         F.when(F.col("`Shipping Weight`") != NOT_AVAILABLE,
                F.concat(F.lit("Shipping Weight: "), F.col("`Shipping Weight`"))),
         F.when(F.col("`Product Dimensions`") != NOT_AVAILABLE,
-               F.concat(F.lit("Product Dimensions: "), F.col("`Product Dimensions`"))))
+               F.concat(F.lit("Product Dimensions: "), F.col("`Product Dimensions`"))),
+        F.concat(F.lit("Brand: "), F.split_part(F.col("`Product Name`"), F.lit(" "), F.lit(1))))
     return c.select("product_id", F.col("Category").alias("category"),
                     F.expr(_question_sql("product_id", "`Product Name`")).alias("question"),
                     detail.alias("text"))
@@ -87,7 +90,7 @@ def sql_extract_field(text: str, query: str) -> str:
     return "coalesce(" + ", ".join(parts) + ")"
 
 
-_QW = "list_distinct(list_filter(string_split_regex(lower(question), '\\s+'), lambda w: w <> ''))"
+_QW = f"list_distinct(list_filter(string_split_regex(lower(question), '{SPACE}+'), lambda w: w <> ''))"
 
 
 def _fuzzy_cands() -> str:
@@ -209,7 +212,23 @@ def q_extraction_counts(spark, sf):
 
 @register("extraction_samples",
           f"WITH {INPUT_CTE} SELECT product_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' "
-          "ELSE text END AS text_preview FROM x ORDER BY product_id LIMIT 5")
+          "ELSE text END AS text_preview, array_to_string(list_sort(list_filter(["
+          + ", ".join(f"'{p.field_name}=' || {sql_search('text', p.regex)}" for p in P)
+          + "], lambda f: f IS NOT NULL)), '; ') AS fields FROM x ORDER BY product_id LIMIT 5")
 def q_extraction_samples(spark, sf):
     _, _, samples = X.extraction_report(extraction_input(spark, sf), "product_id", "text")
-    return samples.select("product_id", "text_preview")
+    shown = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return samples.select("product_id", "text_preview", F.array_join(shown, "; ").alias("fields"))
+
+
+# -- F17, P3: a caller's pattern --------------------------------------------------
+
+_CUSTOM = r"(?:Size|Weight):\s*([^|]+)"
+
+
+@register("extract_custom",
+          f"WITH {INPUT_CTE} SELECT product_id, {sql_search('text', _CUSTOM)} AS measure FROM x")
+def q_extract_custom(spark, sf):
+    table = X.PatternTable([]).add_custom_pattern(["measure"], _CUSTOM, "measure", "Size or weight", priority=1)
+    fields = X.extract_all_fields("text", table)
+    return extraction_input(spark, sf).select("product_id", fields["measure"].alias("measure"))

@@ -11,6 +11,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators import ann, search
+from ..operators.metrics import metric_rows
 from ..sources import io
 from ..sources.products import PRODUCT_COLUMNS, PRODUCT_EXPRS
 from ..sources.tables import read_table
@@ -130,3 +131,16 @@ def q_load_and_search(spark, sf):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = ann.ivf_search(q, grown, k=5, nprobe=2, tie_decimals=9, prune=True)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("dist"))
+
+
+@register("io_metrics_roundtrip",
+          "SELECT 'index_stats' AS section, 'total_vectors' AS metric, CAST(count(*) AS DOUBLE) AS value FROM embeddings "
+          "UNION ALL SELECT 'index_stats', 'dimension', CAST(max(len(embedding)) AS DOUBLE) FROM embeddings "
+          "UNION ALL SELECT 'index_stats', 'memory_usage_mb', round(count(*) * max(len(embedding)) * 4 / (1024.0 * 1024.0), 6) FROM embeddings")
+def q_metrics_io(spark, sf):
+    """Metric rows written as JSON lines and read back."""
+    stats = search.index_stats(read_table(spark, sf, "embeddings", ["vec_id", "embedding"]))
+    rows = metric_rows(stats, "index_stats", ["total_vectors", "dimension", "memory_usage_mb"])
+    path = io.write_json(rows, io.shared_folder(spark, "metrics"))
+    back = spark.read.schema("section string, metric string, value double").json(path)
+    return back.select("section", "metric", F.round("value", 6).alias("value"))

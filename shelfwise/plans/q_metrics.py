@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FALLBACK_OTHER, FALLBACK_PRODUCT, FALLBACK_SEARCH_RESULTS
 from ..functions.scores import bleu_scores, rouge_l_column
-from ..functions.text import token_set
+from ..functions.text import SPACE, token_set
 from ..operators import metrics as MX
 from ..operators import search, truth
 from ..operators.generate import generate_answers
@@ -171,7 +171,7 @@ def _exchanges(spark, sf):
 
 
 def _words(t: str) -> str:
-    return f"list_filter(string_split_regex({sql_strip(t)}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({sql_strip(t)}, '{SPACE}+'), lambda w: w <> '')"
 
 
 def _bleu_sql(src: str, id_expr: str, ref: str, hyp: str) -> str:

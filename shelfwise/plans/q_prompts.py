@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CONTEXT_DETAILS, GEN_STOP_SEQUENCES, NOT_AVAILABLE, PROMPT_MAX_CHARS
+from ..constants import CONTEXT_DETAILS, GEN_STOP_SEQUENCES, GENERATION_ERROR_MESSAGE, NOT_AVAILABLE, PROMPT_MAX_CHARS
 from ..functions import prompts as PR
-from ..functions.text import cut_at_first_stop
+from ..functions.text import SPACE, cut_at_first_stop
 from ..operators.catalogue import search_catalogue
 from ..operators.generate import fallback_answer, generate_answers
 from ..sources.tables import read_table
@@ -227,9 +227,9 @@ def q_fallback(spark, sf):
 # -- X15, X11 ---------------------------------------------------------------------------
 
 @register("generate_batch",
-          f"SELECT conv_id, turn, {_fallback_sql('text')} AS response FROM conversations WHERE role = 'user'")
+          f"SELECT conv_id, turn, {_fallback_sql('text')} AS response FROM conversations")
 def q_generate_batch(spark, sf):
-    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "user")
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return generate_answers(c, prompt_col="text").select("conv_id", "turn", "response")
 
 
@@ -245,16 +245,32 @@ def _stop_sql(t: str) -> str:
 
 
 @register("stop_cut",
-          f"SELECT conv_id, turn, {_stop_sql('text')} AS answer FROM conversations WHERE role = 'assistant'")
+          f"SELECT conv_id, turn, {_stop_sql('text')} AS answer FROM conversations")
 def q_stop_cut(spark, sf):
-    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"]).where(F.col("role") == "assistant")
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return c.select("conv_id", "turn", cut_at_first_stop("text", _STOPS).alias("answer"))
 
 
+def _answer_or_fail(prompt, **params):
+    """A caller's generator that fails on some prompts."""
+    if len(prompt) % 7 == 3:
+        raise RuntimeError("no answer")
+    return f"{len(prompt)} characters, {params['max_tokens']} tokens at most"
+
+
+@register("generate_custom",
+          f"SELECT conv_id, turn, CASE WHEN length(text) % 7 = 3 THEN {lit(GENERATION_ERROR_MESSAGE)} "
+          "ELSE length(text) || ' characters, 120 tokens at most' END AS response FROM conversations")
+def q_generate_custom(spark, sf):
+    """A caller's generator over Arrow batches; a row it fails on gets the apology."""
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    return generate_answers(c, prompt_col="text", generate=_answer_or_fail, max_tokens=120).select("conv_id", "turn", "response")
+
+
 # -- C13 -----------------------------------------------------------------------------------
 
 def _words_sql(t: str) -> str:
-    return f"CAST(len(list_filter(string_split_regex({sql_strip(t)}, '\\s+'), lambda w: w <> '')) AS INTEGER)"
+    return f"CAST(len(list_filter(string_split_regex({sql_strip(t)}, '{SPACE}+'), lambda w: w <> '')) AS INTEGER)"
 
 
 @register("token_cost",

@@ -105,6 +105,19 @@ def q_hash_embed(spark, sf):
     return d.select("doc_id", F.transform(hash_embed("text", DIM), lambda x: F.round(x, 6)).alias("embedding"))
 
 
+# -- P4: a caller's encoder ------------------------------------------------------
+
+def _count_encoder(texts):
+    return [[len(t), t.count(" "), 1.0] for t in texts]
+
+
+@register("embed_custom",
+          f"WITH {META_CTE} SELECT product_id AS vec_id, [CAST(length(combined_text) AS FLOAT), "
+          "CAST(length(combined_text) - length(replace(combined_text, ' ', '')) AS FLOAT), CAST(1 AS FLOAT)] AS embedding FROM meta")
+def q_embed_custom(spark, sf):
+    return retrieval.embed_products(metadata(spark, sf)[0], encoder=_count_encoder)
+
+
 # -- N10: retrieval over the product index -----------------------------------
 
 RETRIEVAL_CTE = (

@@ -27,6 +27,14 @@ def modal_pairs(spark, sf):
     return e.select("vec_id", "label", F.col("embedding").alias("text")).join(img, "vec_id", "left")
 
 
+def full_pairs(spark, sf):
+    """Pairs in which a vector without a partner has itself backwards for one."""
+    return modal_pairs(spark, sf).withColumn("image", F.coalesce("image", F.reverse("text")))
+
+
+FULL_CTE = ("p AS (SELECT a.vec_id, a.label, a.embedding::DOUBLE[] AS t, "
+            "coalesce(b.embedding, list_reverse(a.embedding))::DOUBLE[] AS m "
+            "FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 PAIRS_CTE = ("p AS (SELECT a.vec_id, a.label, a.embedding::DOUBLE[] AS t, b.embedding::DOUBLE[] AS m "
              "FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 
@@ -55,6 +63,9 @@ NP_CTE = (f"{PAIRS_CTE}, n AS (SELECT vec_id, label, t, m, {s_normalize('t')} AS
           f"CASE WHEN m IS NOT NULL THEN {s_normalize('m')} END AS nm FROM p)")
 
 
+FULL_NP_CTE = NP_CTE.replace(PAIRS_CTE, FULL_CTE)
+
+
 # -- V4, V5 -------------------------------------------------------------------
 
 @register("normalize",
@@ -87,9 +98,9 @@ def q_average(spark, sf):
 
 
 @register("concat_raw",
-          f"WITH {PAIRS_CTE} SELECT vec_id, {s_r6('list_concat(t, m)')} AS embedding FROM p WHERE m IS NOT NULL")
+          f"WITH {FULL_CTE} SELECT vec_id, {s_r6('list_concat(t, m)')} AS embedding FROM p")
 def q_concat_raw(spark, sf):
-    p = modal_pairs(spark, sf).where(F.col("image").isNotNull())
+    p = full_pairs(spark, sf)
     return p.select("vec_id", r6arr(V.concat_raw("text", "image")).alias("embedding"))
 
 
@@ -97,26 +108,26 @@ def q_concat_raw(spark, sf):
 
 def _fuse_query(method, weights):
     def run(spark, sf):
-        p = modal_pairs(spark, sf).where(F.col("image").isNotNull())
+        p = full_pairs(spark, sf)
         f = V.fuse_columns(p, ["text", "image"], "fused", list(weights), method)
         return f.select("vec_id", r6arr(F.col("fused")).alias("embedding"))
     return run
 
 
 register("fuse_avg",
-         f"WITH {NP_CTE}, f AS (SELECT vec_id, {s_wsum('nt', 'nm', '0.5', '0.5')} AS v FROM n WHERE m IS NOT NULL) "
+         f"WITH {FULL_NP_CTE}, f AS (SELECT vec_id, {s_wsum('nt', 'nm', '0.5', '0.5')} AS v FROM n) "
          f"SELECT vec_id, {s_r6(s_normalize('v'))} AS embedding FROM f")(_fuse_query("weighted_average", (0.5, 0.5)))
 
 register("fuse_concat",
-         f"WITH {NP_CTE} SELECT vec_id, {s_r6('list_concat(nt, nm)')} AS embedding FROM n WHERE m IS NOT NULL")(
+         f"WITH {FULL_NP_CTE} SELECT vec_id, {s_r6('list_concat(nt, nm)')} AS embedding FROM n")(
     _fuse_query("concatenate", (0.5, 0.5)))
 
 register("fuse_max",
-         f"WITH {NP_CTE} SELECT vec_id, {s_r6('list_transform(list_zip(nt, nm), lambda q: greatest(q[1], q[2]))')} "
-         "AS embedding FROM n WHERE m IS NOT NULL")(_fuse_query("max_pooling", (0.5, 0.5)))
+         f"WITH {FULL_NP_CTE} SELECT vec_id, {s_r6('list_transform(list_zip(nt, nm), lambda q: greatest(q[1], q[2]))')} "
+         "AS embedding FROM n")(_fuse_query("max_pooling", (0.5, 0.5)))
 
-_ATT = (f"{NP_CTE}, s AS (SELECT vec_id, nt, nm, {s_dot('nt', 'nm')} * 0.3 AS s0, {s_dot('nt', 'nm')} * 0.7 AS s1 "
-        "FROM n WHERE m IS NOT NULL), "
+_ATT = (f"{FULL_NP_CTE}, s AS (SELECT vec_id, nt, nm, {s_dot('nt', 'nm')} * 0.3 AS s0, {s_dot('nt', 'nm')} * 0.7 AS s1 "
+        "FROM n), "
         "a AS (SELECT vec_id, nt, nm, exp(s0 - greatest(s0, s1)) AS e0, exp(s1 - greatest(s0, s1)) AS e1 FROM s), "
         f"f AS (SELECT vec_id, {s_wsum('nt', 'nm', 'e0 / (e0 + e1)', 'e1 / (e0 + e1)')} AS v FROM a)")
 register("fuse_attention", f"WITH {_ATT} SELECT vec_id, {s_r6(s_normalize('v'))} AS embedding FROM f")(
@@ -126,15 +137,13 @@ register("fuse_attention", f"WITH {_ATT} SELECT vec_id, {s_r6(s_normalize('v'))}
 # -- V10 -----------------------------------------------------------------------
 
 @register("hybrid",
-          f"WITH {NP_CTE}, h AS (SELECT vec_id, nt, "
-          "list_concat(nm[1:48], list_transform(range(16), lambda i: 0.0::DOUBLE)) AS pm FROM n WHERE m IS NOT NULL), "
+          f"WITH {FULL_NP_CTE}, h AS (SELECT vec_id, nt, nm AS pm FROM n), "
           f"h2 AS (SELECT vec_id, nt, {s_normalize('pm')} AS npm FROM h), "
           f"h3 AS (SELECT vec_id, nt, {s_normalize('npm')} AS npm2 FROM h2), "
           f"f AS (SELECT vec_id, {s_wsum('nt', 'npm2', '0.6', '0.4')} AS v FROM h3) "
           f"SELECT vec_id, {s_r6(s_normalize('v'))} AS embedding FROM f")
 def q_hybrid(spark, sf):
-    p = modal_pairs(spark, sf).where(F.col("image").isNotNull())
-    p = p.withColumn("image_n", V.l2_normalize("image")).withColumn("second", F.slice("image_n", 1, 48))
+    p = full_pairs(spark, sf).withColumn("second", V.l2_normalize("image"))
     f = V.hybrid_columns(p, "text", "second", "fused", DIM)
     return f.select("vec_id", r6arr(F.col("fused")).alias("embedding"))
 
@@ -161,11 +170,11 @@ def q_product_vec(spark, sf):
 # -- V13 -----------------------------------------------------------------------
 
 @register("similarity",
-          f"WITH {PAIRS_CTE} SELECT vec_id, round({s_dot('t', 'm')} / ({s_norm('t')} * {s_norm('m')}), 6) AS cosine, "
+          f"WITH {FULL_CTE} SELECT vec_id, round({s_dot('t', 'm')} / ({s_norm('t')} * {s_norm('m')}), 6) AS cosine, "
           "round(1.0 / (1.0 + sqrt(list_sum(list_transform(list_zip(t, m), lambda q: (q[1] - q[2]) * (q[1] - q[2]))))), 6) "
-          f"AS euclidean, round({s_dot('t', 'm')}, 6) AS dot FROM p WHERE m IS NOT NULL")
+          f"AS euclidean, round({s_dot('t', 'm')}, 6) AS dot FROM p")
 def q_similarity(spark, sf):
-    p = modal_pairs(spark, sf).where(F.col("image").isNotNull())
+    p = full_pairs(spark, sf)
     return p.select("vec_id", *[F.round(V.similarity("text", "image", m), 6).alias(m)
                                 for m in ("cosine", "euclidean", "dot")])
 
@@ -192,21 +201,23 @@ def q_embedding_quality(spark, sf):
 # -- A3 ------------------------------------------------------------------------
 
 @register("fusion_quality",
-          f"WITH {hash_sql('D', 'documents', 'doc_id', 'text')}, "
-          "pr AS (SELECT l.doc_id, l.quality, e.embedding::DOUBLE[] AS v FROM labels l "
-          "JOIN documents d ON d.doc_id = l.doc_id JOIN embeddings e ON e.vec_id = l.doc_id), "
-          "dots AS (SELECT pr.doc_id, sum(b.c * pr.v[b.b + 1]) AS dp FROM pr JOIN D_b b ON b.id = pr.doc_id GROUP BY pr.doc_id), "
-          f"pred AS (SELECT pr.doc_id, pr.quality, coalesce(dots.dp, 0) / (n.nrm * {s_norm('pr.v')}) AS cs "
-          "FROM pr LEFT JOIN dots USING (doc_id) LEFT JOIN D_n n ON n.id = pr.doc_id) "
+          f"WITH halves AS (SELECT doc_id, substring(text, CAST(length(text) // 2 AS INTEGER) + 1) AS half FROM documents), "
+          f"{hash_sql('D', 'documents', 'doc_id', 'text')}, {hash_sql('H', 'halves', 'doc_id', 'half')}, "
+          "dots AS (SELECT a.id AS doc_id, sum(a.c * b.c) AS dp FROM D_b a JOIN H_b b ON a.id = b.id AND a.b = b.b GROUP BY a.id), "
+          "pred AS (SELECT l.doc_id, l.quality, CASE WHEN n.nrm > 0 AND h.nrm > 0 THEN coalesce(dots.dp, 0) / (n.nrm * h.nrm) END AS cs "
+          "FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN dots ON dots.doc_id = l.doc_id "
+          "LEFT JOIN D_n n ON n.id = l.doc_id LEFT JOIN H_n h ON h.id = l.doc_id) "
           "SELECT round(corr(cs, quality), 6) AS correlation, round(avg((cs - quality) * (cs - quality)), 6) AS mse, "
           "round(avg(abs(cs - quality)), 6) AS mae FROM pred")
 def q_fusion_quality(spark, sf):
+    """Every label with its own document: the vector of the whole text against that of
+    its second half."""
     labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
     docs = read_table(spark, sf, "documents", ["doc_id", "text"])
-    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding"]).withColumnRenamed("vec_id", "doc_id")
-    pairs = labels.join(docs, "doc_id").join(e, "doc_id").select(
-        "quality", hash_embed("text", DIM).alias("q"), "embedding")
-    r = M.fusion_quality(pairs, "q", "embedding", "quality")
+    half = F.substr("text", (F.floor(F.length("text") / 2) + 1).cast("int"))
+    pairs = labels.join(docs, "doc_id").select(
+        "quality", hash_embed("text", DIM).alias("a"), hash_embed(half, DIM).alias("b"))
+    r = M.fusion_quality(pairs, "a", "b", "quality")
     return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
 
 

@@ -56,15 +56,17 @@ def test_context_aware_and_price_inference(spark):
 
 def test_custom_pattern_and_diagnostics(spark):
     t = X.PatternTable()
-    with pytest.raises(ValueError, match="Invalid regex"):
-        t.add_custom_pattern({"warranty"}, "Warranty: ([", "warranty", "Warranty")
-    t.add_custom_pattern(["warranty"], r"Warranty:\s*([^|]+)", "warranty", "Warranty length", priority=1)
-    t.add_custom_pattern(["hue"], r"Hue:\s*([^|]+)", "color", "Second color pattern", priority=3)
+    for bad in ("Warranty: ([", "(?P<n>x)", "Warranty: no group"):
+        with pytest.raises(ValueError, match="not a pattern"):
+            t.add_custom_pattern({"warranty"}, bad, "warranty", "Warranty")
+    t = t.add_custom_pattern(["warranty"], r"Warranty:\s*([^|]+)", "warranty", "Warranty length", priority=1)
+    t = t.add_custom_pattern(["hue"], r"Hue:\s*([^|]+)", "color", "Second color pattern", priority=3)
     df = spark.createDataFrame([(1, "Warranty: 2 years | Color: red | Hue: crimson")], "id int, text string")
     m = df.select(X.extract_all_fields("text", t).alias("m")).first().m
     assert m["warranty"] == "2 years" and m["color"] == "crimson"  # a later duplicate field wins
     sug = X.field_suggestions(df, "id", "text", t).where("field = 'color'").collect()
     assert sorted(r.description for r in sug) == ["Product color", "Second color pattern"]
+    assert len(X.PatternTable().patterns) == len(X.DEFAULT_TABLE.patterns) == 12
     d = X.pattern_diagnostics(t, spark).first()
     assert d.total_patterns == 14 and d.duplicate_fields == ["color"]
     assert d.patterns_by_priority == {1: 4, 2: 4, 3: 6}

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import cut_at_first_stop, overlap, token_set, word_count
+from shelfwise.functions.text import cut_at_first_stop, overlap, strip, token_set, whitespace_words, word_count
 from shelfwise.operators.search import rerank_by_overlap
 
 
@@ -37,3 +37,11 @@ def test_word_count_and_stop_cut(spark):
     assert r.n == 4
     # the first listed stop that occurs applies
     assert r.c == "Answer text\nQ: next question"
+
+
+def test_unicode_white_space_is_stripped_and_splits(spark):
+    text = "\u00a0\u2003 one\u00a0two\u3000three\x85four\x1cfive\x0bsix \u2028"
+    df = spark.createDataFrame([(text,), (" \u00a0 ",), (None,)], "t string")
+    rows = df.select(strip("t").alias("s"), whitespace_words("t").alias("w")).collect()
+    assert rows[0].s == text.strip() and rows[0].w == text.split()
+    assert rows[1].s == "" and rows[1].w == [] and rows[2].w == []

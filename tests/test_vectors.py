@@ -109,3 +109,24 @@ def test_hash_embed_is_unit_and_deterministic(spark):
     r = df.select(V.hash_embed("t", 16).alias("v")).collect()
     assert np.isclose(np.linalg.norm(r[0].v), 1.0) and sorted(r[0].v)[-1] > sorted(r[0].v)[-2]
     assert r[1].v == [0.0] * 16
+
+
+def test_zero_vectors_have_no_cosine(spark):
+    df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    got = [r.c for r in df.select(V.similarity("a", "b", "cosine").alias("c")).collect()]
+    assert got == [None, 1.0]
+    empty = spark.createDataFrame([("",), (None,), ("word",)], "t string").select(V.hash_embed("t", 4).alias("v")).collect()
+    assert empty[0].v == empty[1].v == [0.0] * 4 and sum(x * x for x in empty[2].v) == 1.0
+
+
+def test_reports_of_too_few_vectors(spark):
+    from shelfwise.operators import vector_metrics as VM
+    one = spark.createDataFrame([(1, [3.0, 4.0], "a")], "vec_id long, embedding array<double>, c string")
+    q = VM.embedding_quality(one).first()
+    assert q.num_embeddings == 1 and q.norm_mean == 5.0 and q.sim_mean is None
+    assert VM.embedding_quality(one.limit(0)).first().num_embeddings == 0
+    assert VM.category_dispersion(one.limit(0), "c").first().category_loss is None
+    hot = spark.createDataFrame([(i, [float(i), 0.0], None if i < 40 else "b") for i in range(50)], "vec_id long, embedding array<double>, c string")
+    got = {r.category: r.mean_dist for r in VM.category_dispersion_by_group(hot, "c", block_rows=8).collect()}
+    mean = lambda xs: sum(abs(a - b) for a in xs for b in xs) / len(xs) ** 2
+    assert abs(got[None] - mean(range(40))) < 1e-9 and abs(got["b"] - mean(range(40, 50))) < 1e-9
