@@ -1,18 +1,20 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
 Vectors become integers (floor(64 x) of every component). The index keeps blocks of
-at most about BLOCK vectors; in each, every dimension has its postings in the order
-of their values, so that all postings of one impact are one segment. A query takes
-the segments of all dimensions by descending quantised impact (LEVELS levels of
-``q * v`` above the dimension's least). After each level a vector's score is known
-to lie between what it has gathered and that plus, for each dimension not yet seen,
-the level's impact. Processing stops only when the vectors that may still reach the
-k-th best sure score are few, or when nothing is left; all of them are then scored
+about BLOCK vectors; in each, every dimension has its postings in the order of their
+values, so that the postings of a range of impacts ``q v`` are one segment. A query
+takes the segments of all dimensions by descending quantised impact (LEVELS). After
+a level a vector's score is at most what it has gathered plus the level's impact for
+each dimension not yet seen. Exact scores of the vectors that have gathered most give
+a score that k vectors surely reach, and every vector that cannot reach it is out.
+Processing stops only when few are left, or all is processed; those are then scored
 exactly.
 
 Plan: query blocks meet index blocks by equality on the block number, one visit a
-row, visits spread over tasks; each visit returns k rows a query and a window over
-the query picks the best. Neither side passes through the driver.
+row; a task takes the visits of one query block to a run of BLOCKS_A_TASK index
+blocks in turn, so what earlier blocks hold bounds the later ones, and returns k rows
+a query; a window over the query picks the best. Neither side passes through the
+driver.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component
 takes no part, nor does a null vec_id; repeated rows (equal id and vector) count
@@ -36,8 +38,12 @@ from pyspark.sql.window import Window
 from .common import written
 
 BLOCK, QUERY_BLOCK = 8_192, 256
-LEVELS = 16
 SCALE = 64
+# Quantised impact levels, as shares of a query's highest impact; the last is all.
+LEVELS = (0.25, 0.0625, 0.03, 0.0, -0.03, -0.0625, -0.25, None)
+TABLED_VALUES = 4096
+FIRST_LOOK = 0.25            # of the postings are processed before bounds are looked at
+BLOCKS_A_TASK = 4
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -58,8 +64,14 @@ class Segments:
     """One block of the index: ids, codes and per dimension the postings by value."""
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray, order: np.ndarray):
-        self.ids, self.codes, self.order = ids, codes, order
-        self.sorted = np.take_along_axis(codes, order.T.astype(np.int64), axis=0).T.astype(np.float64)
+        self.ids, self.codes, self.order = ids, codes, order.astype(np.int64)
+        self.values = np.ascontiguousarray(np.take_along_axis(codes, self.order.T, axis=0).T.astype(np.float64))
+        self.room = np.empty(self.order.size, np.int64), np.empty(self.order.size)  # used by every query again
+        self.low, span = int(codes.min()), int(codes.max()) - int(codes.min()) + 2
+        self.below = None
+        if span <= TABLED_VALUES:  # how many postings of a dimension lie below each value
+            counts = np.stack([np.bincount(c - self.low, minlength=span) for c in codes.astype(np.int64).T])
+            self.below = np.cumsum(counts, axis=1) - counts
 
     @classmethod
     def build(cls, ids: np.ndarray, codes: np.ndarray) -> Segments:
@@ -67,46 +79,71 @@ class Segments:
         codes = codes[by_id]
         return cls(ids[by_id], codes, np.argsort(codes, axis=0, kind="stable").T.astype(np.uint32))
 
-    def top(self, own: int, query: np.ndarray, k: int, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best for one query, without the rows of id ``own``."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        other = self.ids != own
+    def upto(self, used: np.ndarray, q: np.ndarray, level: float) -> list[int]:
+        """How many postings of each used dimension have an impact of ``level`` or more."""
+        n = len(self.ids)
+        if level == -np.inf:
+            return [n] * len(used)
+        bound = level / q[used]
+        if self.below is not None:  # values v < bound, or v <= bound
+            at = np.where(q[used] > 0, np.ceil(bound - 1e-9), np.floor(bound + 1e-9) + 1) - self.low
+            less = self.below[used, np.clip(at, 0, self.below.shape[1] - 1).astype(np.int64)]
+            return np.where(q[used] > 0, n - less, less).tolist()
+        return [n - int(np.searchsorted(self.values[d], b - 1e-9, "left")) if q[d] > 0
+                else int(np.searchsorted(self.values[d], b + 1e-9, "right")) for d, b in zip(used, bound, strict=True)]
+
+    def exact(self, slots: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.codes[slots].astype(np.float64) @ query).astype(np.int64)
+
+    def top(self, own: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best for one query, without the rows of id ``own`` and
+        without some or all that score below ``floor``, which k others are known to reach.
+
+        Impacts ``q v`` are quantised into levels from the highest down. After the level
+        that ends at impact t, a vector scores at most what it has gathered plus t for
+        each dimension not seen. The exact scores of those that have gathered most give
+        a score that k vectors reach; all below it are out.
+        """
         q = query.astype(np.float64)
-        ends = np.stack([self.sorted[:, 0], self.sorted[:, -1]])
-        least = np.minimum(ends[0] * q, ends[1] * q)
-        most = np.maximum(ends[0] * q, ends[1] * q) - least
-        base = float(least.sum())
-        unit = 2.0 ** np.ceil(np.log2(most.sum() + 2))  # gathered = sum of gains + unit x dimensions seen
-        gathered = np.zeros(n)
-        taken = {d: 0 for d in used}
-        possible = np.flatnonzero(other)
-        steps = most.max() * np.arange(levels - 1, -1, -1) / levels if len(used) else []
-        for impact in steps:
-            slots, gains = [], []
-            for d in used:
-                # postings with q v - least >= impact: the upper end of the values, or the lower
-                bound = (impact + least[d]) / q[d]
-                values = self.sorted[d]
-                upto = (n - int(np.searchsorted(values, bound - 1e-9, "left")) if q[d] > 0
-                        else int(np.searchsorted(values, bound + 1e-9, "right")))
-                if impact == 0:
-                    upto = n
-                a, taken[d] = taken[d], max(taken[d], upto)
-                if upto > a:
-                    part = slice(n - upto, n - a) if q[d] > 0 else slice(a, upto)
-                    slots.append(self.order[d, part])
-                    gains.append(q[d] * values[part] + (unit - least[d]))
-            if slots:
-                gathered += np.bincount(np.concatenate(slots), np.concatenate(gains), n)
-            if len(possible) <= 4 * k:
+        used = np.flatnonzero(q)
+        n = len(self.ids)
+        possible = np.delete(np.arange(n), slice(*(np.searchsorted(self.ids, own, side) for side in ("left", "right"))))
+        highest = float(np.maximum(self.values[used, 0] * q[used], self.values[used, -1] * q[used]).max(initial=0))
+        largest = float((np.maximum(-self.values[used, 0], self.values[used, -1]) * np.abs(q[used])).sum())
+        unit = 2.0 ** np.ceil(np.log2(max(largest, 1)) + 2)  # gathered = sum of impacts + unit x dimensions seen
+        gathered, seen = np.zeros(n), np.zeros(n)
+        taken = [0] * len(used)
+        slots, gains = self.room
+        for share in LEVELS if len(used) else ():
+            level = -np.inf if share is None else share * highest
+            at = 0
+            for i, upto in enumerate(self.upto(used, q, level)):
+                first = taken[i]
+                if upto > first:
+                    d = used[i]  # the postings of highest impact are the last ones, or the first
+                    part = slice(n - upto, n - first) if q[d] > 0 else slice(first, upto)
+                    end = at + upto - first
+                    slots[at:end] = self.order[d, part]
+                    np.multiply(self.values[d, part], q[d], out=gains[at:end])
+                    at, taken[i] = end, upto
+            if at:
+                gains[:at] += unit
+                got = np.bincount(slots[:at], gains[:at], n)
+                times = np.rint(got / unit)
+                seen += times
+                gathered += got - times * unit
+            if share is None or sum(taken) < FIRST_LOOK * n * len(used):
+                continue
+            most = (gathered + level * (len(used) - seen))[possible]
+            if len(possible) > 4 * k:
+                ahead = possible[np.argpartition(most, -4 * k)[-4 * k:]]
+                floor = max(floor, np.partition(self.exact(ahead, query), -k)[-k])
+            possible = possible[most >= floor - 0.5]
+            if len(possible) <= max(4 * k, n // 8):
                 break
-            seen = np.floor(gathered / unit)
-            sure = base + gathered - seen * unit
-            kth = np.partition(sure[other], -k)[-k] if other.sum() > k else -np.inf
-            possible = np.flatnonzero(other & (sure + (len(used) - seen) * impact >= kth - 1e-6))
-            if len(possible) <= 4 * k:
-                break
-        scores = self.codes[possible].astype(np.int64) @ query
+        else:
+            possible = possible[gathered[possible] >= floor - 0.5]
+        scores = self.exact(possible, query)
         best = np.lexsort([self.ids[possible], -scores])[:k]
         return self.ids[possible][best], scores[best]
 
@@ -129,7 +166,7 @@ def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame({
             "dim": [codes.shape[1]], "block": [pdf["block"].iloc[0]], "blocks": [pdf["blocks"].iloc[0]],
             "width": [s.codes.dtype.itemsize], "ids": [s.ids.tobytes()], "codes": [s.codes.tobytes()],
-            "postings": [s.order.tobytes()]})
+            "postings": [s.order.astype(np.uint32).tobytes()]})
     made = placed.groupBy("dim", "block").applyInPandas(
         pack, "dim int, block int, blocks int, width int, ids binary, codes binary, postings binary")
     return written(made, "impact-index")
@@ -143,26 +180,41 @@ def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     groups = -(-n_queries // QUERY_BLOCK)
     asked = (queries.withColumn("group", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(groups)).cast("int"))
              .groupBy("dim", "group").agg(F.collect_list(F.struct("vec_id", "codes")).alias("queries")))
-    visits = index.count() * groups
+    blocks = index.count()
+    run_of = F.floor(F.col("block") / BLOCKS_A_TASK).cast("int")
     pairs = (asked.join(index.select("dim", "blocks").distinct(), "dim")
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-             .join(index.drop("blocks"), ["dim", "block"])
-             .repartition(min(max(visits, 1), 100_000), "dim", "block", "group"))
+             .join(index.drop("blocks"), ["dim", "block"]).withColumn("run", run_of)
+             .repartition(max(1, -(-blocks // BLOCKS_A_TASK) * groups), "dim", "group", "run")
+             .sortWithinPartitions("dim", "group", "run", "block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, {}  # of the queries of one group, over the blocks of one run
+
+        def found():
+            for (own, _), (ids, scores) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own, np.int64)), pa.array(ids), pa.array(scores)],
+                                                 ["query_id", "vec_id", "score"])
         for batch in batches:
             for i in range(batch.num_rows):
                 value = lambda c: batch.column(c)[i]  # noqa: B023, E731
                 dim = value("dim").as_py()
+                name = (dim, value("group").as_py(), value("run").as_py())
+                if name != at:
+                    yield from found()
+                    at, best = name, {}
                 kind = np.dtype(f"<i{value('width').as_py()}")
                 array = lambda c, t: np.frombuffer(value(c).as_buffer(), t)  # noqa: B023, E731
                 s = Segments(array("ids", np.int64), array("codes", kind).reshape(-1, dim),
                              array("postings", np.uint32).reshape(dim, -1))
-                for q in value("queries").as_py():
-                    ids, scores = s.top(q["vec_id"], np.array(q["codes"], np.int64), k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ids), q["vec_id"], np.int64)), pa.array(ids), pa.array(scores)],
-                        ["query_id", "vec_id", "score"])
+                for j, q in enumerate(value("queries").as_py()):
+                    own, codes = q["vec_id"], np.array(q["codes"], np.int64)
+                    before, scored = best.get((own, j), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    more, more_scored = s.top(own, codes, k, scored[-1] if len(scored) == k else -np.inf)
+                    ids, scores = np.concatenate([before, more]), np.concatenate([scored, more_scored])
+                    order = np.lexsort([ids, -scores])[:k]
+                    best[own, j] = ids[order], scores[order]
+        yield from found()
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").distinct()
