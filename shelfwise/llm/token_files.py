@@ -11,10 +11,11 @@ Frames are compressed one by one with a shared dictionary, so a short document i
 read by two small range reads. The dictionary stands in its own file, named by its
 hash, which every shard repeats.
 
+Encoding: no token of this tokenizer crosses a space, so each distinct part of a
+slice of the texts is encoded once (WordEncoder).
+
 Plan: documents are dealt out by ranges of doc_id (then a hash of the text, so rows
-that share an id may be split), sorted in their task, encoded (each distinct chunk
-between spaces once, see chunks.py: this tokenizer drops white space, so no token
-crosses one) and written as they come. The shards' totals make a manifest from which
+that share an id may be split), sorted in their task, encoded and written as they come. The shards' totals make a manifest from which
 the starts follow; reading goes shard by shard. Shard names are unique to a task
 attempt: a retried task never touches a file that the manifest names.
 
@@ -34,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import ChunkTable, encode_texts, slices
+from .chunks import give_back, slices, take_ragged
 from .common import open_file, put_file, put_stream, scratch, written
 
 END_ID = 1
@@ -46,6 +48,7 @@ SAMPLE_DOCS = 2_000          # documents of which the dictionary is trained
 SAMPLE_BYTES = 16_384        # of each of them at most
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
+SLICE_BYTES = 6_000_000
 MAGIC, TAIL = b"TOKS0001", b"TOKSEND1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
 
@@ -57,13 +60,86 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _chunk_table(path: str) -> ChunkTable:
-    tok = _tokenizer(path)
-    return ChunkTable(lambda chunks: [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)])
-
-
-def _with_end(texts: pa.Array, table: ChunkTable, end_id: int) -> list[np.ndarray]:
-    flat, counts = encode_texts(texts, table)
+class WordEncoder:
+    """Ids of texts, each distinct part of a slice of them encoded once.
+
+    This tokenizer drops white space and parts a text into runs of letters, single
+    digits and runs of other characters; the last token of each part, and no other,
+    ends in ``</w>``. So the distinct parts of many texts may be encoded as one text
+    of lines and told apart again. That holds for chunks (between spaces) of plain
+    characters: ASCII and Latin-1 letters, no apostrophe or ``<``, which have rules of
+    their own. Other distinct chunks are encoded alone.
+    """
+
+    LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+    PLAIN = rf"\A[!-&(-;=-~{LETTERS[6:]}]*\z"
+    PART = rf"([{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+)"
+
+    def __init__(self, path: str):
+        self.tok = _tokenizer(path)
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def lines(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their count for every one of the distinct parts (none empty)."""
+        if not len(parts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        whole = "\n".join(parts.to_pylist())
+        ids = np.array(self.tok.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            raise ValueError("parts and word ends differ: not a tokenizer of this kind")
+        return ids, np.diff(cuts, prepend=0)
+
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their count for every one of the distinct chunks."""
+        plain = pc.match_substring_regex(chunks, self.PLAIN)
+        parts = pc.split_pattern(pc.replace_substring_regex(chunks.filter(plain), self.PART, "\\1\n"), "\n")
+        number = np.diff(parts.offsets.to_numpy())  # with the empty one after the last line feed
+        coded = parts.flatten().dictionary_encode()
+        known = coded.dictionary
+        real = np.flatnonzero(pc.not_equal(known, "").to_numpy(zero_copy_only=False))
+        flat, lens = self.lines(known.take(pa.array(real)))
+        count = np.zeros(len(known), np.int64)
+        count[real] = lens
+        start = np.zeros(len(known), np.int64)
+        start[real] = np.cumsum(lens) - lens
+        part = coded.indices.to_numpy()
+        ids = take_ragged(flat, start[part], count[part])
+        of = np.repeat(np.arange(len(number)), number)
+        total = np.bincount(of, weights=count[part], minlength=len(number)).astype(np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        odd = [e.ids for e in self.tok.encode_batch_fast(chunks.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        size = np.zeros(len(chunks), np.int64)
+        size[mask], size[~mask] = total, [len(x) for x in odd]
+        out = np.empty(int(size.sum()), np.int32)
+        where = np.repeat(mask, size)
+        out[where], out[~where] = ids, [i for x in odd for i in x]
+        return out, size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the count of each; nulls count as empty."""
+        split = pc.split_pattern(_plain_case(texts), " ")
+        per_text = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        flat, size = self.chunks(coded.dictionary)
+        at = coded.indices.to_numpy()
+        ids = take_ragged(flat, (np.cumsum(size) - size)[at], size[at])
+        counts = np.bincount(np.repeat(np.arange(len(texts)), per_text), weights=size[at], minlength=len(texts))
+        return ids, counts.astype(np.int64)
+
+
+def _plain_case(texts: pa.Array) -> pa.Array:
+    """Lower-case ASCII and line feeds as spaces, as the tokenizer has them: fewer
+    distinct chunks. Not where ``<|`` might begin a special token's name."""
+    # a copy of the slice: ascii_lower of pyarrow 23 misreads arrays that begin at an offset
+    texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string()), pa.array([], pa.large_string())])
+    simple = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, simple)
+
+
+def _with_end(texts: pa.Array, encode: WordEncoder, end_id: int) -> list[np.ndarray]:
+    flat, counts = encode(texts)
     ends = np.cumsum(counts)
     return [np.append(flat[e - n:e], np.int32(end_id)) for e, n in zip(ends, counts, strict=True)]
 
@@ -79,12 +155,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
     import zstandard
 
     def train(batches):
-        table, kind, samples = _chunk_table(tokenizer), _width(tokenizer), []
+        encode, kind, samples = WordEncoder(tokenizer), _width(tokenizer), []
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 samples += [x.astype(kind).tobytes()[:SAMPLE_BYTES]
-                            for x in _with_end(texts.slice(a, b - a), table, end_id)]
+                            for x in _with_end(texts.slice(a, b - a), encode, end_id)]
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except zstandard.ZstdError:
@@ -93,7 +169,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
 
     sample = (docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id")
               .limit(SAMPLE_DOCS).select("text").coalesce(1))
-    rows = sample.mapInArrow(train, "dictionary binary").collect()
+    rows = sample.mapInArrow(lambda it: give_back(train(it)), "dictionary binary").collect()
     return bytes(rows[0][0]) if rows else b""
 
 
@@ -113,19 +189,19 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, kind = _chunk_table(tokenizer), _width(tokenizer)
+        encode, kind = WordEncoder(tokenizer), _width(tokenizer)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(trained))
         shard = TaskContext.get().partitionId()
         name, out, at, index, tokens = f"{shard:06d}-{uuid.uuid4().hex}.toks", None, 0, [], 0
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 if out is None:
                     out = put_stream(folder, name)
                     head = MAGIC + np.uint32(kind.itemsize).tobytes() + digest
                     out.write(head)
                     at = len(head)
-                for key, ids in zip(keys[a:b], _with_end(texts.slice(a, b - a), table, end_id), strict=True):
+                for key, ids in zip(keys[a:b], _with_end(texts.slice(a, b - a), encode, end_id), strict=True):
                     frame = press.compress(ids.astype(kind).tobytes())
                     out.write(frame)
                     index.append((key or 0, key is None, at, len(frame), len(ids)))
@@ -142,7 +218,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     made = (docs.select("doc_id", "text").repartitionByRange(shards, order[0], order[1])
             .sortWithinPartitions(*order)
-            .mapInArrow(write, "shard int, file string, documents bigint, tokens bigint, bytes bigint"))
+            .mapInArrow(lambda it: give_back(write(it)), "shard int, file string, documents bigint, tokens bigint, bytes bigint"))
     manifest = written(made, "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("bigint")))

@@ -86,6 +86,28 @@ def test_piece_columns_and_empty_table(make_docs):
     assert pieces.piece_digest(make_docs([]), model).collect() == []
 
 
+def test_slices_of_a_batch_do_not_matter():
+    """Every slice is an array that begins inside another's buffers."""
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from shelfwise.llm import chunks
+    texts = [t for _, t, *_ in strange_rows()] + ["Some Plain words, 12 of them", None, "É été ÀB"] * 50
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    encode, table = token_files.WordEncoder(P.path("word_bpe_49k.json")), chunks.ChunkTable(lambda c: sp.encode(c, num_threads=1))
+    whole = pa.array(["before", *texts])
+    for a, b in chunks.slices(whole, 700):
+        flat, counts = encode(whole.slice(a, b - a))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in whole.slice(a, b - a).to_pylist()]
+        assert flat.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+        if not any("▁" in (t or "") for t in whole.slice(a, b - a).to_pylist()):
+            flat, counts = chunks.encode_texts(whole.slice(a, b - a), table, sp.encode)
+            want = [sp.encode(t or "") for t in whole.slice(a, b - a).to_pylist()]
+            assert flat.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
 def test_a_full_table_begins_anew(monkeypatch):
     import pyarrow as pa
 
