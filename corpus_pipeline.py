@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import decontam, jaccard, pieces, secrets, toxicity
-from shelfwise.llm.common import table, written
+from shelfwise.llm.common import bounded_batches, table, written
 from shelfwise.llm.queries import vocabulary
 from shelfwise.session import ensure_checkpoint_dir, ship_package
 
@@ -51,15 +51,16 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: doc_id, n_tokens, ids and decoded_ok (the ids decode to the text)."""
     _ready(spark)
     model = vocabulary("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
-    plain = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    plain = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" ")), 256)
+    coded = pieces.encode_and_decode(docs.select("doc_id", "text", plain.alias("plain")), model)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                        (F.col("decoded") == plain).alias("decoded_ok"))
+                        (F.sha2("decoded", 256) == F.col("plain")).alias("decoded_ok"))
 
 
 def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    bounded_batches(spark)
 
 
 STAGES = [

@@ -10,14 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir, ship_package
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session, so that rows with long
+    texts do not fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; read by Spark only, so any store Spark knows will do."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``."""
     ship_package(spark)
+    bounded_batches(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import give_back
 from .common import written
 from .words import Words, mix, word_slices
 
@@ -198,7 +199,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = written(item_seeds(items), "item-seeds")
     packed, masks = _filter(seeds)
     regions = written(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        lambda it: _regions(it, packed, masks), "doc_id bigint, first bigint, words array<bigint>, "
+        lambda it: give_back(_regions(it, packed, masks)), "doc_id bigint, first bigint, words array<bigint>, "
         "hits array<struct<hash:bigint,at:int>>").withColumn("region", F.xxhash64("doc_id", "first", "words")), "regions")
     hit = regions.select("region", F.explode("hits").alias("h")).select("region", "h.hash", "h.at")
     seed = seeds.select("item", F.explode("seeds").alias("s")).select(

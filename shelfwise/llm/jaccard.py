@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import give_back
 from .common import written
 from .components import components
 from .words import grams, mix, word_slices
@@ -204,7 +205,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     rows that repeat its id and text too, in which l1 and l2 name the row)."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = written(docs.select("doc_id", "text", *locator()).mapInArrow(
-        lambda it: _signatures(it, bands, rows, n),
+        lambda it: give_back(_signatures(it, bands, rows, n)),
         "doc_id bigint, l1 bigint, l2 bigint, key binary, size int, bands array<bigint>"), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "l1", "l2")
     classes = written(signed.filter("key is not null").groupBy("key").agg(
@@ -231,11 +232,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
              .join(classes.join(members.select("key").distinct(), "key", "left_semi")
                    .select("key", F.col("place.l1").alias("l1"), F.col("place.l2").alias("l2")), ["l1", "l2"])
              .select("key", "text"))
-    sets = again.mapInArrow(lambda it: _sets(it, n), "key binary, grams binary").groupBy("key").agg(
+    sets = again.mapInArrow(lambda it: give_back(_sets(it, n)), "key binary, grams binary").groupBy("key").agg(
         F.any_value("grams").alias("grams"))
     full = sets.join(classes.select("key", "weight", "bands"), "key")
     found = written(grouped.join(full, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                    .mapInArrow(lambda it: _groups(it, threshold), "key binary, links bigint, root binary"), "links")
+                    .mapInArrow(lambda it: give_back(_groups(it, threshold)), "key binary, links bigint, root binary"), "links")
 
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkTable, encode_texts, slices
+from .chunks import ChunkTable, encode_texts, give_back, slices
 
 
 @functools.cache
@@ -71,19 +71,28 @@ def encode(df: DataFrame, model: str) -> DataFrame:
     """``df`` (with a column ``text``) and ``ids array<int>``."""
     df = df.drop("ids")
     schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(lambda it: _encode(it, model), schema)
+    return df.mapInArrow(lambda it: give_back(_encode(it, model)), schema)
 
 
 def decode(df: DataFrame, model: str) -> DataFrame:
     """``df`` (with a column ``ids``, no nulls) and ``decoded string``."""
     df = df.drop("decoded")
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
-    return df.mapInArrow(lambda it: _decode(it, model), schema)
+    return df.mapInArrow(lambda it: give_back(_decode(it, model)), schema)
+
+
+def encode_and_decode(df: DataFrame, model: str) -> DataFrame:
+    """Both at once, in one worker a task; the text itself is not kept."""
+    df = df.drop("ids", "decoded")
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != "text"),
+                           T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return df.mapInArrow(lambda it: give_back(_decode(
+        (b.drop_columns(["text"]) for b in _encode(it, model)), model)), schema)
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
     """The contract's columns per document, from the ids and the decoded text."""
-    coded = decode(encode(docs.select("doc_id", "text"), model).drop("text"), model)
+    coded = encode_and_decode(docs.select("doc_id", "text"), model)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

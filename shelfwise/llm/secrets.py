@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import slices
+from .chunks import give_back, slices
 
 # The fixed kinds, as given.
 KINDS = ("assign", "access", "hex")
@@ -104,7 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of every character pair, from all
     documents; a table of fixed size."""
-    counts = (docs.select("text").mapInArrow(_count, "label int, counts array<bigint>")
+    counts = (docs.select("text").mapInArrow(lambda it: give_back(_count(it)), "label int, counts array<bigint>")
               .select("label", F.posexplode("counts").alias("pair", "n")).filter("n > 0")
               .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect())
     total = np.full((2, STATES * STATES), PRIOR)
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, placeholder: str = PLACEHOLDER) -
             columns = list(batch.columns)
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lambda it: give_back(scan(it)), schema)
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
+from .chunks import give_back
 from .words import Words, word_slices
 
 FOLDS, HELD_OUT = 3, 1
@@ -60,7 +61,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             .filter(F.length("text").between(1, MAX_CHARS))
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
             .select("text", "toxic").repartition(1))
-    model = rows.mapInArrow(_fit, "model binary").collect()
+    model = rows.mapInArrow(lambda it: give_back(_fit(it)), "model binary").collect()
     return bytes(model[0][0]) if model else None
 
 
@@ -78,7 +79,7 @@ def score(docs: DataFrame, model: bytes | None, column: str = "score") -> DataFr
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(net.score(net.text_logits(words)), pa.float64())],
                                                  [*rows.schema.names, column])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(lambda it: give_back(run(it)), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
