@@ -149,8 +149,8 @@ def _width(path: str) -> np.dtype:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
-    """A zstandard dictionary from the SAMPLE_DOCS documents with the smallest hash
-    of doc_id (a bounded sample), made in one task. Too few samples to train on:
+    """A zstandard dictionary from SAMPLE_DOCS documents chosen by a hash of doc_id and
+    text (a bounded sample), made in one task. Too few samples to train on:
     their own bytes serve as the dictionary."""
     import zstandard
 
@@ -167,8 +167,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
             made = b"".join(samples)[-DICTIONARY_BYTES:]
         yield pa.RecordBatch.from_pydict({"dictionary": [made]})
 
-    sample = (docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id")
-              .limit(SAMPLE_DOCS).select("text").coalesce(1))
+    # about three times as many by their hash, whatever the number of tasks, then the smallest
+    share = min(1.0, 3 * SAMPLE_DOCS / max(docs.count(), 1))
+    sample = (docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+              .filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+              .orderBy("h", "text").limit(SAMPLE_DOCS).select("text").coalesce(1))
     rows = sample.mapInArrow(lambda it: give_back(train(it)), "dictionary binary").collect()
     return bytes(rows[0][0]) if rows else b""
 
