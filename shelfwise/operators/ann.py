@@ -199,6 +199,20 @@ def overlap_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
         F.avg(F.coalesce(F.col("_hit"), F.lit(0))).alias("overlap"))
 
 
+def recall_by_probe(queries: DataFrame, index: IvfIndex, k: int = 10, exclude_self: bool = False,
+                    tie_decimals: int | None = None) -> DataFrame:
+    """``(nprobe, k, recall)`` for every probe count of an index: a search finds a true
+    neighbour if it probes the neighbour's cluster, so one exact search tells all counts."""
+    exact = knn_join(queries, index.vectors, k=k, metric=index.metric, exclude_self=exclude_self, tie_decimals=tie_decimals)
+    order = probe_lists(queries, index, index.nlist, tie_decimals=tie_decimals).select(
+        "query_id", F.posexplode("probes").alias("pos", "cluster_id"))
+    need = (exact.join(index.vectors.select("vec_id", "cluster_id"), "vec_id")
+            .join(order, ["query_id", "cluster_id"]).select((F.col("pos") + 1).alias("need")))
+    shares = need.agg(F.array(*[F.avg((F.col("need") <= p).cast("double")) for p in range(1, index.nlist + 1)]).alias("shares"))
+    return shares.select(F.posexplode("shares").alias("pos", "recall")).select(
+        (F.col("pos") + 1).cast("long").alias("nprobe"), F.lit(k).alias("k"), "recall")
+
+
 def compare_indexes(queries: DataFrame, vectors: DataFrame, configs: list[dict], k: int = 10,
                     exclude_self: bool = False, tie_decimals: int | None = None) -> DataFrame:
     """Per configuration ``<type>_<metric>``: overlap@k with exact search, which

@@ -83,6 +83,39 @@ def q_ivf_probe2(spark, sf):
     return _hits(ann.ivf_search(_queries(e), idx, k=5, nprobe=2, exclude_self=True, tie_decimals=9), e)
 
 
+# The fewest probes of these ten clusters with a recall of 0.9 (see ivf_recall_by_probe).
+R90_PROBES = 8
+
+
+@register("ivf_probe8", f"WITH {CENTROID_CTE} SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, "
+          f"round(dist, 6) AS dist FROM ({top_sql(probe_pairs(R90_PROBES, 'AND n.vec_id <> h.vec_id'), EMB_L2, 5)})")
+def q_ivf_probe8(spark, sf):
+    e = _emb(spark, sf)
+    idx = ann.ivf_from_centroids(e.select("vec_id", "embedding"), label_centroids(e), tie_decimals=9)
+    return _hits(ann.ivf_search(_queries(e), idx, k=5, nprobe=R90_PROBES, exclude_self=True, tie_decimals=9), e)
+
+
+_OTHER_PAIRS = "SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
+
+
+@register("ivf_recall_by_probe", f"""WITH {CENTROID_CTE}, l2 AS ({top_sql(_OTHER_PAIRS, EMB_L2, 5)}),
+need AS (SELECT n.r FROM l2 JOIN near h ON h.vec_id = l2.vec_id AND h.r = 1
+         JOIN near n ON n.vec_id = l2.query_id AND n.cluster_id = h.cluster_id)
+SELECT p AS nprobe, 5 AS k, round(avg(CASE WHEN r <= p THEN 1 ELSE 0 END), 6) AS recall
+FROM need, range(1, (SELECT count(*) FROM cents) + 1) x(p) GROUP BY p""")
+def q_ivf_recall_by_probe(spark, sf):
+    e = _emb(spark, sf)
+    idx = ann.ivf_from_centroids(e.select("vec_id", "embedding"), label_centroids(e), tie_decimals=9)
+    return ann.recall_by_probe(_queries(e), idx, k=5, exclude_self=True, tie_decimals=9).withColumn("recall", F.round("recall", 6))
+
+
+@register("ivf_recall_kmeans_by_probe")
+def q_ivf_recall_kmeans_by_probe(spark, sf):
+    e = _emb(spark, sf).select("vec_id", "embedding")
+    return ann.recall_by_probe(_queries(e), ann.train_ivf(e, nlist=10), k=5, exclude_self=True).withColumn(
+        "recall", F.round("recall", 6))
+
+
 @register("lsh_search", f"WITH {BUCKET_CTE.format(tables=ann.LSH_TABLES, bits=ann.LSH_BITS)} "
           f"SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, round(dist, 6) AS dist "
           f"FROM ({top_sql('SELECT * FROM cand WHERE q <> v', EMB_L2, 5)})")
@@ -125,9 +158,6 @@ def q_lsh_search_r90(spark, sf):
     return _hits(ann.lsh_search(_queries(e), idx, k=5, exclude_self=True, tie_decimals=9), e)
 
 
-_OTHER_PAIRS = "SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
-
-
 @register("lsh_recall_r90", f"WITH {_R90_CTE}, l2 AS ({top_sql(_OTHER_PAIRS, EMB_L2, 5)}), "
           f"lsh AS ({top_sql('SELECT * FROM cand WHERE q <> v', EMB_L2, 5)}) {overlap_sql('hnsw_l2', 'l2', 'lsh', 5)}")
 def q_lsh_recall_r90(spark, sf):
