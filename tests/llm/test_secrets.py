@@ -47,6 +47,17 @@ def test_models_part_random_strings_from_identifiers(make_docs):
         assert S.random_spans(f"x {s} y", ratio, []) == [], s
 
 
+def test_random_strings_without_a_digit(make_docs):
+    ratio = S.train(training(make_docs))
+    r = np.random.default_rng(2)
+    letters = [c for c in S.ALPHABET if c.isalpha()]
+    found = sum(S.random_spans(f"x {s} y", ratio, []) == [(2, 42, "random")]
+                for s in ("".join(r.choice(letters, 40)) for _ in range(100)))
+    assert found >= 80  # models of 200 short texts only
+    for s in ["getUserAccountNameById", "ItemCountFromListName", "some_Module_name_version"]:
+        assert S.random_spans(f"x {s} y", ratio, []) == [], s
+
+
 def test_digest_columns_and_odd_rows(make_docs):
     rows = odd_rows() + [(100 + i, t, "en", "s", 1) for i, t in enumerate(CASES)]
     got = {r.doc_id: r for r in S.secret_digest(make_docs(rows, clashing=True)).collect()}
