@@ -9,7 +9,11 @@ runs of letters, digits, ``+``, ``/``, ``_`` and ``-`` of 16 or more characters
 no fixed kind covers and that look like random strings: they mix two of the three
 classes upper, lower and digit, and the log-likelihood ratio of two character
 Markov models is at least MARGIN a character; without a digit also LETTER_SHARE of
-the mean ratio of all letter pairs, which keeps most camelCase names out.
+the mean ratio of all letter pairs, which keeps most camelCase names out. A run that
+fails as a whole is searched for the stretches of 16 or more characters whose pairs
+exceed the higher margin by the largest sum; they grow or shrink to the separators inside the
+run. A run that a fixed span covers in part is judged whole, and what no fixed span
+covers of its random stretches is added.
 
 The models are first-order, over character pairs, trained from labelled samples:
 values found by the fixed kinds are random strings, the words of all other text
@@ -44,6 +48,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+MIN_RUN = 16
+SEPARATORS = "+/_-"
 MARGIN = 1.0          # nats a character
 # For runs without a digit. With models of the sf0.1 documents, 13% of the mixed-case names in
 # Python's libraries pass 1 nat and 2% this share; of random strings of 16, 24 and 32 letters 93, 97 and 99% do.
@@ -130,27 +136,95 @@ def _classes(s: str) -> int:
     return any(c.isdigit() for c in s) + any("A" <= c <= "Z" for c in s) + any("a" <= c <= "z" for c in s)
 
 
-def _margin(s: str, ratio: np.ndarray) -> float:
-    if any(c.isdigit() for c in s):
-        return MARGIN
+def _high_margin(ratio: np.ndarray) -> float:
     return max(MARGIN, LETTER_SHARE * ratio[_LETTER_PAIRS].mean())
 
 
+def _margin(s: str, ratio: np.ndarray) -> float:
+    return MARGIN if any(c.isdigit() for c in s) else _high_margin(ratio)
+
+
+def _judged(run: str, a: int, b: int, ratio: np.ndarray) -> bool:
+    codes = _CODE[np.frombuffer(run[a:b].encode(), np.uint8)]
+    return (b - a >= MIN_RUN and _classes(run[a:b]) >= 2
+            and ratio[codes[:-1] * STATES + codes[1:]].mean() >= _margin(run[a:b], ratio))
+
+
+def _best_stretch(gain: np.ndarray) -> tuple[int, int] | None:
+    """(start, end) in characters of the largest sum of pair gains over MIN_RUN or more characters, if positive."""
+    least = MIN_RUN - 1
+    if len(gain) < least:
+        return None
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    low = np.minimum.accumulate(total[:-least])
+    end = int(np.argmax(total[least:] - low))
+    if total[end + least] - low[end] < 0:
+        return None
+    return int(np.argmin(total[:end + 1])), end + least + 1
+
+
+def _to_parts(run: str, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+    """The stretch with its end parts (between separators) whole if half or more of them
+    lies in it, else without them."""
+    def part(at):
+        first = max(run.rfind(c, low, at) for c in SEPARATORS) + 1 or low
+        after = [i for c in SEPARATORS if (i := run.find(c, at, high)) >= 0]
+        return max(first, low), min(after, default=high)
+
+    start, end = a, b
+    first, after = part(a)
+    if after < b:
+        start = first if 2 * (after - a) >= after - first else after + 1
+    elif 2 * (b - a) >= after - first:
+        start = first
+    first, after = part(b - 1)
+    if first > a:
+        end = after if 2 * (b - first) >= after - first else first - 1
+    elif 2 * (b - a) >= after - first:
+        end = after
+    return (start, end) if end - start >= MIN_RUN else (min(a, start), max(b, end))
+
+
+def _stretches(run: str, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """The parts of a run that look random: all of it, or the best-scoring stretches."""
+    if _judged(run, 0, len(run), ratio):
+        return [(0, len(run))]
+    codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
+    gains = ratio[codes[:-1] * STATES + codes[1:]]
+    gains -= _high_margin(ratio)          # the best of many stretches needs more than a whole run
+    out, open_ = [], [(0, len(run))]
+    while open_:
+        low, high = open_.pop()
+        best = _best_stretch(gains[low:high - 1]) if high - low >= MIN_RUN else None
+        if best is None:
+            continue
+        a, b = low + best[0], low + best[1]
+        if _classes(run[a:b]) >= 2:
+            a, b = _to_parts(run, a, b, low, high)
+            out.append((a, b))
+        open_ += [(low, a), (b, high)]
+    return out
+
+
 def random_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs that the models take for random strings, outside the spans already taken."""
+    """Stretches of runs that the models take for random strings, without the spans already
+    taken; a run is judged with them, so what is left of a longer token is found however short."""
     out = []
     if b"1" * 16 not in text.encode("latin-1", "replace").translate(_RUNMARK):
         return out
     for m in RUN.finditer(text):
-        run = m[0]
-        if _classes(run) < 2:
+        if _classes(m[0]) < 2:
             continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        inside = [(a, b) for a, b, _ in taken if a < m.end() and m.start() < b]
+        if any(a <= m.start() and m.end() <= b for a, b in inside):
             continue
-        codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        if ratio[codes[:-1] * STATES + codes[1:]].mean() >= _margin(run, ratio):
-            out.append((m.start(), m.end(), "random"))
-    return out
+        for a, b in _stretches(m[0], ratio):
+            at, end = m.start() + a, m.start() + b
+            for x, y in [*inside, (end, end)]:
+                if at < min(x, end):
+                    out.append((at, min(x, end), "random"))
+                at = max(at, y)
+    return sorted(out)
 
 
 def all_spans(text: str, ratio: np.ndarray) -> tuple[list, list]:

@@ -58,6 +58,27 @@ def test_random_strings_without_a_digit(make_docs):
         assert S.random_spans(f"x {s} y", ratio, []) == [], s
 
 
+def test_words_joined_to_a_secret_do_not_hide_it(make_docs):
+    ratio = S.train(training(make_docs))
+    for before in ["/getItemCount/fromList/version/someModule/name/getItemCount/", "internationalization-version-name-"]:
+        for s in RANDOM[:2]:
+            for after in ["", "/getItemCount/fromList/version"]:
+                run = before + s + after
+                spans = S.random_spans(f"x {run} y", ratio, [])
+                at = 2 + len(before)
+                assert any(a <= at and at + len(s) <= b for a, b, _ in spans), run
+        assert S.random_spans(f"x {before}Version y", ratio, []) == [], before
+
+
+def test_what_a_fixed_span_leaves_of_a_token_is_judged(make_docs):
+    ratio = S.train(training(make_docs))
+    text = f"x {RANDOM[0]}deadbeefdeadbeef{RANDOM[1]} y"
+    fixed = S.base_spans(text)
+    (a, b, kind), = fixed
+    assert kind == "hex" and S.random_spans(text, ratio, fixed) == [(2, a, "random"), (b, len(text) - 2, "random")]
+    assert S.random_spans("x deadbeefdeadbeef y", ratio, [(2, 18, "hex")]) == []
+
+
 def test_digest_columns_and_odd_rows(make_docs):
     rows = odd_rows() + [(100 + i, t, "en", "s", 1) for i, t in enumerate(CASES)]
     got = {r.doc_id: r for r in S.secret_digest(make_docs(rows, clashing=True)).collect()}
