@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, pieces, secrets, token_files, topk, toxicity, url_lists, warc
+from . import align, chat, decontam, fim, jaccard, licenses, pieces, secrets, token_files, topk, toxicity, url_lists, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,41 @@ FROM cum GROUP BY conv_id
 """)
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(conversations(spark, sf_dir))
+
+
+# --------------------------------------------------------------- license scans
+
+@register("op11_license_scans", licenses.license_sql())
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------- cross-tokenizer alignment
+
+@register("op12_cross_alignment")
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                  vocabulary("piece_bpe_32k.model"))
+
+
+# --------------------------------------------------------------- fill in middle
+
+@register("op13_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+c AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS h1,
+             CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS h2,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:least(h1, h2)], '') AS a, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m,
+             array_to_string(u[greatest(h1, h2) + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m
+                        ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+       sha256(a || m || z) AS restored_sha256
+FROM p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(table(spark, sf_dir, "documents")).drop("frames", "frames_opened")

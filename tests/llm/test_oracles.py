@@ -6,7 +6,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_url_filters", "op3_jaccard_join", "op7_warc", "op9_topk", "op10_chat_formatting"])
+@pytest.mark.parametrize("name", ["op2_url_filters", "op3_jaccard_join", "op7_warc", "op9_topk", "op10_chat_formatting",
+                                  "op11_license_scans", "op13_fill_in_middle"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "conversations"):
