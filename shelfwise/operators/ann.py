@@ -127,6 +127,62 @@ def ivf_search(queries: DataFrame, index: IvfIndex, k: int = 10, nprobe: int = I
                     vec_keys_col="cluster_id", exclude_self=exclude_self, tie_decimals=tie_decimals, block_rows=block_rows)
 
 
+def cluster_radii(index: IvfIndex) -> DataFrame:
+    """``(cluster_id, radius)``: the largest distance of a cluster's vectors from its centroid."""
+    d = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), "centroid", lambda x, c: (x - c) * (x - c)),
+                    F.lit(0.0), lambda a, x: a + x)
+    return index.vectors.join(F.broadcast(index.centroids), "cluster_id").groupBy("cluster_id").agg(F.sqrt(F.max(d)).alias("radius"))
+
+
+def cluster_bounds(queries: DataFrame, index: IvfIndex, query_id_col: str = "query_id", query_vec_col: str = "embedding") -> DataFrame:
+    """``(query_id, bounds array<struct<low, cluster_id>>)``, rising: by the triangle inequality no
+    vector of the cluster has a squared distance under ``low`` (less a margin for float noise)."""
+    near = knn_join(queries, index.centroids, k=index.nlist, metric="l2", query_id_col=query_id_col,
+                    query_vec_col=query_vec_col, vec_id_col="cluster_id", vec_col="centroid")
+    gap = F.greatest(F.sqrt("score") - F.col("radius") - 1e-7, F.lit(0.0))
+    return (near.withColumnRenamed("vec_id", "cluster_id").join(F.broadcast(cluster_radii(index)), "cluster_id")
+            .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((gap * gap).alias("low"), "cluster_id"))).alias("bounds")))
+
+
+def ivf_search_exact(queries: DataFrame, index: IvfIndex, k: int = 10, *, query_id_col: str = "query_id",
+                     query_vec_col: str = "embedding", exclude_self: bool = False, tie_decimals: int | None = None,
+                     epsilon: float = 0.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """N3 without loss: ``(query_id, rank, vec_id, score, clusters_visited)``, equal to exact search.
+
+    A query visits its clusters by rising lower bound, 1, 2, 4, ... a round, and ends when no
+    unvisited bound is at most its k-th score. ``epsilon`` ends it earlier: every score is then
+    at most ``(1 + epsilon)^2`` times the exact one of its rank. Squared L2 only. Centroids are
+    ``nlist`` rows (a parameter), which bounds what is broadcast; rounds are at most log2(nlist) + 1.
+    """
+    if index.metric != "l2":
+        raise ValueError("bounds by the triangle inequality hold for L2 only")
+    q = queries.select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qvec"))
+    hit = "array<struct<score:double,vec_id:bigint>>"
+    state = materialise(q.join(cluster_bounds(queries, index, query_id_col, query_vec_col), "query_id").select(
+        "query_id", "qvec", "bounds", F.lit(0).alias("visited"), F.array().cast(hit).alias("hits")), "ivf-exact")
+    step = 1
+    # a cluster must be visited while k are not found or its bound does not exceed the k-th score
+    factor = (1.0 + epsilon) ** 2
+    slack = 1e-9 if tie_decimals is None else 10.0 ** -tie_decimals
+    while True:
+        worst = F.when(F.size("hits") >= k, F.element_at("hits", -1)["score"] + slack).otherwise(F.lit(float("inf")))
+        ahead = F.slice("bounds", F.col("visited") + 1, F.lit(step))
+        todo = F.transform(F.filter(ahead, lambda b: b["low"] * factor <= worst), lambda b: b["cluster_id"])
+        rows = state.withColumn("todo", todo)
+        active = rows.where(F.size("todo") > 0)
+        if not active.limit(1).count():
+            break
+        found = knn_join(active, index.vectors, k=k, query_vec_col="qvec", query_keys_col="todo", vec_keys_col="cluster_id",
+                         exclude_self=exclude_self, tie_decimals=tie_decimals, block_rows=block_rows)
+        found = found.groupBy("query_id").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
+        state = materialise(rows.join(found, "query_id", "left").select(
+            "query_id", "qvec", "bounds", (F.col("visited") + F.size("todo")).alias("visited"),
+            F.slice(F.array_sort(F.concat("hits", F.coalesce("found", F.array().cast(hit)))), 1, k).alias("hits")), "ivf-exact")
+        step *= 2
+    return state.select("query_id", F.posexplode("hits").alias("pos", "x"), "visited").select(
+        "query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score", F.col("visited").cast("long").alias("clusters_visited"))
+
+
 # -- N4 -----------------------------------------------------------------------
 
 LSH_TABLES, LSH_BITS = 8, 8

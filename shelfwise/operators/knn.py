@@ -1,15 +1,22 @@
 """Exact and keyed k-nearest-neighbour joins, on the executors.
 
+Exact search runs on a grid of tasks (see :func:`grid`): queries are dealt by hash of
+their id to ``gq`` rows of cells, vectors to ``gv`` columns, and cell (i, j) compares
+row i with column j. A query is sent ``gv`` times and a vector ``gq`` times, about the
+square root of the number of tasks, whatever the number of blocks; a cell keeps its
+vectors (HELD_BYTES at most on average, or there are more columns) and streams its
+queries past them by matrix product, handing on k rows a query.
+
+With keys (clusters, hash buckets) only pairs that share a key are compared:
+
     queries --hash blocks--> one row per (query block, vector block) to visit
     vectors --hash blocks--> one row per vector block
-    join on (key, vector block) --> mapInArrow: distances by matrix product,
-        running top-k per query and task --> row_number() over the query
+    join on (key, vector block) --> mapInArrow, running top-k per query and task
 
-Both sides are cut into blocks of about ``block_rows`` rows, so a task holds two
-blocks and its running best, whatever the sizes of the tables or of one key. No
-side passes through the driver and no query x vector pair becomes a row. Exact
-search is O(Q x V) work by definition; with keys (clusters, hash buckets) only
-pairs that share a key are ever compared.
+Both sides are cut into blocks of about ``block_rows`` rows there, so a task holds two
+blocks and its running best, whatever the size of one key. Either way
+row_number() over the query follows, no side passes through the driver and no query x
+vector pair becomes a row. Exact search is O(Q x V) work by definition.
 
 Distances: L2 is the **squared** Euclidean distance (flat L2 index semantics),
 ascending; inner product is descending. Ties break by ``vec_id``. Candidate
@@ -46,6 +53,9 @@ RESULT_SCHEMA = T.StructType([
 BLOCK_ROWS = 1024
 # Entries of running results a task keeps before it hands them on.
 _HELD_ENTRIES = 2_000_000
+# Bytes of vectors a cell of the grid keeps, and rows of queries and of vectors in one product.
+HELD_BYTES = 64 << 20
+_AT_ONCE, _VECTORS_AT_ONCE = 1024, 4096
 
 
 def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
@@ -123,6 +133,83 @@ def _search(batches: Iterator[pa.RecordBatch], kmax: int, metric: str, exclude_s
     yield from hand_on()
 
 
+def grid(n_queries: int, n_vectors: int, dim: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """(gq, gv): four cells a core, or fewer if the blocks are few. The sides share them so
+    that the copies of both, ``n_queries * gv + n_vectors * gq``, are about the fewest."""
+    blocks = math.ceil(n_queries / block_rows) * math.ceil(n_vectors / block_rows)
+    cells = min(4 * parallelism, blocks)
+    gv = min(max(round(math.sqrt(cells * n_vectors / n_queries)), 1), cells)
+    gv = max(gv, math.ceil(8 * dim * n_vectors / HELD_BYTES))
+    return max(round(cells / gv), 1), gv
+
+
+_PACKED = "g int, ids binary, ks binary, own binary, vecs binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every batch and group as arrays: ids, k, own ids and float64 vectors."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, ids, ks, own = (batch.column(c).to_numpy() for c in ("g", "id", "k", "own"))
+        vecs = _matrix(batch.column("vec"), batch.num_rows)
+        order = np.argsort(g, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(g[part[0]])], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, ks, own, vecs))],
+                ["g", "ids", "ks", "own", "vecs"])
+
+
+def _search_cells(batches: Iterator[pa.RecordBatch], dim: int, kmax: int, metric: str, exclude_self: bool, tol_scale: float,
+                  tie_decimals: int | None, ids_desc: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, vectors before queries: keep the vectors, answer the queries."""
+    cell, held, joined = None, [], None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+            if value("cell") != cell:
+                cell, held, joined = value("cell"), [], None
+            ids, ks, own = np.frombuffer(value("ids"), np.int64), np.frombuffer(value("ks"), np.int32), np.frombuffer(value("own"), np.int64)
+            vecs = np.frombuffer(value("vecs"), np.float64).reshape(-1, dim)
+            if value("side") == 0:
+                held.append((ids, own, vecs))
+                continue
+            if joined is None:
+                joined = [np.concatenate(x) for x in zip(*held, strict=True)] if held else None
+                held = []
+            if joined is None:  # no vectors in this column
+                continue
+            vids, v_own, V = joined
+            for a in range(0, len(ids), _AT_ONCE):
+                part = slice(a, a + _AT_ONCE)
+                best = None
+                for b in range(0, len(vids), _VECTORS_AT_ONCE):
+                    some = slice(b, b + _VECTORS_AT_ONCE)
+                    found = _visit(vecs[part], V[some], own[part], v_own[some], vids[some], kmax, metric, exclude_self, tol_scale, tie_decimals)
+                    if best is not None:
+                        found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+                    best = _best(*found, kmax, ids_desc)
+                qi, score, found = best
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[part][qi]), pa.array(found), pa.array(score if metric == "l2" else -score), pa.array(ks[part][qi])],
+                    ["query_id", "vec_id", "score", "k"])
+
+
+def _grid_hits(q: DataFrame, v: DataFrame, n_queries: int, n_vectors: int, dim: int, block_rows: int, *how) -> DataFrame:
+    gq, gv = grid(n_queries, n_vectors, dim, q.sparkSession.sparkContext.defaultParallelism, block_rows)
+
+    def packed(rows, groups):
+        rows = rows.withColumn("vec", F.col("vec").cast("array<double>"))
+        return rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).select("g", "id", "k", "own", "vec").mapInArrow(_pack, _PACKED)
+    q_rows = packed(q.withColumnRenamed("query_id", "id"), gq).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(gv - 1))))
+    v_rows = packed(v.select(F.col("vec_id").alias("id"), F.lit(0).alias("k"), "own", "vec"), gv).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
+    cells = (v_rows.select((F.col("j") * gv + F.col("g")).alias("cell"), F.lit(0).alias("side"), "ids", "ks", "own", "vecs")
+             .unionAll(q_rows.select((F.col("g") * gv + F.col("j")).alias("cell"), F.lit(1).alias("side"), "ids", "ks", "own", "vecs"))
+             .repartition(gq * gv, "cell").sortWithinPartitions("cell", "side"))
+    return cells.mapInArrow(lambda it: _search_cells(it, dim, *how), HIT_SCHEMA)
+
+
 def _sizes(rows: DataFrame, vec: str):
     size = F.size(vec)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count(vec).alias("with_vector"), F.min(size).alias("low"),
@@ -184,27 +271,22 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     if dim != own:
         raise ValueError(f"query dimension {own} doesn't match index dimension {dim}")
 
-    q = q.withColumn("key", F.explode("keys")).drop("keys")
-    v = v.withColumn("key", F.explode("keys")).drop("keys")
-    if keyed:
+    how = (int(kmax), metric, exclude_self, tol_scale, tie_decimals, ids_desc)
+    if not keyed:
+        hits = _grid_hits(q.drop("keys"), v.drop("keys"), qs["n"], vs["n"], dim, block_rows, *how)
+    else:
+        q = q.withColumn("key", F.explode("keys")).drop("keys")
+        v = v.withColumn("key", F.explode("keys")).drop("keys")
         blocks = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
         v_blocks = blocks(v, "nv")
         q, v = q.join(blocks(q, "nq"), "key").join(v_blocks, "key"), v.join(v_blocks, "key")
-    else:
-        nq, nv = (math.ceil(s["n"] / block_rows) for s in (qs, vs))
-        q, v = q.withColumn("nq", F.lit(nq)).withColumn("nv", F.lit(nv)), v.withColumn("nv", F.lit(nv))
-    q_rows = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).groupBy("key", "qb", "nv")
-              .agg(F.collect_list(F.struct("query_id", "k", "own", "vec")).alias("queries"))
-              .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nv"))
-    v_rows = (v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).groupBy("key", "vb")
-              .agg(F.collect_list(F.struct("vec_id", "own", "vec")).alias("vectors")))
-    if not keyed:
-        # a task per core or more, and no more tasks than needed: each hands on k rows a query
-        tasks = min(nv, 4 * spark.sparkContext.defaultParallelism)
-        q_rows, v_rows = q_rows.repartition(tasks, "key", "vb"), v_rows.repartition(tasks, "key", "vb")
-    hits = q_rows.join(v_rows, ["key", "vb"]).select("key", "vb", "qb", "queries", "vectors").mapInArrow(
-        lambda it: _search(it, int(kmax), metric, exclude_self, tol_scale, tie_decimals, ids_desc), HIT_SCHEMA)
-    if keyed:
+        q_rows = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).groupBy("key", "qb", "nv")
+                  .agg(F.collect_list(F.struct("query_id", "k", "own", "vec")).alias("queries"))
+                  .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).drop("nv"))
+        v_rows = (v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int")).groupBy("key", "vb")
+                  .agg(F.collect_list(F.struct("vec_id", "own", "vec")).alias("vectors")))
+        hits = q_rows.join(v_rows, ["key", "vb"]).select("key", "vb", "qb", "queries", "vectors").mapInArrow(
+            lambda it: _search(it, *how), HIT_SCHEMA)
         hits = hits.dropDuplicates(["query_id", "vec_id"])  # a pair may share several keys
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     w = Window.partitionBy("query_id").orderBy(order, F.col("vec_id").desc() if ids_desc else F.col("vec_id").asc())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ann
+from ..operators import ann, graph
 from ..sources.tables import read_table
 from .q_search import EMB_IP, EMB_L2, KNN_L2_SQL
 from .registry import register
@@ -116,6 +116,27 @@ def q_ivf_recall_kmeans_by_probe(spark, sf):
         "recall", F.round("recall", 6))
 
 
+# N3 over all clusters that the triangle inequality cannot rule out: same oracle as knn_l2.
+@register("ivf_exact", KNN_L2_SQL)
+def q_ivf_exact(spark, sf):
+    e = _emb(spark, sf)
+    idx = ann.ivf_from_centroids(e.select("vec_id", "embedding"), label_centroids(e), tie_decimals=9)
+    return _hits(ann.ivf_search_exact(_queries(e), idx, k=5, exclude_self=True, tie_decimals=9), e)
+
+
+@register("graph_search")
+def q_graph_search(spark, sf):
+    e = _emb(spark, sf)
+    idx = graph.build_graph(e)
+    return _hits(graph.graph_search(_queries(e), idx, k=5, exclude_self=True), e)
+
+
+@register("graph_recall")
+def q_graph_recall(spark, sf):
+    e = _emb(spark, sf).select("vec_id", "embedding")
+    return graph.graph_recall(_queries(e), e, graph.build_graph(e), k=5, exclude_self=True)
+
+
 @register("lsh_search", f"WITH {BUCKET_CTE.format(tables=ann.LSH_TABLES, bits=ann.LSH_BITS)} "
           f"SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, round(dist, 6) AS dist "
           f"FROM ({top_sql('SELECT * FROM cand WHERE q <> v', EMB_L2, 5)})")
