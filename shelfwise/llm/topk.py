@@ -1,27 +1,31 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
 Vectors become integers (floor(64 x) of every component). The index keeps blocks of
-about BLOCK vectors; in each, every dimension has its postings in the order of their
-values, so that the postings of a range of impacts ``q v`` are one segment. A query
-takes the segments of all dimensions by descending quantised impact (LEVELS). After
-a level a vector's score is at most what it has gathered plus the level's impact for
-each dimension not yet seen. Exact scores of the vectors that have gathered most give
-a score that k vectors surely reach, and every vector that cannot reach it is out.
-Processing stops only when few are left, or all is processed; those are then scored
-exactly.
-
-Plan: query blocks meet index blocks by equality on the block number, one visit a
-row; a task takes the visits of one query block to a run of BLOCKS_A_TASK index
-blocks in turn, so what earlier blocks hold bounds the later ones, and returns k rows
-a query; a window over the query picks the best. Neither side passes through the
-driver.
+about BLOCK vectors; in each, every posting (vector, dimension, value) has a level, the
+quantised size of its value, so that the postings of a dimension at one level are a
+segment. A query's components have levels too, and the quantised impact of a segment is
+the sum of both levels. Segments are processed by descending impact, all those of one
+impact for a whole group of queries in one pass (a product of the queries' components of
+one level with the postings of another). After a pass a vector scores at most what it has
+gathered plus, for each posting level, the norm of the query's components not yet met
+times the norm of the vector's postings there (Cauchy-Schwarz). Exact scores of the vectors
+that have gathered most give a score that k vectors surely reach, and every vector that
+cannot reach it is out. Processing stops only when few are left, or all is processed;
+those are then scored exactly in integers.
+
+Plan: a grid of tasks (see ``operators.knn.grid``): queries are dealt to its rows and index
+blocks to its columns, so a query is sent once per column and a block once per row, not
+once per group of queries. A task keeps its blocks and streams its queries past them;
+what earlier blocks hold bounds the later ones; it hands on k rows a query, and a window
+over the query picks the best. Neither side passes through the driver.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component
 takes no part, nor does a null vec_id; repeated rows (equal id and vector) count
 once; rows with a query's id are its own and no candidates; vectors of another
 dimension are no candidates; ties go to the smaller vec_id; fewer than k candidates:
-all of them; an empty table gives an empty result; other columns are ignored.
-Scores must stay below 2^52 in size, else the build raises.
+all of them; an empty table gives an empty result; other columns are ignored. Large
+components are scored in integers of any width; codes are cut at 2^62 (components at
+2^56) and scores shown are cut to the range of a long.
 """
 
 from __future__ import annotations
@@ -35,189 +39,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.knn import grid
 from .common import written
 
-BLOCK, QUERY_BLOCK = 8_192, 256
+BLOCK, QUERY_BLOCK = 4_096, 256
 SCALE = 64
-# Quantised impact levels, as shares of a query's highest impact; the last is all.
-LEVELS = (0.25, 0.0625, 0.03, 0.0, -0.03, -0.0625, -0.25, None)
-TABLED_VALUES = 4096
-FIRST_LOOK = 0.25            # of the postings are processed before bounds are looked at
-BLOCKS_A_TASK = 4
+LEVELS = 3                   # of postings and of a query's components, by size
+FIRST_LOOK = 2               # impact after which bounds are looked at
+LARGEST_CODE = 1 << 62
+LEADERS = 2                  # times k vectors are scored exactly to find a floor
+BLOCKS_KEPT = 16             # index blocks a task keeps, about
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, codes (array<bigint>), dim of the vectors that take part."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
-                    & (F.abs(x.cast("double")) < float(1 << 40)))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                       & (F.abs(x.cast("double")) != float("inf")))
     rows = vectors.select("vec_id", "embedding").filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(finite)
-    codes = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
-    too_large = F.raise_error(F.lit("a component is too large for exact integer scores"))
-    return rows.select("vec_id", F.when(fine, codes).otherwise(F.array(too_large.cast("bigint"))).alias("codes"),
-                       F.size("embedding").alias("dim")).distinct()
+    limit = F.lit(LARGEST_CODE).cast("bigint")
+
+    def code(x):
+        scaled = x.cast("double") * scale
+        return (F.when(scaled >= float(LARGEST_CODE), limit).when(scaled <= -float(LARGEST_CODE), -limit)
+                .otherwise(F.floor(scaled).cast("bigint")))
+    return rows.select("vec_id", F.transform("embedding", code).alias("codes"), F.size("embedding").alias("dim")).distinct()
+
 
+def _levels(sizes: np.ndarray, edges: list[float]) -> np.ndarray:
+    """0 for the largest: how many of the (falling) edges a size lies under."""
+    return sum((sizes < e).astype(np.uint8) for e in edges)
 
-class Segments:
-    """One block of the index: ids, codes and per dimension the postings by value."""
 
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, order: np.ndarray):
-        self.ids, self.codes, self.order = ids, codes, order.astype(np.int64)
-        self.values = np.ascontiguousarray(np.take_along_axis(codes, self.order.T, axis=0).T.astype(np.float64))
-        self.room = np.empty(self.order.size, np.int64), np.empty(self.order.size)  # used by every query again
-        self.low, span = int(codes.min()), int(codes.max()) - int(codes.min()) + 2
-        self.below = None
-        if span <= TABLED_VALUES:  # how many postings of a dimension lie below each value
-            counts = np.stack([np.bincount(c - self.low, minlength=span) for c in codes.astype(np.int64).T])
-            self.below = np.cumsum(counts, axis=1) - counts
+class Block:
+    """One block of the index: ids, codes and the levels of its postings."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, levels: np.ndarray):
+        self.ids, self.codes = ids, codes
+        self.largest = max(abs(int(codes.min(initial=0))), abs(int(codes.max(initial=0))))
+        self.levels = levels
+        self.kind, self.postings = None, []
+        parts = [np.where(levels == b, codes, 0).astype(np.float64) for b in range(LEVELS)]
+        self.norms = np.stack([np.sqrt(np.einsum("ij,ij->i", p, p)) for p in parts], axis=1) * (1 + 1e-9)
+        self.passes = self.survivors = 0  # of all queries, for tests and tuning
 
     @classmethod
-    def build(cls, ids: np.ndarray, codes: np.ndarray) -> Segments:
+    def build(cls, ids: np.ndarray, codes: np.ndarray) -> Block:
         by_id = np.argsort(ids, kind="stable")
         codes = codes[by_id]
-        return cls(ids[by_id], codes, np.argsort(codes, axis=0, kind="stable").T.astype(np.uint32))
-
-    def upto(self, used: np.ndarray, q: np.ndarray, level: float) -> list[int]:
-        """How many postings of each used dimension have an impact of ``level`` or more."""
-        n = len(self.ids)
-        if level == -np.inf:
-            return [n] * len(used)
-        bound = level / q[used]
-        if self.below is not None:  # values v < bound, or v <= bound
-            at = np.where(q[used] > 0, np.ceil(bound - 1e-9), np.floor(bound + 1e-9) + 1) - self.low
-            less = self.below[used, np.clip(at, 0, self.below.shape[1] - 1).astype(np.int64)]
-            return np.where(q[used] > 0, n - less, less).tolist()
-        return [n - int(np.searchsorted(self.values[d], b - 1e-9, "left")) if q[d] > 0
-                else int(np.searchsorted(self.values[d], b + 1e-9, "right")) for d, b in zip(used, bound, strict=True)]
-
-    def exact(self, slots: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return (self.codes[slots].astype(np.float64) @ query).astype(np.int64)
-
-    def top(self, own: int, query: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best for one query, without the rows of id ``own`` and
-        without some or all that score below ``floor``, which k others are known to reach.
-
-        Impacts ``q v`` are quantised into levels from the highest down. After the level
-        that ends at impact t, a vector scores at most what it has gathered plus t for
-        each dimension not seen. The exact scores of those that have gathered most give
-        a score that k vectors reach; all below it are out.
-        """
-        q = query.astype(np.float64)
-        used = np.flatnonzero(q)
-        n = len(self.ids)
-        possible = np.delete(np.arange(n), slice(*(np.searchsorted(self.ids, own, side) for side in ("left", "right"))))
-        highest = float(np.maximum(self.values[used, 0] * q[used], self.values[used, -1] * q[used]).max(initial=0))
-        largest = float((np.maximum(-self.values[used, 0], self.values[used, -1]) * np.abs(q[used])).sum())
-        unit = 2.0 ** np.ceil(np.log2(max(largest, 1)) + 2)  # gathered = sum of impacts + unit x dimensions seen
-        gathered, seen = np.zeros(n), np.zeros(n)
-        taken = [0] * len(used)
-        slots, gains = self.room
-        for share in LEVELS if len(used) else ():
-            level = -np.inf if share is None else share * highest
-            at = 0
-            for i, upto in enumerate(self.upto(used, q, level)):
-                first = taken[i]
-                if upto > first:
-                    d = used[i]  # the postings of highest impact are the last ones, or the first
-                    part = slice(n - upto, n - first) if q[d] > 0 else slice(first, upto)
-                    end = at + upto - first
-                    slots[at:end] = self.order[d, part]
-                    np.multiply(self.values[d, part], q[d], out=gains[at:end])
-                    at, taken[i] = end, upto
-            if at:
-                gains[:at] += unit
-                got = np.bincount(slots[:at], gains[:at], n)
-                times = np.rint(got / unit)
-                seen += times
-                gathered += got - times * unit
-            if share is None or sum(taken) < FIRST_LOOK * n * len(used):
+        sizes = np.abs(codes.astype(np.float64))
+        edges = [float(np.quantile(sizes, 1 - i / LEVELS)) for i in range(1, LEVELS)] if sizes.size else [0.0] * (LEVELS - 1)
+        return cls(ids[by_id], codes, _levels(sizes, edges))
+
+    def _as(self, kind) -> list[np.ndarray]:
+        """Per level the postings of all dimensions, other places zero."""
+        if self.kind != kind:
+            self.kind = kind
+            self.postings = [np.ascontiguousarray(np.where(self.levels == b, self.codes, 0).astype(kind).T) for b in range(LEVELS)]
+        return self.postings
+
+    def exact(self, slots: np.ndarray, queries: np.ndarray, wide: bool) -> np.ndarray:
+        """Scores of vector ``slots[i]`` and query row i, in integers."""
+        if wide:
+            return (self.codes[slots].astype(object) * queries.astype(object)).sum(axis=1)
+        out = np.empty(len(slots), np.int64)
+        for a in range(0, len(slots), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            out[part] = np.einsum("ij,ij->i", self.codes[slots[part]].astype(np.int64), queries[part])
+        return out
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
+        """(query row, id, score) of all that may be among the k best of their query, with none
+        of the rows of id ``own``, nor those that score below the query's ``floor``, which k
+        others are known to reach."""
+        n, dim = self.codes.shape
+        m = len(queries)
+        reach = max(self.largest, 1) * max(int(np.abs(queries.astype(np.float64)).max(initial=0)), 1) * dim
+        wide = reach >= 1 << 62
+        noise = 0.5 if reach < 1 << 52 else reach * 2.0 ** -45  # float error of a sum; scores are integers
+        kind = np.float32 if reach < 1 << 24 else np.float64
+        postings = self._as(kind)
+        q = queries.astype(np.float64)
+        sizes = np.abs(q)
+        ranked = np.sort(sizes, axis=1)[:, ::-1]
+        edges = [ranked[:, [min(dim * i // LEVELS, dim - 1)]] for i in range(1, LEVELS)]
+        levels = _levels(sizes, [np.nextafter(e, np.inf) for e in edges])
+        floor = np.full(m, -np.inf) if floor is None else floor.astype(np.float64)
+        mine = [np.searchsorted(self.ids, own, side) for side in ("left", "right")]
+        others = n - (mine[1] - mine[0])
+
+        left = np.arange(m)          # queries not yet ended
+        gathered = np.zeros((m, n), kind)
+        out = []
+        for impact in range(2 * LEVELS - 1):
+            last = impact == 2 * LEVELS - 2
+            for b in range(LEVELS):
+                if 0 <= impact - b < LEVELS:
+                    gathered += np.where(levels[left] == impact - b, q[left], 0).astype(kind) @ postings[b]
+            self.passes += len(left)
+            if impact < FIRST_LOOK and not last:
                 continue
-            most = (gathered + level * (len(used) - seen))[possible]
-            if len(possible) > 4 * k:
-                ahead = possible[np.argpartition(most, -4 * k)[-4 * k:]]
-                floor = max(floor, np.partition(self.exact(ahead, query), -k)[-k])
-            possible = possible[most >= floor - 0.5]
-            if len(possible) <= max(4 * k, n // 8):
+            if impact == FIRST_LOOK:
+                for row, (a, z) in enumerate(zip(mine[0][left], mine[1][left], strict=True)):
+                    gathered[row, a:z] = -np.inf
+            some = min(LEADERS * k, n)
+            ahead = np.argpartition(gathered, n - some, axis=1)[:, n - some:] if some < n else np.tile(np.arange(n), (len(left), 1))
+            scored = self.exact(ahead.ravel(), np.repeat(queries[left], some, axis=0), wide).astype(np.float64).reshape(len(left), some)
+            scored[~np.isfinite(np.take_along_axis(gathered, ahead, axis=1))] = -np.inf
+            if some >= k:
+                floor[left] = np.maximum(floor[left], np.where(others[left] >= k, np.partition(scored, some - k, axis=1)[:, some - k], -np.inf))
+            unmet = np.stack([np.sqrt(np.where(levels[left] > impact - b, q[left] ** 2, 0).sum(axis=1)) for b in range(LEVELS)], axis=1)
+            most = gathered + (unmet @ self.norms.T) * (1 + 1e-9)
+            alive = (most >= (floor[left] - noise)[:, None]) & np.isfinite(gathered)
+            count = alive.sum(axis=1)
+            end = np.ones(len(left), bool) if last else count <= max(LEADERS * k, n // 16)
+            row, slot = np.nonzero(alive & end[:, None])
+            self.survivors += len(row)
+            out.append((left[row], self.ids[slot], self.exact(slot, queries[left[row]], wide)))
+            left, gathered = left[~end], gathered[~end]
+            if not len(left):
                 break
-        else:
-            possible = possible[gathered[possible] >= floor - 0.5]
-        scores = self.exact(possible, query)
-        best = np.lexsort([self.ids[possible], -scores])[:k]
-        return self.ids[possible][best], scores[best]
+        row, ids, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        return _best(row, ids, scores, k)
+
+
+def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The k best of every query row, by score, then id."""
+    order = np.lexsort((ids, -scores, row)) if scores.dtype != object else np.array(
+        sorted(range(len(row)), key=lambda i: (row[i], -scores[i], ids[i])), np.int64)
+    row, ids, scores = row[order], ids[order], scores[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    keep = rank < k
+    return row[keep], ids[keep], scores[keep]
 
 
 def _type(codes: np.ndarray) -> np.dtype:
     return np.dtype(np.int16 if codes.size and np.abs(codes).max() < 1 << 15 else np.int64)
 
 
+_INDEX = "dim int, block int, blocks int, n bigint, width int, ids binary, codes binary, levels binary"
+
+
 def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """dim, block, blocks (of that dimension) and the block's arrays as binary columns."""
-    sizes = vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    """dim, block, blocks and vectors of that dimension, and the block's arrays as binary columns."""
+    sizes = vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     placed = vectors.join(sizes, "dim").withColumn(
         "block", F.pmod(F.xxhash64("vec_id", "codes"), F.col("blocks")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = np.stack(pdf["codes"].to_list()).astype(np.int64)
-        if float(np.abs(codes).max()) ** 2 * codes.shape[1] >= 2.0 ** 52:
-            raise ValueError("components are too large for exact integer scores")
-        s = Segments.build(pdf["vec_id"].to_numpy(np.int64), codes.astype(_type(codes)))
+        b = Block.build(pdf["vec_id"].to_numpy(np.int64), codes.astype(_type(codes)))
         return pd.DataFrame({
-            "dim": [codes.shape[1]], "block": [pdf["block"].iloc[0]], "blocks": [pdf["blocks"].iloc[0]],
-            "width": [s.codes.dtype.itemsize], "ids": [s.ids.tobytes()], "codes": [s.codes.tobytes()],
-            "postings": [s.order.astype(np.uint32).tobytes()]})
-    made = placed.groupBy("dim", "block").applyInPandas(
-        pack, "dim int, block int, blocks int, width int, ids binary, codes binary, postings binary")
-    return written(made, "impact-index")
+            "dim": [codes.shape[1]], "block": [pdf["block"].iloc[0]], "blocks": [pdf["blocks"].iloc[0]], "n": [pdf["n"].iloc[0]],
+            "width": [b.codes.dtype.itemsize], "ids": [b.ids.tobytes()], "codes": [b.codes.tobytes()],
+            "levels": [b.levels.tobytes()]})
+    return written(placed.groupBy("dim", "block").applyInPandas(pack, _INDEX), "impact-index")
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, index blocks before groups of queries."""
+    cell, blocks = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+            dim = value("dim")
+            if (dim, value("cell")) != cell:
+                cell, blocks = (dim, value("cell")), []
+            ids = np.frombuffer(value("ids"), np.int64)
+            codes = np.frombuffer(value("codes"), np.dtype(f"<i{value('width')}")).reshape(-1, dim)
+            if value("side") == 0:
+                blocks.append(Block(ids, codes, np.frombuffer(value("levels"), np.uint8).reshape(-1, dim)))
+                continue
+            best, floor = None, np.full(len(ids), -np.inf)
+            for b in blocks:
+                found = b.top(ids, codes, k, floor)
+                if best is not None:
+                    found = _best(*(np.concatenate(x) for x in zip(best, found, strict=True)), k)
+                best = found
+                held = np.bincount(best[0], minlength=len(ids))
+                full = np.flatnonzero(held >= k)
+                floor[full] = best[2][(np.cumsum(held) - 1)[full]].astype(np.float64)  # the k-th score
+            if best is None:
+                continue
+            row, found, scores = best
+            if scores.dtype == object:
+                scores = np.array([max(min(x, (1 << 63) - 1), -(1 << 63)) for x in scores], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query (vec_id, codes, dim)."""
+    spark = queries.sparkSession
     n_queries = queries.count()
-    if not n_queries:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    groups = -(-n_queries // QUERY_BLOCK)
-    asked = (queries.withColumn("group", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(groups)).cast("int"))
-             .groupBy("dim", "group").agg(F.collect_list(F.struct("vec_id", "codes")).alias("queries")))
-    blocks = index.count()
-    run_of = F.floor(F.col("block") / BLOCKS_A_TASK).cast("int")
-    pairs = (asked.join(index.select("dim", "blocks").distinct(), "dim")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-             .join(index.drop("blocks"), ["dim", "block"]).withColumn("run", run_of)
-             .repartition(max(1, -(-blocks // BLOCKS_A_TASK) * groups), "dim", "group", "run")
-             .sortWithinPartitions("dim", "group", "run", "block"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, {}  # of the queries of one group, over the blocks of one run
-
-        def found():
-            for (own, _), (ids, scores) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own, np.int64)), pa.array(ids), pa.array(scores)],
-                                                 ["query_id", "vec_id", "score"])
-        for batch in batches:
-            for i in range(batch.num_rows):
-                value = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                dim = value("dim").as_py()
-                name = (dim, value("group").as_py(), value("run").as_py())
-                if name != at:
-                    yield from found()
-                    at, best = name, {}
-                kind = np.dtype(f"<i{value('width').as_py()}")
-                array = lambda c, t: np.frombuffer(value(c).as_buffer(), t)  # noqa: B023, E731
-                s = Segments(array("ids", np.int64), array("codes", kind).reshape(-1, dim),
-                             array("postings", np.uint32).reshape(dim, -1))
-                for j, q in enumerate(value("queries").as_py()):
-                    own, codes = q["vec_id"], np.array(q["codes"], np.int64)
-                    before, scored = best.get((own, j), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    more, more_scored = s.top(own, codes, k, scored[-1] if len(scored) == k else -np.inf)
-                    ids, scores = np.concatenate([before, more]), np.concatenate([scored, more_scored])
-                    order = np.lexsort([ids, -scores])[:k]
-                    best[own, j] = ids[order], scores[order]
-        yield from found()
+    dims = index.groupBy("dim").agg(F.first("blocks").alias("blocks"), F.first("n").alias("n"))
+    largest = dims.orderBy(F.col("n").desc(), "dim").first()
+    if not n_queries or largest is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    gq, gv = grid(n_queries, largest["n"], largest["dim"], spark.sparkContext.defaultParallelism)
+    gv = max(1, min(max(gv, -(-largest["blocks"] // BLOCKS_KEPT)), largest["blocks"]))
+    groups = max(gq, -(-n_queries // QUERY_BLOCK))
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.stack(pdf["codes"].to_list()).astype(np.int64)
+        return pd.DataFrame({"dim": [codes.shape[1]], "group": [pdf["group"].iloc[0]],
+                             "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()]})
+    asked = (queries.withColumn("group", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(groups)).cast("int"))
+             .groupBy("dim", "group").applyInPandas(pack, "dim int, group int, ids binary, codes binary"))
+    columns = ["dim", "cell", "side", "width", "ids", "codes", "levels"]
+    cell = lambda i, j: (i * gv + j).cast("int").alias("cell")
+    rows = (index.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
+            .select("dim", cell(F.col("i"), F.pmod("block", F.lit(gv))), F.lit(0).alias("side"), "width", "ids", "codes", "levels"))
+    rows = rows.unionByName(
+        asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(gv - 1))))
+        .select("dim", cell(F.pmod("group", F.lit(gq)), F.col("j")), F.lit(1).alias("side"), F.lit(8).alias("width"), "ids", "codes",
+                F.lit(None).cast("binary").alias("levels"))).select(*columns)
+    cells = rows.repartition(gq * gv, "dim", "cell").sortWithinPartitions("dim", "cell", "side")
+    found = cells.mapInArrow(lambda it: _search(it, k), "query_id bigint, vec_id bigint, score bigint").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint").distinct()
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
