@@ -178,7 +178,10 @@ def license_digest(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESH
     found = met.groupBy("key").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("m")).alias("share"),
                                    F.count(F.lit(1)).alias("n_blocks"))
     places, marks = F.col("base.at"), F.array_distinct("base.label")
-    return rows.join(found, "key", "left").select(
+    # documents without a block that can match need not move
+    joined = rows.filter("key IS NOT NULL").join(found, "key", "left").unionByName(
+        rows.filter("key IS NULL"), allowMissingColumns=True)
+    return joined.select(
         "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
         F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
         F.array_join(F.array_sort(marks), ",").alias("base_labels"),
