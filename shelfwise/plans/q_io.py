@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..operators import ann, search
 from ..operators.metrics import metric_rows
-from ..sources import io
+from ..operators.knn import knn_join
+from ..sources import io, versions
 from ..sources.products import PRODUCT_COLUMNS, PRODUCT_EXPRS
 from ..sources.tables import read_table
 from . import jobs
 from .q_clean import META_COLS, META_CTE
-from .q_index import CENTROID_CTE, label_centroids, probe_pairs
+from .q_index import CENTROID_CTE, label_centroids, probe_pairs, top_sql
 from .q_search import DIM, EMB_L2, hash_sql
 from .registry import products, register
 
@@ -144,3 +145,47 @@ def q_metrics_io(spark, sf):
     path = io.write_json(rows, io.shared_folder(spark, "metrics"))
     back = spark.read.schema("section string, metric string, value double").json(path)
     return back.select("section", "metric", F.round("value", 6).alias("value"))
+
+
+# A versioned index: half of the labels first (1), the others added (2), label 0 taken out (3)
+# and put back (4), label 9 taken out (5), compacted (6).
+_VERSION_ROWS = {1: "coalesce(label < 5, false)", 2: "true", 3: "coalesce(label <> 0, true)", 4: "true",
+                 5: "coalesce(label <> 9, true)", 6: "coalesce(label <> 9, true)"}
+
+
+def _versioned_index(spark, sf, upto: int) -> str:
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    path = io.shared_folder(spark, "versioned-index")
+    steps = [lambda: versions.create(e.where("coalesce(label < 5, false)"), path),
+             lambda: versions.add(e.where("NOT coalesce(label < 5, false)"), path),
+             lambda: versions.remove(e.where("label = 0"), path), lambda: versions.add(e.where("label = 0"), path),
+             lambda: versions.remove(e.where("label = 9"), path), lambda: versions.compact(spark, path)]
+    for step in steps[:upto]:
+        step()
+    return path
+
+
+@register("index_versions", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT CAST({v} AS INTEGER) AS version, count(*) AS total_vectors, coalesce(CAST(sum(vec_id) AS BIGINT), 0) AS id_sum, "
+    f"CAST(max(len(embedding)) AS INTEGER) AS dimension FROM embeddings WHERE {rows}" for v, rows in _VERSION_ROWS.items()) + ")")
+def q_index_versions(spark, sf):
+    path = _versioned_index(spark, sf, 6)
+    out = None
+    for v in versions.versions(spark, path):
+        row = versions.read(spark, path, v).agg(
+            F.lit(v).alias("version"), F.count(F.lit(1)).alias("total_vectors"),
+            F.coalesce(F.sum("vec_id"), F.lit(0).cast("bigint")).alias("id_sum"), F.max(F.size("embedding")).alias("dimension"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("index_search_at_version", "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, label, round(dist, 6) AS dist FROM (" + top_sql(
+    "SELECT a.vec_id AS q, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id "
+    "AND coalesce(b.label <> 0, true)", EMB_L2, 5) + ")")
+def q_index_search_at_version(spark, sf):
+    path = _versioned_index(spark, sf, 4)   # version 3 is no longer the latest
+    index = versions.read(spark, path, 3)
+    queries = read_table(spark, sf, "embeddings", ["vec_id", "embedding"]).withColumnRenamed("vec_id", "query_id")
+    hits = knn_join(queries, index, k=5, exclude_self=True, tie_decimals=9)
+    return (hits.join(index.select("vec_id", "label"), "vec_id")
+            .select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "label", F.round("score", 6).alias("dist")))

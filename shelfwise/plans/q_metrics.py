@@ -8,9 +8,9 @@ from ..constants import FALLBACK_OTHER, FALLBACK_PRODUCT, FALLBACK_SEARCH_RESULT
 from ..functions.scores import bleu_scores, rouge_l_column
 from ..functions.text import SPACE, token_set
 from ..operators import metrics as MX
-from ..operators import search, truth
+from ..operators import search, sketches, truth
 from ..operators.generate import generate_answers
-from ..sources.io import materialise
+from ..sources.io import materialise, shared_folder
 from ..sources.tables import read_table
 from .q_clean import META_CTE, WORD_RE, cleaned, sql_strip
 from .q_search import DIM, hash_sql, hash_dist_sql
@@ -39,6 +39,35 @@ def q_latency(spark, sf):
                     *[MX.round_col(c) for c in s.columns if c.endswith("_ms")])
 
 
+_SKETCH_PROBS = [0.5, 0.95, 0.99]
+
+
+# A6 from stored sketches: every day but the last is added first, then the last one alone. ``close``
+# says that the value's exact rank is within the stated error of the quantile asked for.
+@register("latency_sketch",
+          "WITH g AS (SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'all' ELSE event_type END AS event_type, count(value) AS n, "
+          "round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high "
+          "FROM events GROUP BY ROLLUP (event_type)) SELECT g.*, p, true AS close FROM g, "
+          f"(SELECT unnest([{', '.join(map(str, _SKETCH_PROBS))}])::DOUBLE AS p)")
+def q_latency_sketch(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_type", "ts", "value"]).withColumn("day", F.to_date("ts"))
+    last = ev.agg(F.max("day")).first()[0]
+    path = shared_folder(spark, "latency-days")
+    for part in (ev.where(~F.col("day").eqNullSafe(F.lit(last))), ev.where(F.col("day").eqNullSafe(F.lit(last)))):
+        sketches.add_days(part, path, "value", ["event_type"], "day")
+    days = sketches.read_days(spark, path)
+    total = sketches.merged(days, [], _SKETCH_PROBS).withColumn("event_type", F.lit("all"))
+    both = materialise(sketches.merged(days, ["event_type"], _SKETCH_PROBS).unionByName(total), "latency-merged")
+    asked = both.select("event_type", F.posexplode("quantiles").alias("i", "q")).withColumn(
+        "p", F.element_at(F.array(*[F.lit(p) for p in _SKETCH_PROBS]), F.col("i") + 1))
+    values = ev.select("value", F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("event_type"))
+    rank = values.join(F.broadcast(asked), "event_type").groupBy("event_type", "p").agg(
+        F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"))
+    off = F.greatest(F.col("below") - F.col("p"), F.col("p") - F.col("upto"))
+    return rank.select("event_type", "p", (off <= sketches.RANK_ERROR).alias("close")).join(both, "event_type").select(
+        "event_type", "p", "n", *[MX.round_col(c) for c in ("mean", "std", "low", "high")], "close")
+
+
 # -- A7, A8, A9 over the product index --------------------------------------------
 
 def _eval_inputs(spark, sf, k=20):
@@ -130,14 +159,27 @@ _STATS_ROWS = ("SELECT 'index_stats' AS section, 'total_vectors' AS metric, CAST
                f"SELECT 'index_stats', 'memory_usage_mb', round(count(*) * {DIM} * 4 / (1024.0 * 1024.0), 6) FROM meta")
 
 
-@register("comprehensive", f"WITH {_eval_sql()} {_STATS_ROWS} UNION ALL {_RECALL_ROWS}")
+# Recorded durations carry no k: the event's number says which of the report's it stands for.
+def _timed(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "value"])
+    return ev.select("value", F.element_at(F.array(*[F.lit(k) for k in KS]), (F.pmod("event_id", F.lit(len(KS))) + 1).cast("int")).alias("k"))
+
+
+_LATENCY_PARTS = {"mean_latency_ms": "avg(value)", "median_latency_ms": "quantile_cont(value, 0.5)",
+                  "p95_latency_ms": "quantile_cont(value, 0.95)", "p99_latency_ms": "quantile_cont(value, 0.99)"}
+_LATENCY_ROWS = " UNION ALL ".join(
+    f"SELECT 'latency' AS section, '{name}@' || ([{', '.join(map(str, KS))}])[event_id % {len(KS)} + 1] AS metric, "
+    f"round({sql}, 6) AS value FROM events GROUP BY event_id % {len(KS)}" for name, sql in _LATENCY_PARTS.items())
+
+
+@register("comprehensive", f"WITH {_eval_sql()} {_STATS_ROWS} UNION ALL {_RECALL_ROWS} UNION ALL {_LATENCY_ROWS}")
 def q_comprehensive(spark, sf):
     meta, flagged, with_truth, _ = _eval_inputs(spark, sf)
     index = retrieval.embed_products(meta, DIM)  # stats only need count and size: no search
     stats = MX.metric_rows(search.index_stats(index), "index_stats",
                            ["total_vectors", "dimension", "memory_usage_mb"])
     rec = MX.recall_rows(MX.recall_at_k(flagged, with_truth, KS))
-    return _r6(stats.unionByName(rec))
+    return _r6(stats.unionByName(rec).unionByName(MX.latency_rows(_timed(spark, sf), "value", "k", list(_LATENCY_PARTS))))
 
 
 # -- A18: ablation over named configurations -----------------------------------------
