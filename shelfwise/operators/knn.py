@@ -55,7 +55,7 @@ BLOCK_ROWS = 1024
 _HELD_ENTRIES = 2_000_000
 # Bytes of vectors a cell of the grid keeps, and rows of queries and of vectors in one product.
 HELD_BYTES = 64 << 20
-_AT_ONCE, _VECTORS_AT_ONCE = 1024, 4096
+_AT_ONCE, _VECTORS_FIRST, _VECTORS_AT_ONCE = 1024, 1024, 4096
 
 
 def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
@@ -160,6 +160,64 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["g", "ids", "ks", "own", "vecs"])
 
 
+class _Column:
+    """The vectors of a cell: a float32 product finds all that may be among a query's best,
+    within the product's own error bound, and those are scored in float64 from the differences."""
+
+    def __init__(self, ids: np.ndarray, own: np.ndarray, vecs: np.ndarray, metric: str):
+        self.ids, self.own, self.vecs, self.metric = ids, own, vecs, metric
+        with np.errstate(over="ignore"):
+            self.small = vecs.astype(np.float32)
+        self.norms = np.einsum("ij,ij->i", vecs, vecs)
+
+    def nearest(self, Q, q_own, kmax, exclude_self, tol_scale, tie_decimals, ids_desc):
+        """(query row, score to minimise, id) of the ``kmax`` best of every query row."""
+        l2, dim = self.metric == "l2", Q.shape[1]
+        qn = np.einsum("ij,ij->i", Q, Q)
+        longest = self.norms.max(initial=0.0)
+        # of a sum of dim float32 products, and of the rounded inputs and norms
+        error = (dim + 8) * 2.0 ** -23 * ((2 * np.sqrt(qn * longest) + longest) if l2 else np.sqrt(qn * longest)) + tol_scale
+        if tie_decimals is not None:
+            error = np.maximum(error, 2.0 * 10.0 ** (-tie_decimals))
+        # beyond float32's range the product is made in float64
+        kind, vectors = (np.float32, self.small) if max(longest, qn.max(initial=0.0)) < 1e30 else (np.float64, self.vecs)
+        small = Q.astype(kind)
+        best, cut = None, np.full(len(Q), np.inf)   # of |v|^2 - 2 q.v, or of -q.v
+        a = 0
+        while a < len(self.ids):
+            z = a + (_VECTORS_AT_ONCE if a else _VECTORS_FIRST)
+            near = small @ vectors[a:z].T
+            near *= kind(-2.0 if l2 else -1.0)
+            if l2:
+                near += self.norms[a:z].astype(kind)
+            if exclude_self:
+                same = np.flatnonzero(np.isin(self.own[a:z], q_own))
+                if len(same):
+                    row, column = np.nonzero(q_own[:, None] == self.own[a:z][same][None, :])
+                    near[row, same[column]] = np.inf
+            if best is None and near.shape[1] >= kmax:
+                cut = np.partition(near, kmax - 1, axis=1)[:, kmax - 1].astype(np.float64)
+            bound = np.nextafter((cut + 2 * error).astype(kind), kind(np.inf))
+            qi, vj = np.nonzero(near <= bound[:, None])
+            some = np.isfinite(near[qi, vj])
+            qi, vj = qi[some], vj[some] + a
+            if l2:
+                d = Q[qi] - self.vecs[vj]
+                exact = (d * d).sum(axis=1)
+            else:
+                exact = -(Q[qi] * self.vecs[vj]).sum(axis=1)
+            found = (qi, exact if tie_decimals is None else np.round(exact, tie_decimals), self.ids[vj])
+            if best is not None:
+                found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+            best = _best(*found, kmax, ids_desc)
+            held = np.bincount(best[0], minlength=len(Q))
+            full = np.flatnonzero(held >= kmax)
+            worst = best[1][(np.cumsum(held) - 1)[full]]
+            cut[full] = worst - qn[full] if l2 else worst
+            a = z
+        return best
+
+
 def _search_cells(batches: Iterator[pa.RecordBatch], dim: int, kmax: int, metric: str, exclude_self: bool, tol_scale: float,
                   tie_decimals: int | None, ids_desc: bool) -> Iterator[pa.RecordBatch]:
     """Rows come by cell, vectors before queries: keep the vectors, answer the queries."""
@@ -179,17 +237,11 @@ def _search_cells(batches: Iterator[pa.RecordBatch], dim: int, kmax: int, metric
                 held = []
             if joined is None:  # no vectors in this column
                 continue
-            vids, v_own, V = joined
+            if not isinstance(joined, _Column):
+                joined = _Column(*joined, metric)
             for a in range(0, len(ids), _AT_ONCE):
                 part = slice(a, a + _AT_ONCE)
-                best = None
-                for b in range(0, len(vids), _VECTORS_AT_ONCE):
-                    some = slice(b, b + _VECTORS_AT_ONCE)
-                    found = _visit(vecs[part], V[some], own[part], v_own[some], vids[some], kmax, metric, exclude_self, tol_scale, tie_decimals)
-                    if best is not None:
-                        found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
-                    best = _best(*found, kmax, ids_desc)
-                qi, score, found = best
+                qi, score, found = joined.nearest(vecs[part], own[part], kmax, exclude_self, tol_scale, tie_decimals, ids_desc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[part][qi]), pa.array(found), pa.array(score if metric == "l2" else -score), pa.array(ks[part][qi])],
                     ["query_id", "vec_id", "score", "k"])

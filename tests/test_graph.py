@@ -108,3 +108,12 @@ def test_grid_of_many_cells_equals_brute_force(spark, metric):
     s = ((q[:, None].astype(float) - x[None]) ** 2).sum(axis=2) if metric == "l2" else -(q.astype(float) @ x.T.astype(float))
     want = np.argsort(s, axis=1, kind="stable")[:, :7]
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(i, j + 1): int(want[i, j]) for i in range(90) for j in range(7)}
+
+
+def test_grid_beyond_the_range_of_float32(spark):
+    rows = [(0, [1e25, 0.0]), (1, [2e25, 0.0]), (2, [1e25, 1e20]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = knn_join(queries_of(df), df, 3, exclude_self=True).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {
+        (0, 1): 2, (0, 2): 1, (0, 3): 3, (1, 1): 0, (1, 2): 2, (1, 3): 3, (2, 1): 0, (2, 2): 1, (2, 3): 3,  # a tie
+        (3, 1): 0, (3, 2): 2, (3, 3): 1}
