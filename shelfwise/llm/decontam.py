@@ -6,9 +6,10 @@ any WINDOW words that differ from a benchmark item in at most MISMATCHES places
 share a seed with it under one of the masks (a test enumerates all cases).
 
 A document overlaps an item when some WINDOW of its words, aligned without gaps,
-equals the item's in all but MISMATCHES places. Items shorter than WINDOW words,
-but of SHORTEST or more, are looked for whole and exactly; shorter ones are not
-looked for (chance would find them anywhere).
+equals the item's in all but MISMATCHES places. Shorter items are looked for whole,
+with fewer substitutions and lossless masks of their own: 10 to 12 words with two, 8
+and 9 with one, SHORTEST to 7 exactly. Still shorter ones are not looked for (chance
+would find them anywhere).
 
 Plan: the seeds of the items set bits of a table of fixed size, whatever the number
 of items; one scan of the documents hashes all seeds and keeps the few positions
@@ -41,10 +42,28 @@ from .words import Words, mix, word_slices
 MASKS = ("111011", "110111", "1100001011")
 WINDOW, MISMATCHES = 13, 3
 SHORTEST = 5
+# For items shorter than WINDOW: (least words, substitutions, masks), longest first.
+SHORT_ITEMS = ((10, 2, ("11111", "111011", "11010011")), (8, 1, ("11111", "111011")))
 SLOTS = 1 << 22              # bits of the filter: half a megabyte
 MARGIN = 64                  # words kept on either side of a region's hits
 
 
+def item_masks(n: int) -> tuple[str, ...]:
+    """The masks for an item of n words."""
+    if n >= WINDOW:
+        return MASKS
+    if n < SHORTEST:
+        return ()
+    return next((masks for least, _, masks in SHORT_ITEMS if n >= least), ("1" * n,))
+
+
+def tolerance(n: int) -> tuple[int, int]:
+    """(words, substitutions allowed in so many words) for an item of n words."""
+    if n >= WINDOW:
+        return WINDOW, MISMATCHES
+    return n, next((allowed for least, allowed, _ in SHORT_ITEMS if n >= least), 0)
+
+
 def _seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words under the mask at every position where it fits."""
     n = len(words) - len(mask) + 1
@@ -76,7 +95,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             for a, b, words in word_slices(batch.column("text")):
                 for i in range(b - a):
                     own = words.hashes[words.offsets[i]:words.offsets[i + 1]]
-                    masks = MASKS if len(own) >= WINDOW else ("1" * len(own),) if len(own) >= SHORTEST else ()
+                    masks = item_masks(len(own))
                     found = [(m, _seed_hashes(own, m)) for m in masks]
                     out["words"].append(own.view(np.int64))
                     out["seeds"].append([{"hash": h, "at": k} for _, x in found
@@ -155,11 +174,10 @@ def _hits(words: Words, masks: list[str], bits: np.ndarray) -> tuple[np.ndarray,
 
 def longest_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """(first, end, equal words) in ``doc`` of the longest stretch in which every
-    window of an item aligned at ``doc[k] ~ item[k - diagonal]`` has at most MISMATCHES
-    differences; None if there is none."""
+    window of an item aligned at ``doc[k] ~ item[k - diagonal]`` has no more differences
+    than its length allows; None if there is none."""
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
-    width = min(WINDOW, len(item))
-    allowed = MISMATCHES if width == WINDOW else 0
+    width, allowed = tolerance(len(item))
     if hi - lo < width:
         return None
     same = doc[lo:hi] == item[lo - diagonal:hi - diagonal]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from llm_rows import make_docs, odd_rows, prose  # noqa: F401
@@ -13,6 +14,51 @@ def test_masks_lose_no_window_with_so_many_substitutions():
         assert any(not set(p) & set(bad) for p in places), bad
 
 
+def test_masks_of_short_items_lose_none_of_their_substitutions():
+    for n in range(D.SHORTEST, D.WINDOW):
+        width, allowed = D.tolerance(n)
+        assert width == n
+        places = [tuple(o + i for i, c in enumerate(m) if c == "1") for m in D.item_masks(n) for o in range(n - len(m) + 1)]
+        for bad in itertools.combinations(range(n), allowed):
+            assert any(not set(p) & set(bad) for p in places), (n, bad)
+    assert [D.tolerance(n)[1] for n in range(5, 14)] == [0, 0, 0, 1, 1, 2, 2, 2, 3]
+
+
+def plain_overlaps(rows, bench):
+    """(doc_id, item_id) of all documents and items of which some aligned stretch of the
+    item's words (13 of a long item) differs in no more places than allowed."""
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    out = set()
+    for doc_id, text, *_ in rows:
+        doc = words(text)
+        for item_id, item_text in bench:
+            item = words(item_text)
+            n = len(item)
+            allowed = 3 if n >= 13 else 2 if n >= 10 else 1 if n >= 8 else 0
+            width = min(n, 13)
+            if n >= 5 and any(sum(a != b for a, b in zip(doc[i:i + width], item[j:j + width], strict=True)) <= allowed
+                              for j in range(n - width + 1) for i in range(len(doc) - width + 1)):
+                out.add((doc_id, item_id))
+    return out
+
+
+def test_whole_query_against_brute_force(spark, make_docs):
+    r = random.Random(9)
+    bench = [(n, prose(n, 500 + n)) for n in range(3, 24)]
+    rows = []
+    for k in range(160):
+        n, text = bench[k % len(bench)]
+        item = text.split()
+        cut = item[r.randint(0, max(0, n - 14)):] if k % 3 == 0 else item
+        for p in r.sample(range(len(cut)), min(len(cut), r.randint(0, 5))):
+            cut[p] = f"other{r.randint(0, 9)}"
+        rows.append((k, f"{prose(20, k)} {' '.join(cut)} {prose(20, 900 + k)}", "en", "s", 1))
+    want = plain_overlaps(rows, bench)
+    lengths = {i for _, i in want}
+    assert lengths >= {6, 8, 9, 10, 11, 12, 13, 20} and len(want) < len(rows)
+    assert set(found(make_docs(rows), items(spark, bench))) == want
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
