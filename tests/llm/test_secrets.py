@@ -58,6 +58,100 @@ def test_random_strings_without_a_digit(make_docs):
         assert S.random_spans(f"x {s} y", ratio, []) == [], s
 
 
+def fitted():
+    """Models of prose and of the library's names, without Spark."""
+    letters = S._letter_triples(" ".join(prose(2000, i) for i in range(5)))
+    return S.fit(letters, np.zeros(S.STATES ** 2, np.int64), S.library_names())
+
+
+def test_rates_on_held_out_names_and_random_strings():
+    models = fitted()
+    held = [n for n in S.library_names() if S.fold_of(n) == 2 and len(n) >= S.MIN_RUN and S._classes(n) >= 2]
+    digits = [n for n in held if any(c.isdigit() for c in n)]
+    camel = [n for n in held if "_" not in n and n not in set(digits)]
+    assert len(digits) > 200 and len(camel) > 500
+    for names in (digits, camel, held):
+        assert sum(bool(S.random_spans(f"x {n} y", models, [])) for n in names) <= 0.01 * len(names)
+    r = np.random.default_rng(5)
+    for alphabet in ([c for c in S.ALPHABET if c.isalnum()], [c for c in S.ALPHABET if c.isalpha()], list(S.ALPHABET)):
+        for before in ("", "https-example-com/account/settings/password-reset/"):
+            made = ["".join(r.choice(alphabet, 20)) for _ in range(300)]
+            at = 2 + len(before)
+            hit = [sum(min(b, at + 20) - max(a, at) for a, b, _ in S.random_spans(f"x {before}{m} y", models, []) if b > at) for m in made]
+            assert sum(h >= 16 for h in hit) >= 0.95 * len(made), (len(alphabet), before)
+
+
+def test_names_train_only_from_their_own_fold():
+    names = S.library_names()
+    letters = S._letter_triples(prose(500, 1))
+    some = S.fit(letters, np.zeros(S.STATES ** 2, np.int64), names)
+    less = S.fit(letters, np.zeros(S.STATES ** 2, np.int64), [n for n in names if S.fold_of(n) != 2])
+    assert (some.gains == less.gains).all() and some[1:] == less[1:]
+
+
+def test_without_names_the_documents_words_train():
+    models = S.fit(S._letter_triples(prose(3000, 1)), np.zeros(S.STATES ** 2, np.int64), [])
+    assert models.letters == models.digits == S.MARGIN
+    assert S.random_spans(f"x {RANDOM[0]} y", models, [])
+
+
+def test_ordinary_and_random_probabilities_sum_to_one():
+    pairs = np.zeros(S.STATES ** 2, np.int64)
+    pairs[S._CODE[ord("a")] * S.STATES + S._CODE[ord("7")]] = 50
+    assert np.allclose(np.exp(S._random(pairs))[:, 1:].sum(axis=1), 1)
+    ordinary = np.exp(S._ordinary(S._letter_triples(prose(300, 1)), ["getItem_Count2", "HTTPServer"]))
+    # what comes after a lower-case letter splits over the classes, each of which splits over its characters
+    total = ordinary[:, :, 1:].sum(axis=2)
+    assert np.allclose(total, 1)
+
+
+def test_best_stretch_against_every_stretch():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        gain = r.normal(r.choice([-0.5, 0, 0.3]), 1, r.integers(1, 60))
+        every = {(a, b): gain[a:b].sum() for a in range(len(gain)) for b in range(a + S.MIN_RUN, len(gain) + 1)}
+        got = S._best_stretch(gain)
+        best = max(every.values(), default=0)
+        assert (got is None) == (best <= 0)
+        if got:
+            assert np.isclose(got[2], best) and np.isclose(every[got[:2]], best)
+
+
+def plain_parts(run, a, b):
+    """The stretch with an end part kept whole if half or more of it lies inside, else cut off."""
+    parts, at = [], 0
+    for word in re.split(r"[+/_-]", run):
+        parts.append((at, at + len(word)))
+        at += len(word) + 1
+    first = next((p for p in parts if p[0] <= a < p[1]), None)
+    last = next((p for p in parts if p[0] < b <= p[1]), None)
+    if first is None or last is None:
+        return None                                      # begins or ends at a separator
+    start, end = a, b
+    if first == last:
+        return first if 2 * (b - a) >= first[1] - first[0] else (a, b)
+    start = first[0] if 2 * (first[1] - a) >= first[1] - first[0] else first[1] + 1
+    if last[0] <= start:
+        end = last[1] if 2 * (b - start) >= last[1] - last[0] else b
+    else:
+        end = last[1] if 2 * (b - last[0]) >= last[1] - last[0] else last[0] - 1
+    return start, end
+
+
+def test_ends_at_separators_against_plain_parts():
+    r = np.random.default_rng(8)
+    seen = 0
+    for _ in range(3000):
+        run = "".join(r.choice(list("abcdefgh/_"), 60))
+        a, n = int(r.integers(0, 30)), int(r.integers(16, 30))
+        want = plain_parts(run, a, a + n)
+        if want is None or want[1] - want[0] < S.MIN_RUN:
+            continue
+        seen += 1
+        assert S._to_parts(run, a, a + n, 0, len(run)) == want, (run, a, a + n)
+    assert seen > 300
+
+
 def test_words_joined_to_a_secret_do_not_hide_it(make_docs):
     ratio = S.train(training(make_docs))
     for before in ["/getItemCount/fromList/version/someModule/name/getItemCount/", "internationalization-version-name-"]:
