@@ -46,20 +46,14 @@ def _first_names(df: DataFrame, key: list[str], k: int) -> DataFrame:
     return firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int = CATALOGUE_MAX_RESULTS,
-                     gram: int = 3) -> DataFrame:
-    """``(query_id, rank, product_id, name, price, category, description, url)``.
+def _fields() -> list[Column]:
+    return [F.lower(F.col(c)) for c in ("name", "description", "category")]
 
-    ``products``: (product_id, name, price, category, description, url);
-    ``queries``: (query_id, query).
-    """
-    k = max_results
-    p = products.select("product_id", "name", "price", "category", "description", "url")
-    low = [F.lower(F.col(c)) for c in ("name", "description", "category")]
-    q = queries.select("query_id", F.lower("query").alias("ql")).where(F.col("ql").isNotNull())
 
-    # -- rule parts: first names per rule, attached to flagged queries ------------
-    (p100, lim100), (p50, lim50) = PRICE_RULES
+def first_names_by_rule(p: DataFrame, k: int) -> DataFrame:
+    """(rule, product_id, name): the first ``k`` names of every rule part."""
+    low = _fields()
+    (_, lim100), (_, lim50) = PRICE_RULES
     (w1, f1), (w2, f2) = CATEGORY_RULES
     field = {"name": low[0], "category": low[2]}
     rule_flags = F.array(
@@ -67,7 +61,11 @@ def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int =
         F.when(field[f1].contains(w1), F.lit("c1")), F.when(field[f2].contains(w2), F.lit("c2")),
         F.lit("all"))
     tagged = p.select("product_id", "name", F.explode(F.filter(rule_flags, lambda x: x.isNotNull())).alias("rule"))
-    rule_rows = _first_names(tagged, ["rule"], k).collect()          # at most 5 rules x k rows
+    return _first_names(tagged, ["rule"], k)
+
+
+def rule_candidates(q: DataFrame, key: str, rule_rows: list) -> DataFrame:
+    """(key, product_id, name): the rules' first names for every query (column ql) that a rule applies to."""
     per_rule: dict[str, list] = {}
     for r in rule_rows:
         per_rule.setdefault(r["rule"], []).append((r["product_id"], r["name"]))
@@ -77,6 +75,8 @@ def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int =
         return F.array(*[F.struct(F.lit(i).cast("long").alias("product_id"), F.lit(n).alias("name"))
                          for i, n in items]) if items else F.array().cast("array<struct<product_id:bigint,name:string>>")
 
+    (p100, _), (p50, _) = PRICE_RULES
+    (w1, _), (w2, _) = CATEGORY_RULES
     ql = F.col("ql")
     empty = lit_set("all").cast("array<struct<product_id:bigint,name:string>>")
     none = F.array().cast("array<struct<product_id:bigint,name:string>>")
@@ -85,13 +85,28 @@ def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int =
         F.when(ql.contains(w1), lit_set("c1")).otherwise(none),
         F.when(ql.contains(w2), lit_set("c2")).otherwise(none),
         F.when(ql == "", empty).otherwise(none))
-    from_rules = (q.select("query_id", F.explode(rule_cands).alias("c"))
-                  .select("query_id", F.col("c.product_id").alias("product_id"), F.col("c.name").alias("name")))
+    return (q.select(key, F.explode(rule_cands).alias("c"))
+            .select(key, F.col("c.product_id").alias("product_id"), F.col("c.name").alias("name")))
+
+
+def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int = CATALOGUE_MAX_RESULTS,
+                     gram: int = 3) -> DataFrame:
+    """``(query_id, rank, product_id, name, price, category, description, url)``.
+
+    ``products``: (product_id, name, price, category, description, url);
+    ``queries``: (query_id, query).
+    """
+    k = max_results
+    p = products.select("product_id", "name", "price", "category", "description", "url")
+    low = _fields()
+    q = queries.select("query_id", F.lower("query").alias("ql")).where(F.col("ql").isNotNull())
+
+    from_rules = rule_candidates(q, "query_id", first_names_by_rule(p, k).collect())   # at most 5 rules x k rows
 
     # -- substring part: character-gram index, restricted to grams queries need ------------
     short = q.where((F.length("ql") >= 1) & (F.length("ql") <= gram))
     long_q = q.where(F.length("ql") > gram)
-    qg = long_q.select("query_id", "ql", F.explode(F.array_distinct(_grams(ql, gram))).alias("g"))
+    qg = long_q.select("query_id", "ql", F.explode(F.array_distinct(_grams(F.col("ql"), gram))).alias("g"))
     needed = short.select(F.col("ql").alias("g")).unionByName(qg.select("g")).distinct()
     fields = p.select("product_id", "name", F.explode(F.array(*low)).alias("t")).where(F.col("t").isNotNull())
     pos = fields.select("product_id", "name", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))).alias("i"))

@@ -8,11 +8,13 @@ from ..constants import CONTEXT_DETAILS, GEN_STOP_SEQUENCES, GENERATION_ERROR_ME
 from ..functions import prompts as PR
 from ..functions.text import SPACE, cut_at_first_stop
 from ..operators.catalogue import search_catalogue
+from ..operators.gram_index import build_gram_index, search_gram_index
 from ..operators.generate import fallback_answer, generate_answers
 from ..sources.tables import read_table
 from . import retrieval
 from .q_clean import META_CTE, sql_strip
 from .q_search import DIM, RETRIEVAL_CTE, _bench_requests, _index
+from ..sources.io import shared_folder
 from .registry import register
 
 
@@ -189,6 +191,14 @@ def q_catalogue(spark, sf):
     return r.select("query_id", "rank", "product_id", "name")
 
 
+@register("catalogue_index_search",
+          f"WITH {CATALOGUE_CTE} SELECT query_id, CAST(rank AS INTEGER) AS rank, product_id, name FROM res")
+def q_catalogue_index(spark, sf):
+    folder = build_gram_index(demo_products(spark, sf), shared_folder(spark, "gram-index"))
+    r = search_gram_index(spark, folder, demo_queries(spark, sf))
+    return r.select("query_id", "rank", "product_id", "name")
+
+
 def _item_md(r):
     return (f"'**' || CAST({r}.rank AS VARCHAR) || '. ' || {r}.name || '**' || {NL} || {lit(chr(0x1F4B0) + ' Price: $')} "
             f"|| CAST({r}.price AS VARCHAR) || {NL} || {lit(chr(0x1F4C2) + ' Category: ')} || {r}.category || {NL} || "
