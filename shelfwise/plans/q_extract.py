@@ -8,8 +8,10 @@ from ..constants import FIELD_QUERY_INDICATORS, FUZZY_THRESHOLD, NOT_AVAILABLE
 from ..functions import extract as X
 from ..functions.text import SPACE
 from ..operators import clean
+from ..operators import many_patterns as MP
+from ..sources.tables import read_table
 from .q_clean import CLEANED_CTE, COMBINED_SQL, cleaned, sql_strip
-from .registry import register
+from .registry import ORACLES, register
 
 # Our own question wording, one template per product (picked by id), so every
 # field pattern, the fuzzy path and non-field questions all occur.
@@ -232,3 +234,58 @@ def q_extract_custom(spark, sf):
     table = X.PatternTable([]).add_custom_pattern(["measure"], _CUSTOM, "measure", "Size or weight", priority=1)
     fields = X.extract_all_fields("text", table)
     return extraction_input(spark, sf).select("product_id", fields["measure"].alias("measure"))
+
+
+# -- many patterns as data ---------------------------------------------------------
+
+# A caller's glossary: for every distinct word of 6 letters or more in the benchmark's
+# items, one pattern for the word that follows it and one for the rest of its own word.
+GLOSSARY_SQL = r"""
+words AS (SELECT w, min(item_id * 1000000 + pos) AS first FROM (
+    SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS pos
+    FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM benchmark))
+  WHERE length(w) >= 6 GROUP BY w),
+patterns AS (
+  SELECT first * 2 AS ord, 'next_' || substr(w, 1, 3) AS field, w || '[^A-Za-z]+([A-Za-z]+)' AS regex, length(w) % 3 AS priority, w FROM words
+  UNION ALL SELECT first * 2 + 1, 'rest_' || substr(w, 1, 3), w || '([A-Za-z]+)', 2 - length(w) % 3, w FROM words),
+found AS (SELECT doc_id, field, ord, priority, regexp_extract(text, '(?i)' || regex, 1) AS value
+  FROM documents JOIN patterns ON contains(lower(text), w) WHERE regexp_matches(text, '(?i)' || regex))"""
+
+
+def glossary(spark, sf):
+    words = (read_table(spark, sf, "benchmark", ["item_id", "text"])
+             .select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "w"))
+             .where(F.length("w") >= 6).groupBy("w").agg(F.min(F.col("item_id") * 1000000 + F.col("pos")).alias("first")))
+    third = F.length("w") % 3
+
+    def pattern(kind, n, tail, priority):
+        return F.struct((F.col("first") * 2 + n).alias("ord"), F.concat(F.lit(f"{kind}_"), F.substring("w", 1, 3)).alias("field_name"),
+                        F.concat("w", F.lit(tail)).alias("regex"), priority.alias("priority"), F.array("w").alias("keywords"))
+    return words.select(F.inline(F.array(pattern("next", 0, "[^A-Za-z]+([A-Za-z]+)", third), pattern("rest", 1, "([A-Za-z]+)", 2 - third))))
+
+
+@register("extract_many",
+          f"WITH {GLOSSARY_SQL}, last AS (SELECT doc_id, field, arg_max(value, ord) AS value FROM found GROUP BY doc_id, field), "
+          "done AS (SELECT doc_id, count(*) AS n, md5(string_agg(field || '=' || value, ';' ORDER BY field)) AS digest FROM last GROUP BY doc_id) "
+          "SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_fields, coalesce(digest, md5('')) AS fields_md5 "
+          "FROM documents LEFT JOIN done USING (doc_id)")
+def q_extract_many(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    found = MP.extract_fields(docs, "text", "text", glossary(spark, sf)).select(
+        "doc_id", F.array_sort(F.map_entries("fields")).alias("fields"))
+    shown = F.array_join(F.transform("fields", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("doc_id", F.size("fields").cast("long").alias("n_fields"), F.md5(shown).alias("fields_md5"))
+
+
+@register("extract_many_by_query",
+          f"WITH {GLOSSARY_SQL}, done AS (SELECT doc_id, arg_min(value, struct_pack(p := priority, o := ord)) AS value FROM found GROUP BY doc_id) "
+          "SELECT doc_id, value FROM documents LEFT JOIN done USING (doc_id)")
+def q_extract_many_by_query(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return MP.extract_field(docs, "text", "text", glossary(spark, sf)).select("doc_id", "value")
+
+
+@register("fuzzy_extract_many", ORACLES["fuzzy_extract"])
+def q_fuzzy_many(spark, sf):
+    found = MP.fuzzy_extract_field(extraction_input(spark, sf), "text", "question", X.DEFAULT_TABLE.to_df(spark))
+    return found.select("product_id", F.col("fuzzy.value").alias("value"), F.round("fuzzy.confidence", 6).alias("confidence"))
