@@ -7,9 +7,13 @@ equal payloads of at least MIN_REVISIT bytes, the one with the smallest page_id
 payload. Reading starts from the index: select rows of it, and the byte ranges of
 the selected records are read in file order, neighbours in one read.
 
-Plan: payload digests are aggregated before the shuffle; only digests that occur
-twice meet the pages again, by a plain join that the engine can split when a third
-of the pages hold one payload. Each task writes its rows as archives of its own
+Plan: payloads do not move. A narrow table (id, URL, digest, size) is written first;
+digests aggregated before the shuffle say which of its rows are revisits, and these are
+written as records from the narrow rows. Their ids set bits of a table of fixed size
+(SLOTS bits). A page whose bits are not all set is a response and written where it is
+read; the few responses that the bits misjudge are known from the narrow table and
+fetched by a join, more of them when revisits outgrow the table. Each task writes its
+rows as archives of its own
 (begun anew at FILE_BYTES), under a name unique to the attempt, and returns their
 index rows, so a retried task leaves no wrong entry. Readers are dealt ranges of
 (file, offset).
@@ -29,6 +33,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,7 @@ MIN_REVISIT = 100
 FILE_BYTES = 256 << 20
 GAP, READ_BYTES = 64 << 10, 8 << 20  # join reads over gaps of so much, up to so much
 LEVEL = 3
+SLOTS = 1 << 24                # bits of the table of revisits: two megabytes
 DATE = "2024-01-01T00:00:00Z"  # the tables carry no fetch time
 INDEX = ("page_id bigint, url string, digest string, record_type string, refers_to bigint, "
          "file string, offset bigint, length bigint")
@@ -48,8 +54,8 @@ def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    http = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload))
+def _record(page_id, url, payload: bytes | None, size: int, digest: str, refers_to) -> bytes:
+    http = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size)
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
              f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Date: {DATE}",
              f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
@@ -84,29 +90,45 @@ def parse_record(data: bytes) -> dict:
             "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": digest}
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write all pages below ``folder``; returns the index (already written as a table)."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    full = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    repeated = (full.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest")
-                .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = full.join(repeated, "digest", "left").select(
-        "page_id", "url", "digest", F.when(other, F.col("first")).alias("refers_to"), "payload")
+def _bits(keys: DataFrame) -> bytes:
+    """The bit table of a column ``key``, two bits a key: SLOTS bits, whatever the number of rows."""
+    one, two = F.col("key").bitwiseAND(F.lit(SLOTS - 1)), F.shiftright("key", 32).bitwiseAND(F.lit(SLOTS - 1))
+    rows = (keys.select(F.explode(F.array(one, two)).alias("slot"))
+            .groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+            .collect())  # SLOTS / 64 rows at most
+    table = np.zeros(SLOTS // 64, np.int64)
+    for row in rows:
+        table[row["at"]] = row["bits"]
+    return table.astype("<i8").tobytes()
 
+
+def _set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have both bits set."""
+    out, last = np.ones(len(keys), bool), 8 * len(table) - 1
+    for slot in (keys & last, (keys >> 32) & last):
+        out &= (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _write(rows: DataFrame, folder: str, table=None) -> DataFrame:
+    """Write rows (page_id, url, digest, refers_to, size, key, payload) as records; returns
+    their index rows. Rows whose bits are set in ``table`` (broadcast) are left out."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, "", 0
+        bits = None if table is None else np.frombuffer(table.value, np.uint8)
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(~_set(bits, batch.column("key").to_numpy())))
             index = []
             for i in range(batch.num_rows):
-                page_id, url, digest, refers_to = (batch.column(c)[i].as_py() for c in range(4))
+                page_id, url, digest, refers_to, size = (batch.column(c)[i].as_py() for c in range(5))
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = put_stream(folder, name)
                 press = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = press.compress(_record(page_id, url, batch.column(4)[i].as_py(), digest, refers_to)) + press.flush()
+                data = press.compress(_record(page_id, url, batch.column("payload")[i].as_py(), size, digest, refers_to)) + press.flush()
                 out.write(data)
                 index.append((page_id, url, digest, "response" if refers_to is None else "revisit", refers_to,
                               name, at, len(data)))
@@ -120,7 +142,36 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(rows.mapInArrow(write, INDEX), "warc-index")
+    return rows.mapInArrow(write, INDEX)
+
+
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write all pages below ``folder``; returns the index (already written as a table)."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    full = (pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+            .select("page_id", "url", "digest", F.lit(None).cast("bigint").alias("refers_to"),
+                    F.octet_length("payload").cast("bigint").alias("size"), F.xxhash64("page_id", "digest").alias("key"), "payload"))
+    narrow = written(full.drop("refers_to", "payload"), "warc-digests")
+    repeated = (narrow.filter(F.col("size") >= MIN_REVISIT).groupBy("digest")
+                .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    revisits = written(narrow.join(repeated, "digest").filter(other).select(
+        "page_id", "url", "digest", F.col("first").alias("refers_to"), "size", "key", F.lit(None).cast("binary").alias("payload")),
+        "warc-revisits")
+    table = pages.sparkSession.sparkContext.broadcast(_bits(revisits))
+
+    def misjudged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(_set(bits, batch.column("key").to_numpy())))
+
+    same = lambda a, b: (a["digest"] == b["digest"]) & a["page_id"].eqNullSafe(b["page_id"])
+    maybe = narrow.select("page_id", "digest", "key").mapInArrow(misjudged, "page_id bigint, digest string, key bigint")
+    wrong = written(maybe.join(revisits, same(maybe, revisits), "left_anti").distinct(), "warc-misjudged")
+    index = _write(full, folder, table).unionAll(_write(revisits, folder))
+    if not wrong.isEmpty():
+        index = index.unionAll(_write(full.join(wrong, same(full, wrong), "left_semi"), folder))
+    return written(index, "warc-index")
 
 
 def _ranges(rows: list[dict]) -> Iterator[list[dict]]:
