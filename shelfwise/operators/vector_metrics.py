@@ -1,8 +1,8 @@
 """Embedding metrics (A2, A3, A10-A13) without all-pairs row tables.
 
 * A2 mean/std of off-diagonal dots come from the sum vector and the d x d
-  second-moment matrix, partially aggregated per task; min/max come from the
-  exact 1-NN join (inner product) -- no pair is ever a row.
+  second-moment matrix, partially aggregated per task; min/max come from one pass over
+  a triangle of cells that skips what its bounds rule out -- no pair is ever a row.
 * A10 ranks each text's true image with the exact kNN join (top-5).
 * A11 splits every category into hash blocks of bounded size; pairs of block
   numbers are generated from the counts and each side joins on its own block, so a
@@ -17,12 +17,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_LOSS_ALPHA, CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import as_double, norm, similarity
-from .knn import knn_join
+from .knn import _PACKED, BLOCK_ROWS, HELD_BYTES, _dimension, _pack, _sizes, knn_join
 from .metrics import null_safe_join
 
 
@@ -69,17 +70,113 @@ def embedding_quality(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     mean = (sq["s"] - base["sq"]) / pairs
     second = (sq["f"] - base["q4"]) / pairs
     std = math.sqrt(max(second - mean * mean, 0.0))
-    q = v.select(F.col("vec_id").alias("query_id"), "v")
-    hi = knn_join(q, v, k=1, metric="ip", query_vec_col="v", vec_col="v", exclude_self=True) \
-        .agg(F.max("score")).first()[0]
-    neg = v.select(F.col("vec_id").alias("query_id"), F.transform("v", lambda x: -x).alias("v"))
-    lo = -knn_join(neg, v, k=1, metric="ip", query_vec_col="v", vec_col="v", exclude_self=True) \
-        .agg(F.max("score")).first()[0]
+    ends = dot_extremes(v, "vec_id", "v").first()
+    lo, hi = ends["lo"], ends["hi"]
     row = [(n, dim, base["norm_mean"], base["norm_std"], base["norm_min"], base["norm_max"],
             mean, std, lo, hi, 1.0 - mean)]
     return spark.createDataFrame(row, schema)
 
 
+_TILE, _PIVOTS = 256, 32     # vectors in a tile, directions that tiles are cut by
+
+
+class _Tiles:
+    """The vectors of a group, cut by nearest pivot into tiles of about one direction;
+    every vector of a tile lies within ``radius`` of its ``centre``."""
+
+    def __init__(self, own: np.ndarray, vecs: np.ndarray):
+        pivots = vecs[np.linspace(0, len(vecs) - 1, min(_PIVOTS, len(vecs))).astype(int)]
+        near = np.argmax(vecs @ pivots.T - 0.5 * np.einsum("ij,ij->i", pivots, pivots), axis=1)
+        order = np.argsort(near, kind="stable")
+        self.own, self.vecs = own[order], vecs[order]
+        begins = np.flatnonzero(np.diff(near[order], prepend=-1))
+        ends = np.append(begins[1:], len(vecs))
+        self.cuts = [(a, min(a + _TILE, e)) for b, e in zip(begins, ends, strict=True) for a in range(b, e, _TILE)]
+        self.centre = np.stack([self.vecs[a:z].mean(axis=0) for a, z in self.cuts])
+        self.radius = np.array([np.sqrt(((self.vecs[a:z] - c) ** 2).sum(axis=1).max())
+                                for (a, z), c in zip(self.cuts, self.centre, strict=True)])
+        self.norm = np.linalg.norm(self.centre, axis=1)
+
+
+def _cell_extremes(A: _Tiles, B: _Tiles, same: bool) -> tuple[float, float, int, int]:
+    """(lowest, highest dot product, tile pairs, tile pairs visited). With centres c, d and
+    radii r, s a product of two tiles lies within |c| s + r |d| + r s of c d. Tile pairs are
+    visited by rising bound until none left can beat the best found."""
+    middle = A.centre @ B.centre.T
+    reach = A.norm[:, None] * B.radius + A.radius[:, None] * (B.norm + B.radius)
+    reach = reach + 1e-9 * (np.abs(middle) + reach + 1)  # rounding
+    pairs = np.argwhere(np.triu(np.ones_like(middle, dtype=bool)) if same else np.ones_like(middle, dtype=bool))
+    lower, upper = ((middle + sign * reach)[pairs[:, 0], pairs[:, 1]] for sign in (-1, 1))
+    lower, upper = np.where(np.isnan(lower), -np.inf, lower), np.where(np.isnan(upper), np.inf, upper)
+    lo, hi, seen = np.inf, -np.inf, np.zeros(len(pairs), bool)
+    for low, high in zip(np.argsort(lower, kind="stable"), np.argsort(-upper, kind="stable"), strict=True):
+        if lower[low] >= lo and upper[high] <= hi:
+            break
+        for k, open_ in ((low, lower[low] < lo), (high, upper[high] > hi)):
+            if seen[k] or not open_:
+                continue
+            seen[k] = True
+            (a, z), (b, y) = A.cuts[pairs[k, 0]], B.cuts[pairs[k, 1]]
+            dots = A.vecs[a:z] @ B.vecs[b:y].T
+            if same:
+                dots[A.own[a:z][:, None] == B.own[b:y][None, :]] = np.nan
+            dots = dots[np.isfinite(dots)]
+            if len(dots):
+                lo, hi = min(lo, dots.min()), max(hi, dots.max())
+    return lo, hi, len(pairs), int(seen.sum())
+
+
+def _extremes(batches, dim: int, groups: int):
+    """Rows come by cell; a cell holds the vectors of one or two groups."""
+    def result(cell, held):
+        i, j = divmod(cell, groups)
+        tiles = {g: _Tiles(*(np.concatenate(x) for x in zip(*parts, strict=True))) for g, parts in held.items()}
+        if i in tiles and j in tiles:
+            lo, hi, pairs, seen = _cell_extremes(tiles[i], tiles[j], i == j)
+            yield pa.RecordBatch.from_pydict({"lo": [lo if np.isfinite(lo) else None], "hi": [hi if np.isfinite(hi) else None],
+                                              "tiles": [pairs], "visited": [seen]}, schema=_EXTREMES)
+    at, held = None, {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cell, g, own, vecs = (batch.column(c)[i].as_py() for c in ("cell", "g", "own", "vecs"))
+            if cell != at:
+                if held:
+                    yield from result(at, held)
+                at, held = cell, {}
+            held.setdefault(g, []).append((np.frombuffer(own, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dim)))
+    if held:
+        yield from result(at, held)
+
+
+_EXTREMES = pa.schema([("lo", pa.float64()), ("hi", pa.float64()), ("tiles", pa.int64()), ("visited", pa.int64())])
+
+
+def dot_extremes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """One row (lo, hi, tiles, visited): the least and greatest dot product of two rows with
+    different ids, exact, and how many tile pairs there are and were visited.
+
+    Rows are dealt by hash of their id to groups, and every two groups (or one with itself)
+    meet in one cell of a triangle, so a vector is sent once per group, about the square
+    root of twice the number of tasks. Null or mixed vectors raise; no two ids give nulls;
+    non-finite products do not count."""
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.lit(0).alias("k"), F.col(id_col).cast("long").alias("own"),
+                       F.col(vec_col).cast("array<double>").alias("vec"))
+    stats = _sizes(v, "vec")
+    schema = "lo double, hi double, tiles bigint, visited bigint"
+    if not stats["n"]:
+        return vectors.sparkSession.createDataFrame([(None, None, 0, 0)], schema)
+    dim = _dimension(stats, "vectors")
+    cells = min(4 * vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(stats["n"] / BLOCK_ROWS) ** 2)
+    groups = max(round(math.sqrt(2 * cells)), math.ceil(8 * dim * stats["n"] / HELD_BYTES), 1)
+    packed = v.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInArrow(_pack, _PACKED)
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    met = (packed.select("g", "own", "vecs", other.alias("j"))
+           .select((F.least("g", "j").cast("long") * groups + F.greatest("g", "j")).alias("cell"), "g", "own", "vecs")
+           .repartition(groups * (groups + 1) // 2, "cell").sortWithinPartitions("cell"))
+    return met.mapInArrow(lambda it: _extremes(it, dim, groups), schema).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("tiles").alias("tiles"), F.sum("visited").alias("visited"))
+
+
 # -- A3 -----------------------------------------------------------------------
 
 def fusion_quality(pairs: DataFrame, a: str, b: str, relevance: str) -> DataFrame:

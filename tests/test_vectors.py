@@ -130,3 +130,35 @@ def test_reports_of_too_few_vectors(spark):
     got = {r.category: r.mean_dist for r in VM.category_dispersion_by_group(hot, "c", block_rows=8).collect()}
     mean = lambda xs: sum(abs(a - b) for a in xs for b in xs) / len(xs) ** 2
     assert abs(got[None] - mean(range(40))) < 1e-9 and abs(got["b"] - mean(range(40, 50))) < 1e-9
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_dot_extremes_equal_all_pairs(spark, monkeypatch, clustered):
+    r = np.random.default_rng(5)
+    V = r.normal(size=(3000, 16)) if not clustered else np.repeat(r.normal(size=(60, 16)), 50, axis=0) + 0.02 * r.normal(size=(3000, 16))
+    V[0] *= 3
+    ids = list(range(3000))
+    ids[1] = 0                       # a repeated id: no pair with itself
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, V)], "vec_id long, embedding array<double>, g int")
+    for held in (64 << 20, 40_000):  # a few groups, many
+        monkeypatch.setattr(M, "HELD_BYTES", held)
+        got = M.dot_extremes(df).first()
+        dots = V @ V.T
+        dots[np.equal.outer(ids, ids)] = np.nan
+        assert got["lo"] == pytest.approx(np.nanmin(dots), rel=1e-12) and got["hi"] == pytest.approx(np.nanmax(dots), rel=1e-12)
+        assert 0 < got["visited"] <= got["tiles"]
+        if clustered and held > 1 << 20:
+            assert got["visited"] < 0.2 * got["tiles"]
+
+
+def test_dot_extremes_odd_cases(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert M.dot_extremes(make([])).first()[:3] == (None, None, 0)
+    assert M.dot_extremes(make([(1, [1.0, 2.0]), (1, [3.0, 4.0])])).first()[:2] == (None, None)
+    assert M.dot_extremes(make([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-2.0, 0.0])])).first()[:2] == (-2.0, 1.0)
+    got = M.dot_extremes(make([(1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [2.0, 1.0])])).first()
+    assert got[:2] == (2.0, 2.0)
+    with pytest.raises(ValueError):
+        M.dot_extremes(make([(1, [1.0]), (2, None)]))
+    with pytest.raises(ValueError):
+        M.dot_extremes(make([(1, [1.0]), (2, [1.0, 2.0])]))
