@@ -19,6 +19,9 @@ Plan, without any query x product cross join:
 * rule parts (price phrases, category words, the empty query) do not depend on
   the query text beyond a flag: their first names are computed once (at most
   ``max_results`` rows per rule) and attached to flagged queries as literals.
+
+The grams and the products meet others by sort-merge (``as_large``): estimated from
+``part``'s small file both look fit to broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATALOGUE_MAX_RESULTS
+from ..sources.tables import as_large
 
 # FIXED VALUES: the demo search's price and category phrases, in checking order.
 PRICE_RULES = [("under $100", 100.0), ("under $50", 50.0)]
@@ -117,13 +121,13 @@ def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int =
              .join(needed, "g", "left_semi"))
     index = index.checkpoint()  # read three times below
 
-    short_names = _first_names(index.join(short.select(F.col("ql").alias("g")).distinct(), "g"), ["g"], k)
+    short_names = _first_names(as_large(index).join(short.select(F.col("ql").alias("g")).distinct(), "g"), ["g"], k)
     from_short = short.join(short_names, short["ql"] == short_names["g"]).select("query_id", "product_id", "name")
 
     freq = index.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     rarest = (qg.join(freq, "g").groupBy("query_id", "ql")
               .agg(F.min_by("g", F.struct("f", "g")).alias("g")))
-    cands = rarest.join(index.select("g", "product_id"), "g").join(p, "product_id")
+    cands = rarest.join(as_large(index.select("g", "product_id")), "g").join(as_large(p), "product_id")
     texts_match = (F.lower("name").contains(F.col("ql")) | F.lower("description").contains(F.col("ql"))
                    | F.lower("category").contains(F.col("ql")))
     from_long = cands.where(F.coalesce(texts_match, F.lit(False))).select("query_id", "product_id", "name")
@@ -132,4 +136,4 @@ def search_catalogue(products: DataFrame, queries: DataFrame, max_results: int =
     allc = from_rules.unionByName(from_short).unionByName(from_long)
     top = _first_names(allc, ["query_id"], k).withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id")))
-    return top.select("query_id", "rank", "product_id").join(p, "product_id")
+    return top.select("query_id", "rank", "product_id").join(as_large(p), "product_id")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import CATALOGUE_MAX_RESULTS
+from ..sources.tables import as_large
 from .catalogue import _fields, _first_names, first_names_by_rule, rule_candidates
 
 GRAM, PROBES, SALTS = 3, 3, 4
@@ -125,11 +126,11 @@ def search_gram_index(spark: SparkSession, folder: str, queries: DataFrame,
     q = queries.select("query_id", F.lower("query").alias("ql")).where(F.col("ql").isNotNull())
     ql = q.select("ql").distinct()
     texts = spark.read.parquet(f"{folder}/texts")
-    found = (candidates(spark, folder, ql).join(texts, "text_id").where(F.col("text").contains(F.col("ql")))
+    found = (candidates(spark, folder, ql).join(as_large(texts), "text_id").where(F.col("text").contains(F.col("ql")))
              .select("ql", F.explode("firsts").alias("c")).select("ql", "c.product_id", "c.name"))
     rules = spark.read.parquet(f"{folder}/rules").collect()          # at most 5 rules x K rows
     top = _first_names(found.unionByName(rule_candidates(ql, "ql", rules)), ["ql"], k).withColumn(
         "rank", F.row_number().over(Window.partitionBy("ql").orderBy("product_id")))
     shown = spark.read.parquet(f"{folder}/products")
     return (q.join(top.select("ql", "rank", "product_id"), "ql").select("query_id", "rank", "product_id")
-            .join(shown, "product_id").select("query_id", "rank", *COLUMNS))
+            .join(as_large(shown), "product_id").select("query_id", "rank", *COLUMNS))

@@ -44,3 +44,15 @@ def test_limit_and_render(spark):
     assert md.startswith("**Search Results:**\n\n**1. Wireless Over-Ear Headphones**\n")
     assert "Price: $89.99" in md and "[View Product](https://e.x/1)" in md
     assert out["e"].prompt.startswith("User query: e\n\nSearch results:\n1. Product: Wireless Over-Ear Headphones | Price: $89.99")
+
+
+def test_products_and_grams_are_never_broadcast(spark, tmp_path):
+    """Both look small by the size of their files; the driver must not hold them."""
+    path = str(tmp_path / "products")
+    spark.range(300).selectExpr(
+        "id AS product_id", "'red mug ' || id % 7 AS name", "id * 1.0D AS price", "'MUGS' AS category",
+        "'Made by ' || id % 3 AS description", "'https://shop.example.com/' || id AS url").write.parquet(path)
+    products = spark.read.parquet(path)
+    queries = products.selectExpr("name AS query_id", "name AS query").distinct()
+    plan = search_catalogue(products, queries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4
