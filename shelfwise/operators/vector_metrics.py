@@ -4,9 +4,8 @@
   second-moment matrix, partially aggregated per task; min/max come from one pass over
   a triangle of cells that skips what its bounds rule out -- no pair is ever a row.
 * A10 ranks each text's true image with the exact kNN join (top-5).
-* A11 splits every category into hash blocks of bounded size; pairs of block
-  numbers are generated from the counts and each side joins on its own block, so a
-  hot category spreads over as many tasks as it has block pairs.
+* A11 deals every category's rows to groups by hash; every two groups meet in one cell of
+  a triangle, whose number follows the category's pairs, so a hot category is many cells.
 * A12/A13 work inside training batches, whose size is bounded by definition.
 """
 
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_LOSS_ALPHA, CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import as_double, norm, similarity
-from .knn import _PACKED, BLOCK_ROWS, HELD_BYTES, _dimension, _pack, _sizes, knn_join
+from .knn import BLOCK_ROWS, HELD_BYTES, _dimension, _packed, _sizes, _unpacked, knn_join
+from ..sources.io import materialise
 from .metrics import null_safe_join
 
 
@@ -168,7 +168,7 @@ def dot_extremes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     dim = _dimension(stats, "vectors")
     cells = min(4 * vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(stats["n"] / BLOCK_ROWS) ** 2)
     groups = max(round(math.sqrt(2 * cells)), math.ceil(8 * dim * stats["n"] / HELD_BYTES), 1)
-    packed = v.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).mapInArrow(_pack, _PACKED)
+    packed = _packed(v.withColumn("key", F.lit(0).cast("bigint")), F.lit(groups))
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     met = (packed.select("g", "own", "vecs", other.alias("j"))
            .select((F.least("g", "j").cast("long") * groups + F.greatest("g", "j")).alias("cell"), "g", "own", "vecs")
@@ -210,17 +210,43 @@ def similarity_accuracy(texts: DataFrame, images: DataFrame, truth: DataFrame, d
 
 # -- A11 ----------------------------------------------------------------------
 
-def _block_pair_sums(batches):
-    for pdf in batches:
-        out_c, out_s = [], []
-        for cat, a, b, same in zip(pdf["category"], pdf["va"], pdf["vb"], pdf["same"]):
-            A = np.stack(a).astype(np.float64)
-            B = np.stack(b).astype(np.float64)
-            d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T)
-            total = float(np.sqrt(np.maximum(d2, 0.0)).sum())
-            out_c.append(cat)
-            out_s.append(total if same else 2.0 * total)
-        yield pd.DataFrame({"category": out_c, "s": out_s})
+_ROWS_AT_ONCE = 1024
+
+
+def _distances(A: np.ndarray, B: np.ndarray) -> float:
+    """The sum of all distances between the rows of A and of B."""
+    total, bb = 0.0, np.einsum("ij,ij->i", B, B)
+    for a in range(0, len(A), _ROWS_AT_ONCE):
+        some = A[a:a + _ROWS_AT_ONCE]
+        aa = np.einsum("ij,ij->i", some, some)
+        for b in range(0, len(B), _ROWS_AT_ONCE):
+            part = slice(b, b + _ROWS_AT_ONCE)
+            d2 = aa[:, None] + bb[part][None, :] - 2.0 * (some @ B[part].T)
+            total += float(np.sqrt(np.maximum(d2, 0.0)).sum())
+    return total
+
+
+def _cell_sums(batches, dim: int):
+    """Rows come by cell; a cell holds the vectors of one or two groups of a category."""
+    def result(cell, held):
+        key, i, j = cell
+        if i in held and j in held:
+            A, B = (np.concatenate(held[g]) for g in (i, j))
+            yield pa.RecordBatch.from_pydict({"key": [key], "s": [_distances(A, B) * (1.0 if i == j else 2.0)]}, schema=_CELL_SUM)
+    at, held = None, {}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            key, i, j, g, ids, vecs = (batch.column(c)[r].as_py() for c in ("key", "i", "j", "g", "ids", "vecs"))
+            if (key, i, j) != at:
+                if held:
+                    yield from result(at, held)
+                at, held = (key, i, j), {}
+            held.setdefault(g, []).append(_unpacked(vecs, len(ids) // 8, dim))
+    if held:
+        yield from result(at, held)
+
+
+_CELL_SUM = pa.schema([("key", pa.int64()), ("s", pa.float64())])
 
 
 def category_dispersion(vectors: DataFrame, cat_col: str, vec_col: str = "embedding",
@@ -239,23 +265,31 @@ def category_dispersion(vectors: DataFrame, cat_col: str, vec_col: str = "embedd
 
 def category_dispersion_by_group(vectors: DataFrame, cat_col: str, vec_col: str = "embedding",
                                  id_col: str = "vec_id", block_rows: int = 512) -> DataFrame:
-    v = vectors.select(F.col(cat_col).alias("category"), F.col(id_col).alias("id"),
-                       as_double(vec_col).alias("v"))
-    counts = v.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows)).cast("long"))
-    blocked = (null_safe_join(v, counts.withColumn("nb", nb).drop("n"), ["category"])
-               .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))))
-    blocks = blocked.groupBy("category", "blk").agg(F.collect_list("v").alias("vs"))
-    visits = (counts.withColumn("nb", nb).withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-              .withColumn("bb", F.explode(F.sequence(F.col("ba"), F.col("nb") - 1))).select("category", "ba", "bb"))
-    a = blocks.select("category", F.col("blk").alias("ba"), F.col("vs").alias("va"))
-    b = blocks.select("category", F.col("blk").alias("bb"), F.col("vs").alias("vb"))
-    pairs = (null_safe_join(null_safe_join(visits, a, ["category", "ba"]), b, ["category", "bb"])
-             .withColumn("same", F.col("ba") == F.col("bb")))
-    sums = pairs.select("category", "va", "vb", "same").mapInPandas(
-        _block_pair_sums, "category " + v.schema["category"].dataType.simpleString() + ", s double")
-    tot = sums.groupBy("category").agg(F.sum("s").alias("s"))
-    return (null_safe_join(counts, tot, ["category"], "left")
+    """Every category is a triangle of cells, with a share of the tasks by its number of
+    pairs: its rows are dealt by hash of their id to groups (HELD_BYTES at most on average)
+    and every two groups, or one with itself, meet in one cell. So a vector is sent once per
+    group, whatever the size of the category. ``block_rows`` is the least size of a group."""
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(cat_col).alias("category"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    counts = materialise(v.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "key", F.monotonically_increasing_id()), "categories")
+    stats = _sizes(v, "vec")
+    dim = _dimension(stats, "vectors") if stats["n"] else 1
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    pairs = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 1.0
+    n = F.col("n")
+    cells = F.ceil(n * tasks / F.lit(pairs) * n)
+    groups = F.greatest(F.least(F.round(F.sqrt(2.0 * cells)), F.ceil(n / block_rows).cast("double")),
+                        F.ceil(n * (8 * dim) / HELD_BYTES).cast("double"), F.lit(1.0)).cast("int")
+    grouped = counts.select("category", "key", groups.alias("groups"))
+    packed = _packed(null_safe_join(v, grouped, ["category"]).select(
+        "key", "id", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("own"), "vec", "groups"), F.col("groups"), F.lit(0).cast("bigint"))
+    met = (packed.join(grouped.drop("category"), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+           .select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "ids", "vecs")
+           .repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    sums = met.mapInArrow(lambda it: _cell_sums(it, dim), "key bigint, s double")
+    tot = sums.groupBy("key").agg(F.sum("s").alias("s"))
+    return (counts.join(tot, "key", "left")
             .select("category", "n", (F.coalesce(F.col("s"), F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("mean_dist")))
 
 

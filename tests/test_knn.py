@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import ann, search
+from shelfwise.operators import ann, knn, search
 from shelfwise.operators.knn import compared_pairs, knn_join
 
 
@@ -206,3 +206,27 @@ def test_dimension_mismatch_raises(spark):
     q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
     with pytest.raises(ValueError, match="dimension 2 doesn't match index dimension 8"):
         knn_join(q, v, k=2)
+
+
+def test_keyed_rows_are_sent_a_few_times_whatever_the_size_of_a_key(spark, monkeypatch):
+    """A hot key of 63 blocks: a query is not sent to each of them."""
+    v, X = _vecs(spark, n=1000, d=8, dup=False)
+    keyed = v.withColumn("c", F.when(F.col("vec_id") % 10 == 0, 1).otherwise(0).cast("long"))
+    q = keyed.withColumnRenamed("vec_id", "query_id").withColumn("c", F.array("c"))
+    sent, met = [], knn._met
+
+    def counted(*args):
+        rows = met(*args)
+        sent.append({r[0]: r[1] / 8 for r in rows.groupBy("side").agg(F.sum(F.length("ids"))).collect()})
+        return rows
+    monkeypatch.setattr(knn, "_met", counted)
+    got = {}
+    for r in knn_join(q, keyed, k=3, query_keys_col="c", vec_keys_col="c", block_rows=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for c in (0, 1):
+        ids = [i for i in range(1000) if (i % 10 == 0) == (c == 1)]
+        want = _brute(X[ids], X[ids], range(len(ids)), 3, "l2")
+        for i, q_id in enumerate(ids):
+            assert [v for _, v in sorted(got[q_id])] == [ids[j] for j in want[i]]
+    most = 2 * np.sqrt(4 * spark.sparkContext.defaultParallelism)
+    assert 1000 <= sent[0][0] <= most * 1000 and 1000 <= sent[0][1] <= most * 1000

@@ -162,3 +162,26 @@ def test_dot_extremes_odd_cases(spark):
         M.dot_extremes(make([(1, [1.0]), (2, None)]))
     with pytest.raises(ValueError):
         M.dot_extremes(make([(1, [1.0]), (2, [1.0, 2.0])]))
+
+
+def test_dispersion_of_a_hot_category_sends_a_vector_a_few_times(spark, monkeypatch):
+    """Blocks of one row and cells of a few kilobytes: sums equal all pairs, null is a category."""
+    X = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in X[i]], None if i % 40 == 0 else int(i % 10 == 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(M, "HELD_BYTES", 8 * 8 * 64)
+    sent, unpacked = spark.sparkContext.accumulator(0), M._cell_sums
+
+    def counted(batches, dim):
+        def seen():
+            for b in batches:
+                sent.add(sum(len(x) // 8 for x in b.column("ids").to_pylist()))
+                yield b
+        yield from unpacked(seen(), dim)
+    monkeypatch.setattr(M, "_cell_sums", counted)
+    got = {r.category: (r.n, r.mean_dist) for r in M.category_dispersion_by_group(df, "label", block_rows=1).collect()}
+    for c in (None, 0, 1):
+        C = X[[i for i, _, label in rows if label == c]].astype(np.float64)
+        want = np.sqrt(((C[:, None] - C[None]) ** 2).sum(-1)).sum() / len(C) ** 2
+        assert got[c][0] == len(C) and abs(got[c][1] - want) < 1e-6
+    assert 400 <= sent.value <= 400 * (2 * np.sqrt(8 * spark.sparkContext.defaultParallelism) + 8)
