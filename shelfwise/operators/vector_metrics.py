@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_LOSS_ALPHA, CONTRASTIVE_TEMPERATURE
 from ..functions.vectors import as_double, norm, similarity
-from .knn import BLOCK_ROWS, HELD_BYTES, _dimension, _packed, _sizes, _unpacked, knn_join
+from .knn import BLOCK_ROWS, HELD_BYTES, _dimension, _packed, _sizes, knn_join
 from ..sources.io import materialise
 from .metrics import null_safe_join
 
@@ -226,7 +226,7 @@ def _distances(A: np.ndarray, B: np.ndarray) -> float:
     return total
 
 
-def _cell_sums(batches, dim: int):
+def _cell_sums(batches, kind):
     """Rows come by cell; a cell holds the vectors of one or two groups of a category."""
     def result(cell, held):
         key, i, j = cell
@@ -241,7 +241,7 @@ def _cell_sums(batches, dim: int):
                 if held:
                     yield from result(at, held)
                 at, held = (key, i, j), {}
-            held.setdefault(g, []).append(_unpacked(vecs, len(ids) // 8, dim))
+            held.setdefault(g, []).append(np.frombuffer(vecs, kind).astype(np.float64).reshape(len(ids) // 8, -1))
     if held:
         yield from result(at, held)
 
@@ -273,8 +273,9 @@ def category_dispersion_by_group(vectors: DataFrame, cat_col: str, vec_col: str
     v = vectors.select(F.col(cat_col).alias("category"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     counts = materialise(v.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "key", F.monotonically_increasing_id()), "categories")
-    stats = _sizes(v, "vec")
-    dim = _dimension(stats, "vectors") if stats["n"] else 1
+    v = v.where(F.col("vec").isNotNull())  # a null vector is counted and has no distance
+    dim = v.agg(F.max(F.size("vec"))).first()[0] or 1
+    kind = np.float32 if dict(v.dtypes)["vec"] == "array<float>" else np.float64
     tasks = 4 * spark.sparkContext.defaultParallelism
     pairs = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 1.0
     n = F.col("n")
@@ -287,7 +288,7 @@ def category_dispersion_by_group(vectors: DataFrame, cat_col: str, vec_col: str
     met = (packed.join(grouped.drop("category"), "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
            .select("key", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "g", "ids", "vecs")
            .repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    sums = met.mapInArrow(lambda it: _cell_sums(it, dim), "key bigint, s double")
+    sums = met.mapInArrow(lambda it: _cell_sums(it, kind), "key bigint, s double")
     tot = sums.groupBy("key").agg(F.sum("s").alias("s"))
     return (counts.join(tot, "key", "left")
             .select("category", "n", (F.coalesce(F.col("s"), F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("mean_dist")))

@@ -172,12 +172,12 @@ def test_dispersion_of_a_hot_category_sends_a_vector_a_few_times(spark, monkeypa
     monkeypatch.setattr(M, "HELD_BYTES", 8 * 8 * 64)
     sent, unpacked = spark.sparkContext.accumulator(0), M._cell_sums
 
-    def counted(batches, dim):
+    def counted(batches, kind):
         def seen():
             for b in batches:
                 sent.add(sum(len(x) // 8 for x in b.column("ids").to_pylist()))
                 yield b
-        yield from unpacked(seen(), dim)
+        yield from unpacked(seen(), kind)
     monkeypatch.setattr(M, "_cell_sums", counted)
     got = {r.category: (r.n, r.mean_dist) for r in M.category_dispersion_by_group(df, "label", block_rows=1).collect()}
     for c in (None, 0, 1):
@@ -185,3 +185,10 @@ def test_dispersion_of_a_hot_category_sends_a_vector_a_few_times(spark, monkeypa
         want = np.sqrt(((C[:, None] - C[None]) ** 2).sum(-1)).sum() / len(C) ** 2
         assert got[c][0] == len(C) and abs(got[c][1] - want) < 1e-6
     assert 400 <= sent.value <= 400 * (2 * np.sqrt(8 * spark.sparkContext.defaultParallelism) + 8)
+
+
+def test_dispersion_counts_null_vectors_and_takes_a_dimension_per_category(spark):
+    rows = [(1, [0.0, 0.0], 0), (2, [3.0, 4.0], 0), (3, None, 0), (4, [0.0, 0.0, 0.0], 1), (5, [0.0, 0.0, 2.0], 1), (6, None, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.category: (r.n, r.mean_dist) for r in M.category_dispersion_by_group(df, "label").collect()}
+    assert got == {0: (3, pytest.approx(10 / 9)), 1: (2, pytest.approx(1.0)), 2: (1, 0.0)}
