@@ -18,6 +18,9 @@ words are among the block's. Every such (block, template) pair is found:
 
 Beside it the base phrases are counted at every place where their words stand together.
 
+The texts are read and cut into words once: blocks are written with their words in any
+order, next to the template words of each document, whose counts then give the order.
+
 One row is one document; blocks that can match are the only rows that are exploded, and
 nothing but their labels is shuffled with the document's figures. Templates are a
 parameter (some thousand texts at most): their words and prefixes go to the tasks as
@@ -71,7 +74,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    """A-Z lower-cased; a text of ASCII alone by the engine's own, faster function."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def template_words(text: str) -> list[str]:
@@ -108,26 +113,30 @@ def base_matches(text: Column, words: Column) -> Column:
     return F.when(text.rlike(f"(?:{heads})"), found).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
 
 
-def word_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How many documents hold each template word: at most ``len(vocabulary)`` rows."""
-    held = words.select(F.explode(F.array_intersect(F.lit(vocabulary), F.col("words"))).alias("word"))
-    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+def word_frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How many documents hold each template word (``held``, distinct per document): at
+    most ``len(vocabulary)`` rows."""
+    counts = {r["word"]: r["n"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
 def _blocks(words: Column, w: int, vocabulary: list[str], least: int) -> Column:
-    """The blocks of 2w words that hold ``least`` template words or more, as
-    array<struct<width, block, words (rarest first)>>."""
+    """The blocks of 2w words that hold ``least`` words of the vocabulary or more, as
+    array<struct<width, block, words>>; a text that holds fewer is not cut."""
     last = F.greatest(F.ceil(F.size(words) / w).cast("int") - 2, F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
         F.lit(w).alias("width"), i.alias("block"),
         F.array_intersect(F.lit(vocabulary), F.slice(words, i * w + 1, F.lit(2 * w))).alias("words")))
-    return F.filter(cut, lambda b: F.size(b["words"]) >= least)
+    held = F.array_intersect(F.lit(vocabulary), words)
+    return F.when(F.size(held) >= least, F.filter(cut, lambda b: F.size(b["words"]) >= least)).otherwise(
+        F.array().cast("array<struct<width:int,block:int,words:array<string>>>"))
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
     low = docs.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("low"))
-    return low.withColumn("words", F.regexp_extract_all("low", F.lit(f"({WORD})"), F.lit(1)))
+    # what stands between separators, without the empty string before a first and after a last one
+    return low.withColumn("words", F.array_remove(F.split("low", f"{_SEPARATOR}+"), ""))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -136,27 +145,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> tu
     spark = docs.sparkSession
     sets = [(label, words, width(len(words))) for label, words in ((x, template_words(t)) for x, t in templates) if words]
     vocabulary = sorted({w for _, words, _ in sets for w in words})
-    frequency = word_frequencies(_with_words(docs), vocabulary)
-    order = lambda words: sorted(set(words), key=lambda w: (frequency[w], w))
-
-    least, prefixes, blocks = {}, [], []
-    for number, (label, words, w) in enumerate(sets):
-        rare = order(words)
-        m, needed = len(rare), _needed(len(rare), threshold)
+    least = {}
+    for _, words, w in sets:
+        needed = _needed(len(set(words)), threshold)
         least[w] = min(least.get(w, needed), needed)
-        prefixes += [(w, word, number, label, i, m, needed, rare) for i, word in enumerate(rare[:m - needed + 1])]
-    for w in sorted(least):
-        blocks.append(_blocks(F.col("words"), w, order([x for _, words, v in sets if v == w for x in words]), least[w]))
+    blocks = [_blocks(F.col("words"), w, sorted({x for _, words, v in sets if v == w for x in words}), least[w]) for w in sorted(least)]
 
     rows = _with_words(docs).select(
         "doc_id", F.size("words").cast("bigint").alias("n_words"), base_matches(F.col("low"), F.col("words")).alias("base"),
-        F.concat(*blocks).alias("blocks"),
+        F.concat(*blocks).alias("blocks"), F.array_intersect(F.lit(vocabulary), F.col("words")).alias("held"),
         F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("low")), 256).alias("key"))
     rows = written(rows.withColumn("key", F.when(F.size("blocks") > 0, F.col("key"))), "license-blocks")
 
+    frequency = word_frequencies(rows, vocabulary)
+    order = lambda words: sorted(set(words), key=lambda w: (frequency[w], w))
+    prefixes = []
+    for number, (label, words, w) in enumerate(sets):
+        rare = order(words)
+        m, needed = len(rare), _needed(len(rare), threshold)
+        prefixes += [(w, word, number, label, i, m, needed, rare) for i, word in enumerate(rare[:m - needed + 1])]
+
     least_of = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     parts = (rows.filter("key IS NOT NULL").select("key", F.explode("blocks").alias("b"))
-             .select("key", "b.*").withColumnRenamed("words", "held").distinct()
+             .select("key", "b.width", "b.block", F.array_intersect(F.lit(order(vocabulary)), F.col("b.words")).alias("held")).distinct()
              .withColumn("n", F.size("held"))
              .select("*", F.posexplode(F.slice("held", F.lit(1), F.col("n") - least_of[F.col("width")] + 1)).alias("j", "word")))
     prefix = spark.createDataFrame(
@@ -167,7 +178,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> tu
            .withColumn("shared", F.size(F.array_intersect("template_words", "held")))
            .filter(F.col("shared") >= F.col("needed"))
            .select("key", "width", "block", "template", "label", "shared", "m"))
-    return rows.drop("blocks"), met
+    return rows.drop("blocks", "held"), met
 
 
 def license_digest(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:

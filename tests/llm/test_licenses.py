@@ -88,3 +88,18 @@ def test_empty_table_and_native_plan(make_docs):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("ArrowEval|BatchEval|MapIn|FlatMapGroups|CartesianProduct|NestedLoop", plan)
     assert met.agg(F.count("label")).first()[0] == 1
+
+
+def test_texts_are_cut_into_words_once(make_docs, monkeypatch):
+    calls, cut = [], L._with_words
+    monkeypatch.setattr(L, "_with_words", lambda docs: calls.append(1) or cut(docs))
+    rows, met = L.scan(make_docs([(1, f"so {L.TEMPLATES[0][1]}", "en", "s", 1)]))
+    assert rows.count() == met.count() == len(calls) == 1
+
+
+def test_words_and_case_as_the_contract_has_them(make_docs):
+    texts = ["", " ", "A", " A-B ", "É K İ ſ ÀMIT A", "MIT", "\x00a\x7fB\x80C", "a\U0001f642B c", "x" * 3 + "," * 9]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(len(texts), None, "en", "s", 1)]
+    got = {r["doc_id"]: (r["low"], r["words"]) for r in L._with_words(make_docs(rows)).collect()}
+    low = [(t or "").translate(str.maketrans(L._UPPER, L._LOWER)) for _, t, *_ in rows]
+    assert got == {i: (t, re.findall(L.WORD, t)) for i, t in enumerate(low)}
