@@ -99,3 +99,32 @@ def test_check_patterns(spark):
                 [(None, "a", "(x)", 1, ["x"])]):
         with pytest.raises(ValueError):
             MP.check_patterns(make(bad))
+
+
+def test_plain_regexes_equal_a_search_of_the_whole_text(spark):
+    r = random.Random(8)
+    words = ["glass", "Glass", "GLAẞ", "glaſs", "İkea", "Kıt", "\u212aite", "kite", "kit", "kitE9", "glasses", "ßglass", "日本", "--", "\n", "9", ",", "é"]
+    regexes = [r"glass([A-Za-z]+)", r"glass[^A-Za-z]+([A-Za-z]+)", r"kit([a-z0-9]*?)e", r"kite? ([^a-z]+)", r"ki([0-9])?t", r"gla[a-z]+,?( )",
+               r"kit+([0-9])", r"(kit)", r"kit|(glass)", r"kit(?=e)(.)", r"glass()", r"kit(e|es)", r"kit\b(.)", r"glas{2}(.)", r"kit([0-9]) *", "ik([a-z])"]
+    patterns = [(i, f"f{i}", x, i % 3, [re.match(r"\W*([a-z]+)", x)[1][:2]]) for i, x in enumerate(regexes)]
+    texts = ["".join(r.choice(words) + r.choice(["", " ", "  "]) for _ in range(r.randint(0, 9))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t, "glass kit ik") for i, t in enumerate(texts)], TEXT)
+    got = {x["id"]: x["fields"] for x in MP.extract_fields(df, "text", "query", spark.createDataFrame(patterns, PATTERNS)).collect()}
+    whole = df.select("id", *[X.search_group1("text", x).alias(f"f{i}") for i, x in enumerate(regexes)]).collect()
+    assert got == {x["id"]: {k: v for k, v in x.asDict().items() if k != "id" and v is not None} for x in whole}
+    assert sum(any(x[f"f{i}"] is not None for x in whole) for i in range(len(regexes))) > 11
+
+
+def test_characters_equal_to_ascii_ones_are_those_known(spark):
+    codes = spark.range(128, 0x110000).where("id < 55296 OR id > 57343")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    like = codes.select("id", char.alias("c")).where(F.regexp_like("c", F.lit("(?iu)[a-z0-9 _.,:;]")))
+    assert {chr(x["id"]) for x in like.collect()} == {c for c in map(chr, range(128, 0x110000)) if MP._FOLDED.match(c)}
+
+
+def test_plain_regexes_are_not_searched_in_the_whole_text(spark):
+    text = " ".join(f"wordword{i:04d} " + "abcd " * 60 for i in range(400))
+    patterns = spark.createDataFrame([(i, f"f{i}", f"wordword{i:04d}([a-z]+)", 1, [f"wordword{i:04d}"]) for i in range(400)], PATTERNS)
+    places = MP._Places([(x["ord"], x["field_name"], x["regex"], tuple(x["keywords"])) for x in patterns.collect()])
+    assert places(text, list(range(400)), None) == ([], None, [])
+    assert places(text + " wordword0007xY z", [6, 7], [0.5, 0.25]) == ([7], [0.25], ["wordword0007xY"])
