@@ -169,7 +169,11 @@ class Network:
         if not len(text):
             return np.zeros(0, np.float32)
         out = self.logits(x, codes, words.offsets, text, first)
-        return np.maximum.reduceat(out, np.flatnonzero(np.diff(text, prepend=-1)))
+        out = np.maximum.reduceat(out, np.flatnonzero(np.diff(text, prepend=-1)))
+        empty = words.counts() == 0
+        if empty.any():  # by itself, for a product's last bits depend on what else is in it
+            out[empty] = self.forward(np.zeros((1, DIM), np.float32), np.zeros((WINDOW, 1), np.int64))
+        return out
 
     def score(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit.astype(np.float64) + self.bias, -500, 500)))

@@ -120,3 +120,15 @@ def test_a_text_is_scored_alike_alone_and_among_others():
         assert np.isclose(net.text_logits(Words(pa.array([t])))[0], want, atol=1e-5)
     again = gru.Network.from_bytes(net.to_bytes())
     assert np.array_equal(again.text_logits(Words(pa.array(texts))), together)
+
+
+def test_texts_without_words_score_alike_whatever_is_beside_them():
+    texts = ["one two three", None, "", " \n\t.,!", prose(100, 99), "short text", None]
+    one, many = Words(pa.array([""], pa.large_string())), Words(pa.array(texts, pa.large_string()))
+    for seed in range(4):
+        net, r = gru.Network(np.zeros(0, np.uint64), seed), np.random.default_rng(seed)
+        for k in ("b", "ba", "bo", "wo", "va"):
+            net.p[k] = r.normal(0, 1, net.p[k].shape).astype(np.float32)
+        net.p["bo"] -= net.text_logits(one)  # near 0 the last bits show
+        got = net.text_logits(many).tolist()
+        assert {got[i] for i in (1, 2, 3, 6)} == {float(net.text_logits(one)[0])}
