@@ -11,8 +11,8 @@ Frames are compressed one by one with a shared dictionary, so a short document i
 read by two small range reads. The dictionary stands in its own file, named by its
 hash, which every shard repeats.
 
-Encoding: no token of this tokenizer crosses a space, so each distinct part of a
-slice of the texts is encoded once (WordEncoder).
+Encoding: no token of this tokenizer crosses a space, so each distinct part of the
+texts a worker sees is encoded once (WordEncoder).
 
 Plan: documents are dealt out by ranges of doc_id (then a hash of the text, so rows
 that share an id may be split), sorted in their task, encoded and written as they come. The shards' totals make a manifest from which
@@ -49,6 +49,7 @@ SAMPLE_BYTES = 16_384        # of each of them at most
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 SLICE_BYTES = 6_000_000
+TABLE_ENTRIES = 600_000      # distinct strings whose ids a worker keeps
 MAGIC, TAIL = b"TOKS0001", b"TOKSEND1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
 
@@ -60,8 +61,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Table:
+    """Ids of distinct strings, kept over the slices and tasks of a worker up to
+    ``TABLE_ENTRIES`` of them and then begun anew, so memory is bounded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.start, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their count for every one of the distinct strings."""
+        at = pc.index_in(strings, value_set=self.known)
+        if len(self.known) + at.null_count > TABLE_ENTRIES:
+            self.clear()
+            at = pc.index_in(strings, value_set=self.known)
+        new = strings.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            at[at < 0] = len(self.known) + np.arange(len(new))
+            ids, lens = self.encode(new)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lens) - lens])
+            self.flat, self.lens = np.concatenate([self.flat, ids]), np.concatenate([self.lens, lens])
+            self.known = pa.concat_arrays([self.known, new])
+        return take_ragged(self.flat, self.start[at], self.lens[at]), self.lens[at]
+
+
 class WordEncoder:
-    """Ids of texts, each distinct part of a slice of them encoded once.
+    """Ids of texts, each distinct part of them encoded once (see :class:`_Table`).
 
     This tokenizer drops white space and parts a text into runs of letters, single
     digits and runs of other characters; the last token of each part, and no other,
@@ -79,6 +109,7 @@ class WordEncoder:
         self.tok = _tokenizer(path)
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known_parts, self.known_chunks = _Table(self.lines), _Table(self.chunks)
 
     def lines(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their count for every one of the distinct parts (none empty)."""
@@ -99,7 +130,7 @@ class WordEncoder:
         coded = parts.flatten().dictionary_encode()
         known = coded.dictionary
         real = np.flatnonzero(pc.not_equal(known, "").to_numpy(zero_copy_only=False))
-        flat, lens = self.lines(known.take(pa.array(real)))
+        flat, lens = self.known_parts(known.take(pa.array(real)))
         count = np.zeros(len(known), np.int64)
         count[real] = lens
         start = np.zeros(len(known), np.int64)
@@ -122,13 +153,19 @@ class WordEncoder:
         split = pc.split_pattern(_plain_case(texts), " ")
         per_text = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
-        flat, size = self.chunks(coded.dictionary)
+        flat, size = self.known_chunks(coded.dictionary)
         at = coded.indices.to_numpy()
         ids = take_ragged(flat, (np.cumsum(size) - size)[at], size[at])
         counts = np.bincount(np.repeat(np.arange(len(texts)), per_text), weights=size[at], minlength=len(texts))
         return ids, counts.astype(np.int64)
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder, whose tables serve all its tasks."""
+    return WordEncoder(path)
+
+
 def _plain_case(texts: pa.Array) -> pa.Array:
     """Lower-case ASCII and line feeds as spaces, as the tokenizer has them: fewer
     distinct chunks. Not where ``<|`` might begin a special token's name."""
@@ -155,7 +192,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> b
     import zstandard
 
     def train(batches):
-        encode, kind, samples = WordEncoder(tokenizer), _width(tokenizer), []
+        encode, kind, samples = _encoder(tokenizer), _width(tokenizer), []
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts, SLICE_BYTES):
@@ -192,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, kind = WordEncoder(tokenizer), _width(tokenizer)
+        encode, kind = _encoder(tokenizer), _width(tokenizer)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(trained))
         shard = TaskContext.get().partitionId()
         name, out, at, index, tokens = f"{shard:06d}-{uuid.uuid4().hex}.toks", None, 0, [], 0

@@ -135,3 +135,22 @@ def test_models_whose_pieces_cross_spaces_are_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Crossing)
     with pytest.raises(ValueError):
         pieces._processor("another")
+
+
+def test_a_worker_encodes_every_distinct_part_once(monkeypatch):
+    """Parts known from an earlier slice are not encoded again; a full table is begun anew."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    encode, asked = token_files.WordEncoder(path), []
+    lines = encode.lines
+    encode.known_parts.encode = lambda parts: asked.extend(parts.to_pylist()) or lines(parts)
+    first, second = ["one lamp, 12 shades", None, "it's one"], ["one lamp, 13 shades", "lamp", "twelve, shades"]
+    for limit, texts in ((1000, first), (1000, second), (4, first), (4, second + first)):
+        monkeypatch.setattr(token_files, "TABLE_ENTRIES", limit)
+        ids, counts = encode(pa.array(texts, pa.large_string()))
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+        if limit == 1000 and texts is second:
+            assert len(asked) == len(set(asked)) and "twelve" in asked
