@@ -230,3 +230,19 @@ def test_keyed_rows_are_sent_a_few_times_whatever_the_size_of_a_key(spark, monke
             assert [v for _, v in sorted(got[q_id])] == [ids[j] for j in want[i]]
     most = 2 * np.sqrt(4 * spark.sparkContext.defaultParallelism)
     assert 1000 <= sent[0][0] <= most * 1000 and 1000 <= sent[0][1] <= most * 1000
+
+
+def test_many_equally_near_vectors_are_scored_some_at_a_time():
+    import tracemalloc
+
+    from shelfwise.operators.knn import _Column
+    vecs = np.tile(np.arange(64.0), (5000, 1))
+    ids = np.arange(5000)
+    column = _Column(ids[::-1].copy(), ids[::-1].copy(), vecs, "l2")
+    tracemalloc.start()
+    qi, score, found = column.nearest(vecs[:512] + 1.0, ids[:512], 3, True, 1e-9, 9, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600e6, peak  # all at once: some GB
+    assert np.array_equal(qi, np.repeat(np.arange(512), 3)) and set(score) == {64.0}
+    assert found[:9].tolist() == [1, 2, 3, 0, 2, 3, 0, 1, 3]
