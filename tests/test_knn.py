@@ -246,3 +246,30 @@ def test_many_equally_near_vectors_are_scored_some_at_a_time():
     assert peak < 600e6, peak  # all at once: some GB
     assert np.array_equal(qi, np.repeat(np.arange(512), 3)) and set(score) == {64.0}
     assert found[:9].tolist() == [1, 2, 3, 0, 2, 3, 0, 1, 3]
+
+
+def test_products_are_compared_in_parts_and_merged_seldom(monkeypatch):
+    # products of 1,024 queries were made anew for every 4,096 vectors, and those found merged each time
+    monkeypatch.setattr(knn, "_VECTORS_AT_ONCE", 512)
+    monkeypatch.setattr(knn, "_IN_CACHE", 4096)
+    merges = []
+    monkeypatch.setattr(knn, "_best", lambda *a, f=knn._best: (merges.append(1), f(*a))[1])
+    rng = np.random.default_rng(7)
+    vecs = rng.integers(-3, 4, (12_000, 6)).astype(float)  # many equally near
+    ids, own = np.arange(12_000), np.arange(12_000) // 3
+    for metric in ("l2", "ip"):
+        merges.clear()
+        qi, score, found = knn._Column(ids, own, vecs, metric).nearest(vecs[:300], own[:300], 4, True, 1e-9, 9, False)
+        for i in range(0, 300, 29):
+            s = ((vecs - vecs[i]) ** 2).sum(1) if metric == "l2" else -(vecs @ vecs[i])
+            s = np.where(own == own[i], np.inf, s)
+            assert found[qi == i].tolist() == np.lexsort((ids, s))[:4].tolist()
+        assert len(merges) < 15  # of 23 parts
+
+
+def test_every_cell_is_a_task_of_its_own(spark):
+    kind = "key bigint, g int, ids binary, ks binary, own binary, vecs binary"
+    side = lambda n: spark.createDataFrame([(0, g, b"", b"", b"", b"") for g in range(n)], kind)
+    met = knn._met(side(8), side(3), None, F.lit(3), F.lit(8), 24).withColumn("task", F.spark_partition_id())
+    cells = met.groupBy("task").agg(F.count_distinct("i", "j").alias("n"), F.count("side").alias("rows")).collect()
+    assert [(r.n, r.rows) for r in cells] == [(1, 2)] * 24
